@@ -12,10 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltfield.llm import op02_pii, op07_bpe, op08_simhash
+from meltfield.llm import op02_pii, op07_bpe, op08_simhash, op09_toxicity
 from meltfield.operators.components import ensure_checkpoint_dir
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of severity grade 1 or more reaches one half go; the model is trained on ``labels``."""
+    return op09_toxicity.reject(docs, op09_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     kept = op08_simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
@@ -33,7 +38,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("pii", personal_data), ("bpe", token_ids)]
+STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("pii", personal_data), ("bpe", token_ids)]
 
 #: SQL can express neither the trained models nor the merge ranks.
 ORACLE_SQL = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meltfield.operators.components import ensure_checkpoint_dir
+
 #: Text bytes handled at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -71,3 +75,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and reread: its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark) -> None:
+    """Lets the cleaner drop the shuffle files of finished jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

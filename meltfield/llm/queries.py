@@ -7,17 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meltfield.llm import op02_pii, op07_bpe, op08_simhash
+from meltfield.llm import op01_langid, op02_pii, op03_substring, op04_quality, op07_bpe, op08_simhash, op09_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op01_langid.digest(op01_langid.predict(docs, op01_langid.fit(docs)))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_pii.digest(op02_pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_substring.digest(op03_substring.dedup(table(spark, sf_dir, "documents")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op04_quality.digest(op04_quality.assess(docs, op04_quality.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe.digest(op07_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -26,8 +40,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_simhash.digest(op08_simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op09_toxicity.grade(docs, op09_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op7_bpe": op7_bpe, "op8_simhash": op8_simhash}
+    found = (op1_langid, op2_pii, op3_substring, op4_quality, op7_bpe, op8_simhash, op9_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
