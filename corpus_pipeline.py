@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltfield.llm import op02_pii, op07_bpe, op08_simhash, op09_toxicity
+from meltfield.llm import op02_pii, op05_decontam, op07_bpe, op08_simhash, op09_toxicity
 from meltfield.operators.components import ensure_checkpoint_dir
 
 
@@ -27,6 +27,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return op05_decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by its kind in brackets."""
     return op02_pii.redact(docs)
@@ -38,7 +43,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("pii", personal_data), ("bpe", token_ids)]
+STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("pii", personal_data), ("bpe", token_ids)]
 
 #: SQL can express neither the trained models nor the merge ranks.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meltfield.llm import op01_langid, op02_pii, op03_substring, op04_quality, op07_bpe, op08_simhash, op09_toxicity
+from meltfield.llm import op01_langid, op02_pii, op03_substring, op04_quality, op05_decontam, op06_tokens, op07_bpe, op08_simhash, op09_toxicity, op10_html
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.digest(op04_quality.assess(docs, op04_quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_decontam.digest(op05_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_tokens.digest(op06_tokens.read(op06_tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe.digest(op07_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -45,10 +53,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_toxicity.grade(docs, op09_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_html.digest(op10_html.extract(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_pii, op3_substring, op4_quality, op7_bpe, op8_simhash, op9_toxicity)
+    found = (op1_langid, op2_pii, op3_substring, op4_quality, op5_decontam, op6_tokens, op7_bpe, op8_simhash, op9_toxicity, op10_main_text)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontam": op05_decontam.ORACLE_SQL}
