@@ -8,10 +8,11 @@ repeated window shares an aligned anchor with every other occurrence.
 
 1. Anchors that occur more than once are found: each task combines equal anchors of its own chunk first, so a
    passage that a third of all documents share reaches the shuffle once a chunk, not once a document.
-2. Repeated anchors extend to all windows that contain them; these windows are compared by a 128-bit hash, again
+2. Repeated anchors extend to all windows that contain them; these windows are compared by a 96-bit hash, again
    combined by chunk, and every occurrence but the first in the order of (doc_id, start) is a repeat.
 3. Words covered by a repeated window go.
 
+Hashes travel in buckets as packed arrays, a row for each chunk and bucket, so a window costs about a dozen bytes of shuffle.
 Both intermediate results are written to the shared checkpoint folder, which also bounds the shuffle files held
 at one time.
 
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meltfield.llm import _words
 from meltfield.llm._batches import chunks, release, utf8, written
@@ -35,8 +35,8 @@ from meltfield.llm._batches import chunks, release, utf8, written
 #: Words in a window; period and difference cover; words in an anchor.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Hashes that a task combines before it sends them on.
-COMBINE = 1 << 20
+#: Hashes that a task combines before it sends them on; known positions in one row; input bytes for which there is a bucket.
+COMBINE, KNOWN, BUCKET_BYTES = 1 << 20, 1 << 15, 8 << 20
 
 _NO_ID = (1 << 63) - 1
 _VARIANT = 40  # place of the text's 16-bit variant above the position
@@ -46,13 +46,11 @@ _IN_COVER[list(COVER)] = True
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Document key, 16-bit variant of the text, text."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"),
-        F.shiftleft(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFF)), _VARIANT).alias("variant"),
-        F.col(text).alias("text"),
-    )
+    """Document key, variant of the text (0 unless ids repeat), text."""
+    ids = docs.select(F.col(doc_id).alias("doc_id"))
+    unique = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
+    variant = F.lit(0).cast("long") if unique else F.shiftleft(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFF)), _VARIANT)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"), variant.alias("variant"), F.col(text).alias("text"))
 
 
 def _words_of(piece: pa.RecordBatch):
@@ -70,26 +68,48 @@ def anchors_of(h: np.ndarray, position: np.ndarray, left: np.ndarray) -> tuple[n
     return at, _words.windows(h, ANCHOR, 0xA24BAED4963EE407)[at] if len(h) else np.zeros(0, np.uint64)
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of equal neighbours."""
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return first, np.diff(np.concatenate([first, [len(values)]]))
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of equally wide values, first all first bytes, then all second ones: sorted or small values leave runs that compress."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    """Values from planes that begin at byte ``at``, and where they end."""
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind), at + n * width
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    return len(columns[0]).to_bytes(4, "little") + b"".join(map(planes, columns))
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for kind in kinds:
+        values, at = from_planes(data, at, n, kind)
+        out.append(values)
+    return out
 
 
 class _Combined:
-    """Hashes of one task's chunk, combined; yields representatives or what the chunk already knows."""
+    """Hashes of one task's chunk, combined: a representative of each goes to the hash's bucket, what the chunk already knows goes along.
+
+    ``only_later``: every occurrence but the first is known to be a repeat, and the first is the representative; else all
+    occurrences of a hash with more than one are known, and any of them stands for it.
+    """
 
-    def __init__(self, representatives: bool, only_later: bool):
-        self.representatives, self.only_later = representatives, only_later
+    def __init__(self, buckets: int, only_later: bool):
+        self.buckets, self.only_later = buckets, only_later
         self.parts: list[tuple] = []
-        self.held = 0
+        self.held = self.spread = 0
 
-    def add(self, h1, h2, k, loc):
-        self.parts.append((h1, h2, k, loc))
-        self.held += len(h1)
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += len(columns[0])
 
-    def flush(self):
-        """Representative (h1, h2, k, loc, repeated), or (k, loc) of repeated occurrences (but the first, if only later ones count)."""
+    def flush(self) -> pa.RecordBatch | None:
+        """Rows ``(bucket, known, data)``."""
         if not self.held:
             return None
         h1, h2, k, loc = (np.concatenate(x) for x in zip(*self.parts))
@@ -99,14 +119,21 @@ class _Combined:
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(new)
-        size = np.diff(np.concatenate([first, [len(h1)]]))
-        if self.representatives:
-            return h1[first], h2[first], k[first], loc[first], size > 1
-        if self.only_later:
-            known = ~new
-        else:
-            known = np.repeat(size > 1, size)
-        return k[known], loc[known]
+        known = ~new if self.only_later else np.repeat((size := np.diff(np.append(first, len(h1)))) > 1, size)
+        rows = []
+        h1, h2, rk, rloc = h1[first], h2[first], k[first], loc[first]
+        bucket = (h1 >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)  # ascending, as h1 is
+        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), False, pack(h1[s], h2[s], rk[s], rloc[s])))
+        k, loc = k[known], loc[known]
+        order = np.lexsort((loc, k))
+        k, loc = k[order], loc[order]
+        for at in range(0, len(k), KNOWN):
+            self.spread += 1
+            rows.append(((self.spread * 7919 + int(k[at]) % 7907) % self.buckets, True, pack(k[at : at + KNOWN], loc[at : at + KNOWN])))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "known", "data"])
 
 
 def _grouped(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
@@ -124,33 +151,64 @@ def _grouped(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(variant[first] << _VARIANT), at], ["k", "variant", "at"])
 
 
-_REPRESENTATIVE = "h1 long, h2 long, k long, loc long, repeated boolean"
 _POSITIONS = "k long, variant long, at array<int>"
 
 
-def _mapper(find, representatives: bool, only_later: bool):
-    """A partition function that combines what ``find`` returns for each piece."""
-
-    def run(batches):
-        held = _Combined(representatives, only_later)
-
-        def out():
-            got = held.flush()
-            if got is None:
-                return None
-            if representatives:
-                h1, h2, k, loc, many = got
-                return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k), pa.array(loc), pa.array(many)], ["h1", "h2", "k", "loc", "repeated"])
-            return _grouped(*got)
+def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFrame:
+    """``(k, variant, at)``: positions whose hash occurs elsewhere (before them, if ``only_later``), from the rows of ``docs`` by ``find``."""
 
+    def spread(batches):
+        held = _Combined(buckets, only_later)
         for piece in chunks(batches, "text"):
             held.add(*find(piece))
-            if held.held >= COMBINE and (got := out()) is not None:
-                yield got
-        if (got := out()) is not None:
-            yield got
+            if held.held >= COMBINE and (out := held.flush()) is not None:
+                yield out
+        if (out := held.flush()) is not None:
+            yield out
 
-    return run
+    kinds = ("<u8", "<u4" if only_later else "<u1", "<i8", "<i8")
+
+    def settle(rows):
+        h1, h2, k, loc = (np.concatenate(x) for x in zip(*(unpack(r, *kinds) for r in rows)))
+        order = np.lexsort((loc, k, h2, h1))
+        h1, h2, k, loc = h1[order], h2[order], k[order], loc[order]
+        again = np.zeros(len(h1), bool)
+        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        if not only_later:
+            again[:-1] |= again[1:]
+        return k[again], loc[again]
+
+    def meet(batches):
+        bucket, rows = None, []
+        known: list = []
+        for batch in batches:
+            for b, passed, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "data"))):
+                if passed:
+                    known.append(unpack(data, "<i8", "<i8"))
+                    continue
+                if b != bucket:
+                    if rows and (out := _grouped(*settle(rows))) is not None:
+                        yield out
+                    bucket, rows = b, []
+                rows.append(data)
+            if known:
+                if (out := _grouped(*(np.concatenate(x) for x in zip(*known)))) is not None:
+                    yield out
+                known = []
+        if rows and (out := _grouped(*settle(rows))) is not None:
+            yield out
+
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.mapInArrow(spread, "bucket int, known boolean, data binary").repartition(partitions, "bucket")
+    found = dealt.sortWithinPartitions("known", "bucket").mapInArrow(meet, _POSITIONS)
+    return found.groupBy("k", "variant").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+
+def _buckets(docs: DataFrame) -> int:
+    """Buckets for the hashes of ``docs``: one for each ``BUCKET_BYTES`` of input, two a shuffle partition at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * partitions, min(size // BUCKET_BYTES, 1 << 17))
 
 
 def _find_anchors(piece: pa.RecordBatch):
@@ -158,7 +216,7 @@ def _find_anchors(piece: pa.RecordBatch):
     at, a = anchors_of(h, position, n[doc] - position)
     k = piece.column("k").to_numpy(zero_copy_only=False)[doc[at]]
     loc = piece.column("variant").to_numpy(zero_copy_only=False)[doc[at]] | position[at]
-    return a, np.zeros(len(a), np.uint64), k, loc
+    return a, np.zeros(len(a), np.uint8), k, loc
 
 
 def _find_windows(piece: pa.RecordBatch):
@@ -178,31 +236,21 @@ def _find_windows(piece: pa.RecordBatch):
     at = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (n[doc] - position >= WINDOW))
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none.view(np.uint64), none.astype(np.uint32), none, none
     k = piece.column("k").to_numpy(zero_copy_only=False)[doc[at]]
     loc = piece.column("variant").to_numpy(zero_copy_only=False)[doc[at]] | position[at]
-    return _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], _words.windows(_words.mix(h), WINDOW, 0xC2B2AE3D27D4EB4F)[at], k, loc
-
-
-def _positions(single: DataFrame, known: DataFrame) -> DataFrame:
-    """All positions of each document from single ones and from those that chunks knew."""
-    one = single.select("k", F.shiftleft(F.shiftright("loc", _VARIANT), _VARIANT).alias("variant"), F.array(F.col("loc").bitwiseAND(F.lit((1 << _VARIANT) - 1)).cast("int")).alias("at"))
-    return one.union(known).groupBy("k", "variant").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], (_words.windows(_words.mix(h), WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32), k, loc
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(k, variant, at)``: starts of the windows of each document that also start earlier."""
     spark = docs.sparkSession
     keyed = _keyed(docs, doc_id, text).drop("doc_id")
-    candidates = keyed.mapInArrow(_mapper(_find_anchors, True, False), _REPRESENTATIVE).drop("h2")
-    seen = Window.partitionBy("h1")
-    shared = candidates.withColumn("c", F.count("*").over(seen)).where("c > 1")
-    known = keyed.mapInArrow(_mapper(_find_anchors, False, False), _POSITIONS)
-    anchors = written(_positions(shared, known), "anchors")
+    buckets = _buckets(keyed)
+    anchors = written(_repeated(keyed, _find_anchors, buckets, False), "anchors")
     release(spark)
     held = keyed.join(anchors.withColumnRenamed("k", "ak").withColumnRenamed("variant", "av"), (F.col("k") == F.col("ak")) & (F.col("variant") == F.col("av"))).select("k", "variant", "text", "at")
-    ranked = held.mapInArrow(_mapper(_find_windows, True, True), _REPRESENTATIVE).withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("k", "loc")))
-    windows = written(_positions(ranked.where("r > 1"), held.mapInArrow(_mapper(_find_windows, False, True), _POSITIONS)), "windows")
+    windows = written(_repeated(held, _find_windows, buckets, True), "windows")
     release(spark)
     return windows
 
