@@ -4,11 +4,11 @@ Text is encoded by the tokenizers library.  The ids of whole documents, in ascen
 is cut into blocks of ``BLOCK`` ids.  Each block starts from an empty model, and its coded words carry a CRC-32 of
 the ids, so any block can be decoded, and any damage found, by itself.
 
-Model: the ids that last followed the two previous ids (order 2) and the previous id (order 1), each with a small confidence,
-and the majority id of the block (order 0), predict the next one.  Adaptive hit rates for each order and confidence
-are mixed, agreeing predictions reinforcing one another, to the probabilities of "order 2 hits", "order 1 hits",
-"order 0 hits" and "none"; a miss is followed by the id itself among 65,536.  A range coder with 64-bit range and carries
-codes the outcome.
+Model: the ids that last followed the two previous ids (order 2) and the previous id (order 1), each with its run of hits,
+and the majority id of the block (order 0), predict the next one.  The runs adapt the odds of every context; the odds are mixed,
+agreeing predictions reinforcing one another in the logistic domain, to the shares of "order 2 hits", "order 1 hits",
+"order 0 hits" and "none"; a miss is followed by the id itself among 65,536.  A range coder with 64-bit range, 32-bit words
+and carries codes the outcome.
 
 All blocks of a chunk are coded in step, one id of each at a time, so the arithmetic runs on numpy arrays.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,183 +36,188 @@ from pyspark.sql import functions as F
 from meltfield.llm._batches import chunks, written
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
-BLOCK, FRAME, TOGETHER = 4096, 1 << 18, 1 << 22
-SLOT_BITS, RATE, CONFIDENT = 11, 5, 3
+BLOCK, FRAME, TOGETHER = 2048, 1 << 18, 1 << 23
+#: Contexts of each order that a block remembers; greatest run of hits that counts.
+SLOT_BITS, TOP = 10, 7
 END_ID = 0
 MAGIC = b"MFT1"
-#: Pre-tokens kept in each worker.
-CACHE_WORDS = 300_000
+#: Pre-tokens kept in each worker before the older generation is forgotten.
+CACHE_WORDS = 500_000
+#: Text bytes tokenised at once.
+PIECE = 8 << 20
 
-#: Fixed value: the split pattern of byte-level BPE with a leading space, which is what the library uses.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_U8, _U16, _U24, _U32 = (np.uint64(x) for x in (8, 16, 24, 32))
+_LOW = np.uint64(1 << 32)
 
-_ONE = np.uint64(1)
-_U16, _U32 = np.uint64(16), np.uint64(32)
-_LOW = np.uint64(1 << 48)
-_MASK48 = np.uint64((1 << 48) - 1)
-_FULL = 1 << 16
+
+def _logit(p: float) -> float:
+    return np.log(p / (1 - p))
+
+
+def _mixed() -> tuple[np.ndarray, np.ndarray]:
+    """Shares of 256 of the outcomes "order 2", "order 1", "order 0", "none" for each state of the predictors, and what lies below them.
+
+    A state is (run of order 2, run of order 1, whether both predict the same id).  Each order's hit rate grows with its run of
+    hits; where both agree, their evidence is added in the logistic domain.
+    """
+    share = np.zeros((2, TOP + 1, TOP + 1, 4), np.int64)
+    for same in (0, 1):
+        for c2 in range(TOP + 1):
+            for c1 in range(TOP + 1):
+                r2, r1 = (c2 + 0.15) / (c2 + 1.3), (c1 + 0.08) / (c1 + 1.5)
+                if same:
+                    p2 = 1 / (1 + np.exp(-(0.8 * _logit(r2) + 0.5 * _logit(r1) + 0.6)))
+                    p1 = 0.0
+                else:
+                    p2, p1 = r2, (1 - r2) * r1
+                f2, f1 = max(1, round(256 * p2)), max(1, round(256 * p1))
+                f0 = max(1, round((256 - f2 - f1) * 0.03))
+                over = f2 + f1 + f0 - (256 - 8)  # a miss keeps a share of 8 at least
+                if over > 0:
+                    f2 -= over
+                share[same, c2, c1] = f2, f1, f0, 256 - f2 - f1 - f0
+    below = np.cumsum(share, axis=-1) - share
+    return share.reshape(-1, 4), below.reshape(-1, 4)
+
+
+_SHARE, _BELOW = _mixed()
+#: By state * 4 + outcome, in units of 2**24: a hit has its share, a miss that of one id among 65,536.
+_FREQ = (_SHARE * np.array([1 << 16, 1 << 16, 1 << 16, 1])).astype(np.uint64).ravel()
+_CUM = (_BELOW << 16).astype(np.uint64).ravel()
+_MISS = _SHARE[:, 3].astype(np.uint64)
+_EDGE2, _EDGE1, _EDGE0 = (_BELOW[:, k].astype(np.int32) for k in (1, 2, 3))
 
 
 class _Model:
-    """The predictions of many independent blocks."""
+    """The predictions of many independent blocks, coded in step."""
 
     def __init__(self, lanes: int):
-        self.second = np.zeros(lanes << SLOT_BITS, np.uint32)  # id * 4 + confidence
-        self.first = np.zeros(lanes << SLOT_BITS, np.uint32)
-        self.rate2 = np.full(lanes * 4, _FULL >> 3, np.int32)
-        self.rate1 = np.full(lanes * 4, _FULL >> 4, np.int32)
-        self.rate0 = np.full(lanes, _FULL >> 5, np.int32)
+        self.second = np.zeros(lanes << SLOT_BITS, np.int32)  # id * 8 + run of hits
+        self.first = np.zeros(lanes << SLOT_BITS, np.int32)
         self.major = np.zeros(lanes, np.int32)
         self.votes = np.zeros(lanes, np.int32)
         self.last = np.zeros(lanes, np.uint32)
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, np.uint32)
-
-    def predict(self, m: int):
-        """For the first ``m`` lanes: predicted ids of order 2, 1, 0, and frequencies of the four outcomes (sum 65,536)."""
-        lane = self.lane[:m]
-        last, before = self.last[:m], self.before[:m]
-        mixed = (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
-        base = lane << SLOT_BITS
-        self.at1 = base + mixed
-        self.at2 = base + (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - SLOT_BITS))
-        self.e2, self.e1 = self.second[self.at2], self.first[self.at1]
-        self.p2, self.p1, self.p0 = (self.e2 >> 2).astype(np.int32), (self.e1 >> 2).astype(np.int32), self.major[:m]
-        self.c2 = (lane << 2) + (self.e2 & 3)
-        self.c1 = (lane << 2) + (self.e1 & 3)
-        r2, r1, r0 = self.rate2[self.c2], self.rate1[self.c1], self.rate0[:m]
-        same = self.p1 == self.p2
-        rest = _FULL - r2
-        reinforced = (rest * (r1 >> 2)) >> 14
-        f2 = np.where(same, r2 + reinforced, r2)
-        f1 = np.where(same, 0, reinforced)
-        left = _FULL - f2 - f1
-        f0 = np.where((self.p0 == self.p2) | (self.p0 == self.p1), 0, (left * (r0 >> 2)) >> 14)
-        # every outcome that can happen keeps a share, the miss a large enough one
-        f2 = np.minimum(f2, _FULL - 2048)
-        f1 = np.minimum(f1, _FULL - 1024 - f2)
-        f0 = np.minimum(f0, _FULL - 512 - f2 - f1)
-        return f2, f1, f0
-
-    def update(self, m: int, ids: np.ndarray) -> None:
-        hit2, hit1, hit0 = ids == self.p2, ids == self.p1, ids == self.p0
-        for rate, at, hit in ((self.rate2, self.c2, hit2), (self.rate1, self.c1, hit1)):
-            r = rate[at]
-            rate[at] = r + (((hit * (_FULL - 4096)) + 1024 - r) >> RATE)
-        r = self.rate0[:m]
-        self.rate0[:m] = r + (((hit0 * (_FULL - 4096)) + 1024 - r) >> RATE)
-        fresh = ids.astype(np.uint32) << np.uint32(2)
-        for table, at, e, hit in ((self.second, self.at2, self.e2, hit2), (self.first, self.at1, self.e1, hit1)):
-            c = e & 3
-            table[at] = np.where(hit, e + (c < CONFIDENT), np.where(c > 0, e - 1, fresh))
-        votes = self.votes[:m]
-        new = (votes == 0) & ~hit0
-        self.major[:m] = np.where(new, ids, self.p0)
-        self.votes[:m] = np.where(hit0 | new, votes + 1, votes - 1)
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
+        self.mark = np.zeros(lanes, np.uint32)  # the contribution of the id before the last
+        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+
+    def predict(self, m: int) -> np.ndarray:
+        """Predictions of the first ``m`` lanes; returns their states."""
+        one = self.last[:m] * np.uint32(0x9E3779B1)
+        base = self.base[:m]
+        self.at1 = base + (one >> np.uint32(32 - SLOT_BITS))
+        self.at2 = base + (((one ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS))
+        self.one = one
+        self.e2, self.e1 = self.second.take(self.at2), self.first.take(self.at1)
+        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
+        self.c2, self.c1 = self.e2 & 7, self.e1 & 7
+        return ((self.p2 == self.p1) * 64) + (self.c2 << 3) + self.c1
+
+    def update(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
+        fresh = x << 3
+        self.second[self.at2] = np.where(hit2, self.e2 + (self.c2 < TOP), fresh)
+        self.first[self.at1] = np.where(hit1, self.e1 + (self.c1 < TOP), fresh)
+        votes = self.votes[:m] + (hit0 * 2 - 1)
+        lost = votes < 0
+        np.copyto(self.major[:m], x, where=lost)
+        np.abs(votes, out=self.votes[:m])
+        self.mark[:m] = self.one >> np.uint32(7)
+        self.last[:m] = x
+
+
+def _lanes(sizes: np.ndarray):
+    """Order of the blocks by falling size, where each starts among the ids, and how many are active at each step."""
+    order = np.argsort(-sizes, kind="stable")
+    n = sizes[order]
+    top = int(n[0]) if len(n) else 0
+    return order, (np.cumsum(sizes) - sizes)[order], np.searchsorted(-n, -np.arange(top), side="left").tolist()
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Coded words of each block; ``ids`` holds the blocks one after the other, ``sizes`` their lengths."""
-    order = np.argsort(-sizes, kind="stable")
-    n = sizes[order]
-    first = (np.cumsum(sizes) - sizes)[order]
-    lanes = len(n)
+    """Coded 32-bit words of each block; ``ids`` holds the blocks one after the other, ``sizes`` their lengths."""
+    order, first, active = _lanes(sizes)
+    lanes = len(order)
+    if not lanes:
+        return []
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    top = int(n[0]) if lanes else 0
-    words = np.zeros((lanes, 2 * top + 8), np.int32)  # a word may hold a carry until the end
-    at = np.zeros(lanes, np.int64)
-    active = np.searchsorted(-n, -np.arange(top), side="left")
-    for t in range(top):
-        m = int(active[t])
-        x = ids[first[:m] + t]
-        f2, f1, f0 = model.predict(m)
-        is2, is1, is0 = x == model.p2, x == model.p1, x == model.p0
-        can1, can0 = is1 & (f1 > 0), is0 & (f0 > 0)
-        is2 &= f2 > 0
-        s12 = f2 + f1
-        s = s12 + f0
-        escape = _FULL - s
-        freq = np.where(is2, f2, np.where(can1, f1, np.where(can0, f0, 0))).astype(np.uint64) << _U16
-        cum = np.where(is2, 0, np.where(can1, f2, s12)).astype(np.uint64) << _U16
-        miss = freq == 0
-        freq = np.where(miss, escape.astype(np.uint64), freq)
-        cum = np.where(miss, (s.astype(np.uint64) << _U16) + x.astype(np.uint64) * escape.astype(np.uint64), cum)
-        r = span[:m] >> _U32
-        old = low[:m]
+    height = int(len(active) * 0.7) + 6  # a miss takes 21.1 bits at most
+    words = np.zeros(height * lanes, np.uint64)  # a word may hold a carry until the end
+    at = np.arange(lanes, dtype=np.int64)
+    for t, m in enumerate(active):
+        x = ids.take(first[:m] + t)
+        state = model.predict(m)
+        hit2, hit1, hit0 = x == model.p2, x == model.p1, x == model.major[:m]
+        outcome = np.where(hit2, 0, np.where(hit1, 1, 3 - hit0))
+        key = (state << 2) + outcome
+        freq = _FREQ.take(key)
+        cum = _CUM.take(key) + (outcome == 3) * x.astype(np.uint64) * freq
+        old, here = low[:m], at[:m]
+        r = span[:m] >> _U24
         new = old + cum * r
-        carry = np.flatnonzero(new < old)
-        if len(carry):
-            words[carry, at[carry] - 1] += 1
-        low[:m], span[:m] = new, freq * r
-        while len(need := np.flatnonzero(span[:m] < _LOW)):
-            words[need, at[need]] = (low[need] >> np.uint64(48)).astype(np.int32)
-            low[need] <<= _U16
-            span[need] <<= _U16
-            at[need] += 1
-        model.update(m, x)
-    for _ in range(4):  # the rest of the low end
-        words[np.arange(lanes), at] = (low >> np.uint64(48)).astype(np.int32)
-        low <<= _U16
-        at += 1
-    for j in range(words.shape[1] - 1, 0, -1):
-        over = words[:, j] >> 16
+        carry = new < old
+        if carry.any():
+            words[here[carry] - lanes] += np.uint64(1)
+        r *= freq
+        words[here] = new >> _U32
+        need = r < _LOW
+        np.left_shift(new, _U32, out=new, where=need)
+        np.left_shift(r, _U32, out=r, where=need)
+        low[:m], span[:m] = new, r
+        here += need * lanes
+        model.update(m, x, hit2, hit1, hit0)
+    for _ in range(2):  # the rest of the low end
+        words[at] = low >> _U32
+        low <<= _U32
+        at += lanes
+    words = words.reshape(height, lanes)
+    for j in range(height - 1, 0, -1):
+        over = words[j] >> _U32
         if over.any():
-            words[:, j - 1] += over
-            words[:, j] &= 0xFFFF
-    small = words.astype("<u2")
+            words[j - 1] += over
+    small = np.ascontiguousarray(words.astype("<u4").T)
+    length = at // lanes
     out: list = [b""] * lanes
     for k, i in enumerate(order.tolist()):
-        out[i] = small[k, : at[k]].tobytes()
+        out[i] = small[k, : length[k]].tobytes()
     return out
 
 
 def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Ids of the blocks, one after the other."""
-    order = np.argsort(-sizes, kind="stable")
-    n = sizes[order]
-    first = (np.cumsum(sizes) - sizes)[order]
-    lanes = len(n)
+    order, first, active = _lanes(sizes)
+    lanes = len(order)
     ids = np.zeros(int(sizes.sum()), np.int32)
     if not lanes:
         return ids
-    length = np.array([len(coded[i]) // 2 for i in order.tolist()], np.int64)
+    length = np.array([len(coded[i]) // 4 for i in order.tolist()], np.int64)
     start = np.cumsum(length) - length
-    words = np.frombuffer(b"".join([coded[i] for i in order.tolist()]) + b"\0" * 16, "<u2").astype(np.uint64)
+    words = np.frombuffer(b"".join([coded[i] for i in order.tolist()]) + b"\0" * 16, "<u4")
     model = _Model(lanes)
-    ahead = np.zeros(lanes, np.uint64)  # the code less the low end
-    for k in range(4):
-        ahead = (ahead << _U16) | words[start + k]
-    at, span = start + 4, np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    limit = np.uint64((1 << 32) - 1)
-    active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")
-    for t in range(int(n[0])):
-        m = int(active[t])
-        f2, f1, f0 = model.predict(m)
-        s12 = f2 + f1
-        s = s12 + f0
-        escape = (_FULL - s).astype(np.uint64)
-        r = span[:m] >> _U32
+    ahead = (words.take(start).astype(np.uint64) << _U32) | words.take(start + 1)  # the code less the low end
+    at, span = start + 2, np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    limit = np.uint64((1 << 24) - 1)
+    for t, m in enumerate(active):
+        state = model.predict(m)
+        r = span[:m] >> _U24
         value = np.minimum(ahead[:m] // r, limit)
         v = (value >> _U16).astype(np.int32)
-        is2, is1, is0 = v < f2, v < s12, v < s
-        x = np.minimum((value - (s.astype(np.uint64) << _U16)) // escape, np.uint64(0xFFFF))
-        literal = x.astype(np.int32)
-        ids_t = np.where(is2, model.p2, np.where(is1, model.p1, np.where(is0, model.p0, literal)))
-        freq = np.where(is2, f2, np.where(is1, f1, f0)).astype(np.uint64) << _U16
-        cum = np.where(is2, 0, np.where(is1, f2, s12)).astype(np.uint64) << _U16
-        freq = np.where(is0, freq, escape)
-        cum = np.where(is0, cum, (s.astype(np.uint64) << _U16) + x * escape)
-        ahead[:m] -= cum * r
-        span[:m] = freq * r
-        while len(need := np.flatnonzero(span[:m] < _LOW)):
-            ahead[need] = (ahead[need] << _U16) | words[np.minimum(at[need], len(words) - 1)]
-            span[need] <<= _U16
-            at[need] += 1
-        ids[first[:m] + t] = ids_t
-        model.update(m, ids_t)
+        outcome = (v >= _EDGE2.take(state)).astype(np.int64) + (v >= _EDGE1.take(state)) + (v >= _EDGE0.take(state))
+        key = (state << 2) + outcome
+        freq, cum = _FREQ.take(key), _CUM.take(key)
+        missed = outcome == 3
+        literal = (value - cum) // freq
+        x = np.where(missed, literal.astype(np.int32), np.where(outcome == 0, model.p2, np.where(outcome == 1, model.p1, model.major[:m])))
+        cum += missed * literal * freq
+        rest = ahead[:m] - cum * r
+        r *= freq
+        need = r < _LOW
+        here = at[:m]
+        np.copyto(rest, (rest << _U32) | words.take(np.minimum(here, len(words) - 1)), where=need)
+        np.left_shift(r, _U32, out=r, where=need)
+        ahead[:m], span[:m] = rest, r
+        here += need
+        ids[first[:m] + t] = x
+        model.update(m, x, x == model.p2, x == model.p1, x == model.major[:m])
     return ids
 
 
@@ -244,6 +250,61 @@ def verify(ids: np.ndarray, sums: list[int]) -> None:
             raise ValueError(f"block {k} is damaged")
 
 
+_LETTER, _NUMBER, _WHITE, _OTHER = 1, 2, 3, 0
+
+
+def _classes() -> np.ndarray:
+    """Letter, number, white space or other, for each code point."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    table = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            shift = [0x800 if p >= 0xD800 else 0 for p in (m.start(), m.end())]
+            table[m.start() + shift[0] : m.end() + shift[1]] = kind
+    return table
+
+
+_CLASS: list[np.ndarray] = []
+
+
+def pretokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """True where a pre-token of byte-level BPE starts, for the code points of texts that begin at ``begins``.
+
+    The rule in words: runs of letters, of numbers, or of other signs take one space before them; of white space, the last
+    character before a run stands apart; an apostrophe that starts a run of its own takes s, t, m, d, re, ve or ll.
+    """
+    if not _CLASS:
+        _CLASS.append(_classes())
+    n = len(points)
+    kind = _CLASS[0].take(points)
+    new = np.zeros(n + 1, bool)
+    new[begins] = True
+    new[n] = True
+    edge = new.copy()  # starts and the end of texts
+    new[1:n] |= kind[1:] != kind[:-1]
+    white = kind == _WHITE
+    # a space goes with the run behind it
+    taken = np.zeros(n, bool)
+    taken[1:] = ~white[1:] & (points[:-1] == 0x20) & ~edge[1:n]
+    run = new.copy()
+    new[:n] &= ~taken
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & ~white[1:] & ~edge[1:n]
+    new[:n] |= last
+    quote = np.flatnonzero((points[:-1] == 0x27) & run[: n - 1] & ~taken[:-1] & (kind[1:] == _LETTER) & ~edge[1:n]) if n else np.zeros(0, np.int64)
+    if len(quote):
+        a = points[quote + 1]
+        b = np.where((quote + 2 < n) & ~edge[np.minimum(quote + 2, n)], points[np.minimum(quote + 2, n - 1)], 0)
+        one = np.isin(a, list(map(ord, "stmd")))
+        two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        hit = one | two
+        stop = (quote + 2 + two)[hit]
+        new[quote[hit] + 1] = False
+        inside = stop[(stop < n) & ~edge[np.minimum(stop, n)]]
+        new[inside[kind[inside] == _LETTER]] = True
+    return new[:n]
+
+
 class Encoder:
     """Whole texts to ids by the library; each pre-token is given to it once while it is remembered."""
 
@@ -252,28 +313,59 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian uint16 ids of each distinct pre-token."""
+        get = self.young.get
+        found = [get(w) for w in words]
+        unknown = [i for i, f in enumerate(found) if f is None]
+        if unknown:
+            ask = []
+            for i in unknown:
+                if (hit := self.old.get(words[i])) is not None:
+                    found[i] = self.young[words[i]] = hit
+                else:
+                    ask.append(i)
+            for i, e in zip(ask, self.library.encode_batch_fast([words[i].decode() for i in ask], add_special_tokens=False)):
+                found[i] = self.young[words[i]] = array("H", e.ids).tobytes()
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = {w: i for w, i in self.young.items() if len(w) <= 64}, {}
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         plain = [not any(s in t for s in self.special) for t in texts]
-        words = [self.pattern.findall(t) if p else [] for t, p in zip(texts, plain)]
-        table = self.young
-        missing = {w for ws in words for w in ws if w not in table}
-        if missing:
-            unknown = [w for w in missing if (hit := self.old.get(w)) is None or table.__setitem__(w, hit)]
-            for w, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False)):
-                table[w] = np.array(e.ids, "<u4").tobytes() if len(e.ids) > 1 else e.ids[0].to_bytes(4, "little") if e.ids else b""
-        get = table.__getitem__
-        out = [b"".join(map(get, ws)) if p else self._ids(t) for t, ws, p in zip(texts, words, plain)]
-        if len(table) > CACHE_WORDS:
-            self.old, self.young = {w: i for w, i in table.items() if len(w) <= 64}, {}
-        return out
+        if not all(plain):
+            own = iter(self.encode([t for t, p in zip(texts, plain) if p]))
+            return [next(own) if p else self._ids(t) for t, p in zip(texts, plain)]
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, np.int32)] * len(texts)
+        raw = joined.encode()
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        starts = np.flatnonzero(pretokens(points, begins[sizes > 0]))
+        if len(raw) == len(points):
+            offsets = np.append(starts, len(raw))
+        else:
+            lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            offsets = np.append(lead[starts], len(raw))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        coded = self._look_up(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+        flat = np.frombuffer(b"".join(coded), "<u2")
+        index = words.indices.to_numpy()
+        each = length[index]
+        end = np.cumsum(each)
+        ids = flat.take(np.repeat((np.cumsum(length) - length)[index] - (end - each), each) + np.arange(end[-1])).astype(np.int32)
+        cuts = np.append(0, end)[np.searchsorted(starts, begins + sizes)]
+        return np.split(ids, cuts[:-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -300,7 +392,7 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         part, e = TaskContext.get().partitionId(), encoder(vocabulary)
-        end = END_ID.to_bytes(4, "little")
+        end = np.array([END_ID], np.int32)
         frame = start = 0
         waiting: list[tuple[list, np.ndarray]] = []
         members, held, size = [], [], 0
@@ -308,7 +400,7 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         def close():
             nonlocal members, held, size
             if members:
-                waiting.append((members, np.frombuffer(b"".join(held), "<u4").astype(np.int32)))
+                waiting.append((members, np.concatenate(held)))
             members, held, size = [], [], 0
 
         def flush():
@@ -327,11 +419,11 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), _DOCS, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "frame", "start", "n_tokens", "docs", "payload"])
 
-        for piece in chunks(batches, "text"):
+        for piece in chunks(batches, "text", PIECE):
             for i, ids in zip(piece.column("doc_id").to_pylist(), e.encode([t or "" for t in piece.column("text").to_pylist()])):
-                members.append({"doc_id": i, "n_tokens": len(ids) // 4 + 1})
+                members.append({"doc_id": i, "n_tokens": len(ids) + 1})
                 held += [ids, end]
-                size += len(ids) // 4 + 1
+                size += len(ids) + 1
                 if size >= FRAME:
                     close()
             if sum(len(ids) for _, ids in waiting) >= TOGETHER:
