@@ -92,6 +92,11 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _later(k: np.ndarray, loc: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which entries of groups in (k, loc) order are not the group's first place (a repeated row is at the same place)."""
+    return (k != np.repeat(k[first], size)) | (loc != np.repeat(loc[first], size))
+
+
 class _Combined:
     """Hashes of one task's chunk, combined: a representative of each goes to the hash's bucket, what the chunk already knows goes along.
 
@@ -119,7 +124,8 @@ class _Combined:
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(new)
-        known = ~new if self.only_later else np.repeat((size := np.diff(np.append(first, len(h1)))) > 1, size)
+        size = np.diff(np.append(first, len(h1)))
+        known = _later(k, loc, first, size) if self.only_later else np.repeat(size > 1, size)
         rows = []
         h1, h2, rk, rloc = h1[first], h2[first], k[first], loc[first]
         bucket = (h1 >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)  # ascending, as h1 is
@@ -151,6 +157,14 @@ def _grouped(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(variant[first] << _VARIANT), at], ["k", "variant", "at"])
 
 
+def _single(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
+    """The same columns, a row for each position: positions of one document that met in a bucket are few."""
+    if not len(k):
+        return None
+    at = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32)), pa.array((loc & ((1 << _VARIANT) - 1)).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(loc >> _VARIANT << _VARIANT), at], ["k", "variant", "at"])
+
+
 _POSITIONS = "k long, variant long, at array<int>"
 
 
@@ -172,10 +186,11 @@ def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFram
         h1, h2, k, loc = (np.concatenate(x) for x in zip(*(unpack(r, *kinds) for r in rows)))
         order = np.lexsort((loc, k, h2, h1))
         h1, h2, k, loc = h1[order], h2[order], k[order], loc[order]
-        again = np.zeros(len(h1), bool)
-        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        if not only_later:
-            again[:-1] |= again[1:]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h1)))
+        again = _later(k, loc, first, size) if only_later else np.repeat(size > 1, size)
         return k[again], loc[again]
 
     def meet(batches):
@@ -187,7 +202,7 @@ def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFram
                     known.append(unpack(data, "<i8", "<i8"))
                     continue
                 if b != bucket:
-                    if rows and (out := _grouped(*settle(rows))) is not None:
+                    if rows and (out := _single(*settle(rows))) is not None:
                         yield out
                     bucket, rows = b, []
                 rows.append(data)
@@ -195,7 +210,7 @@ def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFram
                 if (out := _grouped(*(np.concatenate(x) for x in zip(*known)))) is not None:
                     yield out
                 known = []
-        if rows and (out := _grouped(*settle(rows))) is not None:
+        if rows and (out := _single(*settle(rows))) is not None:
             yield out
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
