@@ -35,6 +35,8 @@ from meltfield.operators.components import connected_components, ensure_checkpoi
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Keys with up to this many members compare all of them; larger ones look up neighbours.
 BLOCK = 512
+#: A fingerprint with more than this part of all rows is joined apart.
+HOT = 1000
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 #: Position pairs, and the six choices of two of them.
@@ -182,15 +184,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     rows = fingerprints(docs, doc_id, text).checkpoint()
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
     roots = connected_components(links(classes.select("fp")))
     component = (
         classes.join(roots, F.col("fp") == F.col("node"))
         .groupBy("root").agg(F.min("low").alias("component_low"))
         .join(roots, "root").select("node", "component_low")
     )
-    settled = classes.join(component, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
-    return rows.join(settled.withColumnRenamed("fp", "class_fp"), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    settled = classes.join(component, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), "n", F.coalesce("component_low", "low").alias("component_id")).checkpoint()
+    # a fingerprint with more than 1 / HOT of all rows: there are fewer than HOT of them, so they are broadcast, and no task gets all their rows
+    hot = settled.where(F.col("n") > rows.count() / HOT)
+    few = F.broadcast(hot.select(F.col("class_fp").alias("hot_fp"), F.col("component_id").alias("hot_component")))
+    marked = rows.join(few, F.col("fp") == F.col("hot_fp"), "left")
+    rest = marked.where("hot_fp is null").join(settled, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return rest.union(marked.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id")))
 
 
 def digest(found: DataFrame) -> DataFrame:
