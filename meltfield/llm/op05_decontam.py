@@ -56,8 +56,9 @@ def items_with_sketches(benchmark: DataFrame, item_id: str = "item_id", text: st
     items = each.groupBy("item_id").agg(F.count("*").alias("n_shingles"), F.array_sort(F.collect_list("s")).alias("shingles"))
     sized = each.join(items.select(F.col("item_id").alias("own_id"), "n_shingles"), F.col("item_id").eqNullSafe(F.col("own_id")))
     sized = sized.withColumn("size_class", F.ceil(F.log2("n_shingles")).cast("int"))
-    largest = F.least(F.pow(F.lit(2.0), F.col("size_class")), F.max("n_shingles").over(Window.partitionBy("size_class")))
-    sketch = F.floor((1 - F.lit(CONTAINMENT)) * largest + 1e-9) + 1
+    classes = items.groupBy(F.ceil(F.log2("n_shingles")).cast("int").alias("own_class")).agg(F.max("n_shingles").alias("largest"))
+    sized = sized.join(F.broadcast(classes), F.col("size_class") == F.col("own_class"))  # a row for each power of two: 64 at most
+    sketch = F.floor((1 - F.lit(CONTAINMENT)) * F.col("largest") + 1e-9) + 1
     ranked = sized.withColumn("k", sketch).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "s")))
     return items, ranked.where("rank <= k").select("h", "item_id", "n_shingles", "size_class", "words")
 
@@ -75,7 +76,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # shingles of a document that a sketch may hold; shorter ones only if an item is that short
     w = texts.select("doc_id", words(F.col("text")).alias("w"))
     offered = F.expr("concat(" + ", ".join(f"filter({_shingles('w', _hash('w', n), n)}, h -> h <= {known['high']}L)" for n in known["lengths"]) + ")")
-    probes = w.select("doc_id", F.size("w").alias("n_words"), F.explode(offered).alias("h"))
+    # the words stay below the explode: a column used above it would be copied to every shingle; the outer explode keeps the
+    # optimizer from inferring a filter on the array, which would rebuild the words for every shingle; its null rows join nothing
+    probes = w.select("doc_id", F.size("w").alias("n_words"), offered.alias("offered")).select("doc_id", "n_words", F.explode_outer("offered").alias("h"))
     build = sketches.withColumnRenamed("h", "sketch_h")
     small = known["n"] <= BROADCAST_ROWS
     if small:
@@ -86,19 +89,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     candidates = probes.join(build, (F.col("h") == F.col("sketch_h")) & (F.col("n_words") >= F.lit(CONTAINMENT) * F.col("n_shingles"))).select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item")).distinct()
     candidates = written(candidates, "candidates")
     pairs = candidates.join(items, F.col("c_item").eqNullSafe(F.col("item_id")))
-    spaced = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc"))).select("doc_id", "item_id", "n_shingles", "shingles", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("line"))
-    found = F.size(F.filter("shingles", lambda s: F.col("line").contains(F.concat(F.lit(" "), s, F.lit(" "))))).cast("long")
-    return (
-        spaced.select("doc_id", "item_id", "n_shingles", found.alias("n_found"))
-        .withColumn("containment", F.col("n_found") / F.col("n_shingles"))
-        .where(F.col("containment") >= CONTAINMENT)
+    joined = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc")))
+    line = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
+    # bound to a lambda's variable, the line is made once for each pair; the explode keeps it from being made again for the filter
+    held = joined.select("doc_id", "item_id", "n_shingles", "shingles", F.array(line).alias("lines"))
+    found = F.expr(
+        f"filter(transform(lines, l -> struct(n_shingles, size(filter(shingles, s -> contains(l, concat(' ', s, ' ')))) as n_found)), x -> x.n_found >= {CONTAINMENT} * x.n_shingles)"
     )
+    counted = held.select("doc_id", "item_id", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "item_id", "x.n_shingles", F.col("x.n_found").cast("long").alias("n_found"))
+    return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id holds no test item."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
