@@ -25,6 +25,8 @@ from meltfield.llm._batches import bounded_sample, chunks, map_text
 from meltfield.llm.op01_langid import prepare
 
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
+#: Text bytes of the sample that the driver takes apart at once.
+TRAIN_PIECE = 1 << 19
 BITS, GRAMS = 20, (4, 5)
 #: A slot is selected by at least so many toxic documents and this share of them, this ratio of document rates, and among the strongest.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_SLOTS = 4, 0.02, 15.0, 4096
@@ -72,7 +74,7 @@ def _counts(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pieces(texts: list[str]):
-    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text"):
+    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text", TRAIN_PIECE):
         yield batch.column("text")
 
 
