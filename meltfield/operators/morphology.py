@@ -168,7 +168,7 @@ def region_table(labelled: DataFrame, resolution: float, fields: list[str]) -> D
             "axis_minor_length": lambda: [F.sqrt(F.greatest(F.lit(0.0), 10 * (-c("eigen")[0] + c("eigen")[1] + c("eigen")[2]))).alias("axis_minor_length")],
             "moments": lambda: [c("raw")[n].alias(f"moments-{i}-{j}-{k}") for n, (i, j, k) in enumerate(_powers())],
             "moments_central": lambda: [c("central")[n].alias(f"moments_central-{i}-{j}-{k}") for n, (i, j, k) in enumerate(_powers())],
-            "moments_normalized": lambda: [c("normal")[n].alias(f"moments_normalized-{i}-{j}-{k}") for n, (i, j, k) in enumerate(_powers())],
+            "moments_normalized": lambda: [F.coalesce(c("normal")[n], F.lit(float("nan"))).alias(f"moments_normalized-{i}-{j}-{k}") for n, (i, j, k) in enumerate(_powers())],
             "coords": lambda: [c("voxels").alias("coords")],
             "coords_scaled": lambda: [F.transform("voxels", lambda v: F.array(v["ix"] * s, v["iy"] * s, v["iz"] * s)).alias("coords_scaled")],
             "slice": lambda: [F.array(*[F.struct(c(f"min_i{a}").alias("start"), c(f"max_i{a}").alias("stop")) for a in "xyz"]).alias("slice")],

@@ -123,7 +123,7 @@ def test_raster_round_trip(spark, tmp_path):
     assert write_vtk(morphology.porous_from_field(spark, field * 0), grid, str(tmp_path / "q.vti")) == 0 and not read_vtk(str(tmp_path / "q.vti"))[1].any()
 
 
-POOL = MeltPoolSpec({d: ((2e-4, 0, 0), (8.2e-8, 0.99, -1.54), (1.9e-7, 1.98, -1.51)) for d in ("width", "depth", "height")})
+POOL = MeltPoolSpec({d: ((1e-4, 0, 0), (4.0876165465e-08, 0.99, -1.5393804003), (9.3202056060e-08, 1.98, -1.5079644737)) for d in ("width", "depth", "height")})
 
 
 def test_full_workflow(spark):
