@@ -302,3 +302,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from the operator's output."""
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB: every window of every document, the first place of each kept.
+ORACLE_SQL = r"""
+with d as materialized (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from win) where r > 1),
+cov as (select distinct doc_id, unnest(range(i, i + 20)) as p from rep),
+pos as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t from pos anti join cov using (doc_id, p) group by doc_id),
+gone as (select doc_id, count(*) as n from cov group by doc_id)
+select doc_id, len(w) as n_words, coalesce(gone.n, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from d left join gone using (doc_id) left join kept using (doc_id)
+"""

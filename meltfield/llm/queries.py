@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": op05_decontam.ORACLE_SQL}
+    return {"op3_substring": op03_substring.ORACLE_SQL, "op5_decontam": op05_decontam.ORACLE_SQL}
