@@ -25,8 +25,8 @@ from meltfield.llm._batches import bounded_sample, chunks, map_text
 from meltfield.llm.op01_langid import prepare
 
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
-#: Text bytes of the sample that the driver takes apart at once.
-TRAIN_PIECE = 1 << 19
+#: Text bytes taken apart at once: of the sample on the driver, and on the executors.
+TRAIN_PIECE, PIECE = 1 << 19, 1 << 20
 BITS, GRAMS = 20, (4, 5)
 #: A slot is selected by at least so many toxic documents and this share of them, this ratio of document rates, and among the strongest.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_SLOTS = 4, 0.02, 15.0, 4096
@@ -187,7 +187,7 @@ def grade(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: str
         return {"doc_id": piece.column("doc_id"), "severity": pa.array(up.sum(1)), "grade": pa.array((edge[:, :-1] - edge[:, 1:]).argmax(1).astype(np.int32)), "toxic": pa.array(up[:, 0] >= REJECT)}
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, severity double, grade int, toxic boolean")
+    return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, severity double, grade int, toxic boolean", PIECE)
 
 
 def reject(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -195,7 +195,7 @@ def reject(docs: DataFrame, model: dict | None) -> DataFrame:
     columns = docs.columns
 
     def run(batches):
-        for piece in chunks(batches, "text"):
+        for piece in chunks(batches, "text", PIECE):
             yield piece.filter(pa.array(severity(model, piece.column("text"))[:, 0] < REJECT))
 
     return docs.select(*columns).mapInArrow(run, docs.schema)
