@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 from meltfield.llm._batches import chunks, written
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
-BLOCK, FRAME, TOGETHER = 2048, 1 << 18, 1 << 22
+BLOCK, FRAME, TOGETHER = 1024, 1 << 18, 1 << 22
 #: Contexts of each order that a block remembers; greatest run of hits that counts.
-SLOT_BITS, TOP = 10, 7
+SLOT_BITS, TOP = 9, 7
 END_ID = 0
 MAGIC = b"MFT1"
 #: Pre-tokens kept in each worker before the older generation is forgotten.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
 #: Text bytes tokenised at once.
-PIECE = 6 << 20
+PIECE = 4 << 20
 
 _U8, _U16, _U24, _U32 = (np.uint64(x) for x in (8, 16, 24, 32))
 _LOW = np.uint64(1 << 32)
