@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm import _words
-from meltfield.llm._batches import chunks, release, utf8, written
+from meltfield.llm._batches import chunks, discard, release, utf8, written
 
 #: Words in a window; period and difference cover; words in an anchor.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -266,6 +266,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     release(spark)
     held = keyed.join(anchors.withColumnRenamed("k", "ak").withColumnRenamed("variant", "av"), (F.col("k") == F.col("ak")) & (F.col("variant") == F.col("av"))).select("k", "variant", "text", "at")
     windows = written(_repeated(held, _find_windows, buckets, True), "windows")
+    del held
+    discard(anchors)
     release(spark)
     return windows
 
