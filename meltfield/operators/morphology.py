@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meltfield.functions.hull import convex_image, longest
 from meltfield.operators.components import connected_components, ensure_checkpoint_dir
 from meltfield.schema import GridSpec
 
@@ -26,7 +27,8 @@ SHELL = 26
 
 FIELDS = (
     "label num_pixels area bbox area_bbox extent centroid equivalent_diameter_area area_filled euler_number inertia_tensor inertia_tensor_eigvals "
-    "axis_major_length axis_minor_length moments moments_central moments_normalized coords coords_scaled slice image image_filled surface_area"
+    "axis_major_length axis_minor_length moments moments_central moments_normalized coords coords_scaled slice image image_filled surface_area "
+    "area_convex solidity feret_diameter_max image_convex"
 ).split()
 
 
@@ -146,6 +148,8 @@ def region_table(labelled: DataFrame, resolution: float, fields: list[str]) -> D
         g = g.join(surface(labelled).withColumnRenamed("label", "face_label"), F.col("label") == F.col("face_label")).drop("face_label")
     if need & {"area_filled", "image_filled"}:
         g = g.join(filled(labelled).withColumnRenamed("label", "filled_label"), F.col("label") == F.col("filled_label")).drop("filled_label")
+    if need & {"area_convex", "solidity", "feret_diameter_max", "image_convex"}:
+        g = g.join(convex(labelled).withColumnRenamed("label", "convex_label"), F.col("label") == F.col("convex_label")).drop("convex_label")
     if moments:
         g = _with_moments(g, s)
     columns = []
@@ -174,6 +178,10 @@ def region_table(labelled: DataFrame, resolution: float, fields: list[str]) -> D
             "slice": lambda: [F.array(*[F.struct(c(f"min_i{a}").alias("start"), c(f"max_i{a}").alias("stop")) for a in "xyz"]).alias("slice")],
             "image": lambda: [F.transform("voxels", lambda v: F.struct((v["ix"] - c("min_ix")).alias("i"), (v["iy"] - c("min_iy")).alias("j"), (v["iz"] - c("min_iz")).alias("k"))).alias("image")],
             "image_filled": lambda: [c("image_filled")],
+            "area_convex": lambda: [(c("n_convex") * (s**3)).alias("area_convex")],
+            "solidity": lambda: [(c("n") / c("n_convex")).alias("solidity")],
+            "feret_diameter_max": lambda: [(c("feret") * s).alias("feret_diameter_max")],
+            "image_convex": lambda: [c("image_convex")],
         }[f]()
     return g.select(*columns)
 
@@ -270,6 +278,17 @@ def filled(labelled: DataFrame) -> DataFrame:
     return small.union(large)
 
 
+def convex(labelled: DataFrame) -> DataFrame:
+    """``(label, n_convex, feret, image_convex)``: voxels of each pore's convex hull and its greatest extent in voxels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = convex_image(pdf[["ix", "iy", "iz"]].to_numpy())
+        cells = [{"i": int(i), "j": int(j), "k": int(k)} for i, j, k in zip(*np.nonzero(mask))]
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n_convex": [int(mask.sum())], "feret": [longest(mask)], "image_convex": [cells]})
+
+    return labelled.select("label", "ix", "iy", "iz").groupBy("label").applyInPandas(run, "label long, n_convex long, feret double, image_convex array<struct<i:int,j:int,k:int>>")
+
+
 def compute_morphology(porous: DataFrame, voxel_resolution: float, morphology_fields: list[str]) -> DataFrame:
     """Region table of the pores with at least two voxels; no pore gives an empty table with the columns."""
     return region_table(without_small(labels(porous)), voxel_resolution, list(morphology_fields))

@@ -453,6 +453,12 @@ def pore_filled(spark, sf_dir):
     return _region(spark, sf_dir, "area", "area_filled")
 
 
+@query()
+def pore_convex(spark, sf_dir):
+    """Hull volume, solidity and greatest extent (SQL has no hull)."""
+    return _region(spark, sf_dir, "area", "area_convex", "solidity", "feret_diameter_max")
+
+
 @query()
 def pore_moments(spark, sf_dir):
     t = _region(spark, sf_dir, "moments", "moments_central", "moments_normalized")

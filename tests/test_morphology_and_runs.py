@@ -85,6 +85,34 @@ def test_topology(spark):
     assert (r["euler_number"], r["area_filled"], r["surface_area"]) == (1, 2.0, 12.0)
 
 
+def test_hulls(spark):
+    from meltfield.functions.hull import convex_image, longest, planes
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        p = rng.integers(-6, 7, (rng.integers(5, 60), 3))
+        p = np.concatenate([p, [[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]]])
+        n, d = planes(p)
+        assert (p @ n.T <= d).all()
+        # every face holds three points or more, and every pair of opposite directions is supported by the points
+        assert all((p @ a == b).sum() >= 3 for a, b in zip(n, d) if a.any())
+        inside = rng.dirichlet(np.ones(len(p)), 50) @ p
+        assert (inside @ n.T <= d + 1e-9).all()
+        away = rng.normal(size=(50, 3))
+        top = (p @ away.T).max(0)
+        outside = p[(p @ away.T).argmax(0)] + away * 1e-3
+        assert ((outside @ n.T > d - 1e-12).any(1)).all() and len(top) == 50
+    bar = np.array([(i, 0, 0) for i in range(5)])
+    assert convex_image(bar).all() and longest(convex_image(bar)) == pytest.approx(5.0)
+    ell = np.array([(i, 0, 0) for i in range(5)] + [(0, j, 0) for j in range(5)])
+    assert convex_image(ell)[1, 1, 0] and not convex_image(ell)[4, 4, 0]
+    field = np.zeros((6, 6, 6), bool)
+    field[tuple(ell.T)] = True
+    (r,) = morphology.region_table(morphology.labels(morphology.porous_from_field(spark, field)), 0.5, ["area", "area_convex", "solidity", "feret_diameter_max"]).collect()
+    n = convex_image(ell).sum()
+    assert (r["area_convex"], r["solidity"]) == (pytest.approx(n / 8), pytest.approx(9 / n)) and r["feret_diameter_max"] == pytest.approx(0.5 * longest(convex_image(ell)))
+
+
 def test_moments_and_inertia(spark):
     rng = np.random.default_rng(1)
     field = np.zeros((12, 11, 10), bool)
