@@ -2,8 +2,8 @@
 
 Two physical strategies give the same mask:
 
-``sql``   vectors are exploded over the z planes (optionally xy tiles) they reach, joined to the voxels on that key with the
-          exact predicates as residual, as a left semi or left anti join that stops at the first hit.  Meant for few modes.
+``sql``   vectors are exploded over the z planes they reach and joined to the voxels on that key with the box tests as residual;
+          pairs that pass the melt predicate give the melted ids for a left semi or left anti join.  Meant for few modes.
 ``tiles`` the grid is cut into cubes of ``TILE`` voxels; (tile, vector) pairs are shuffled, voxels never are.  Each tile is
           computed by numpy from the grid's arithmetic and skips voxels already melted; a tile with very many vectors is split
           by salt, and the partial bitmaps are merged by OR.  Memory is one tile and one Arrow batch.
@@ -62,25 +62,33 @@ def candidates(voxels: DataFrame, vectors: DataFrame, grid: GridSpec) -> DataFra
     return G.with_path(voxels.join(build, (F.col("iz") == F.col("bin_z")) & G.in_aabb() & G.in_obb()).drop("bin_z"))
 
 
-def _condition(pool: MeltPoolSpec):
-    """The whole predicate over the columns of a voxel and a vector, cheapest tests first."""
+def melted_ids(voxels: DataFrame, vectors: DataFrame, grid: GridSpec, pool: MeltPoolSpec) -> DataFrame:
+    """``voxel_id`` of the voxels that some vector melts.
+
+    The cheap tests are the join's condition.  Time and cross-section come out of an explode, which keeps the optimizer from
+    writing their formulas into every use in the modal sums (that made methods too long to compile).
+    """
     c = F.col
-    tf = G.time_fraction()
-    t = c("t0") + tf * (c("t1") - c("t0"))
-    y = (c("x") - (c("sx") + tf * c("dx"))) * c("e0x") + (c("y") - (c("sy") + tf * c("dy"))) * c("e0y")
-    z = c("z") - (c("sz") + tf * c("dz"))
-    w, d, h = (G.modal(pool, dim, t) for dim in ("width", "depth", "height"))
-    return (c("iz") == c("bin_z")) & G.in_aabb() & G.in_obb() & G.inside(y, z, w, h, d, pool.height_shape, pool.depth_shape)
+    build = _build(binned(vectors, grid))
+    pairs = voxels.join(build, (c("iz") == c("bin_z")) & G.in_aabb() & G.in_obb()).withColumn("tf", G.time_fraction())
+    tf = c("tf")
+    path = F.struct(
+        (c("t0") + tf * (c("t1") - c("t0"))).alias("t"),
+        ((c("x") - (c("sx") + tf * c("dx"))) * c("e0x") + (c("y") - (c("sy") + tf * c("dy"))) * c("e0y")).alias("local_y"),
+        (c("z") - (c("sz") + tf * c("dz"))).alias("local_z"),
+    )
+    held = pairs.select("voxel_id", "phases", F.explode_outer(F.array(path)).alias("path")).select("voxel_id", "phases", "path.t", "path.local_y", "path.local_z")
+    return held.where(G.melts(pool)).select(F.col("voxel_id").alias("melted_id")).distinct()
 
 
 def melted_sql(voxels: DataFrame, vectors: DataFrame, grid: GridSpec, pool: MeltPoolSpec) -> DataFrame:
     """Voxels with a vector that melts them (semi join)."""
-    return voxels.join(_build(binned(vectors, grid)), _condition(pool), "left_semi")
+    return voxels.join(melted_ids(voxels, vectors, grid, pool), F.col("voxel_id") == F.col("melted_id"), "left_semi")
 
 
 def porous_sql(voxels: DataFrame, vectors: DataFrame, grid: GridSpec, pool: MeltPoolSpec) -> DataFrame:
     """Voxels that no vector melts (anti join)."""
-    return voxels.join(_build(binned(vectors, grid)), _condition(pool), "left_anti")
+    return voxels.join(melted_ids(voxels, vectors, grid, pool), F.col("voxel_id") == F.col("melted_id"), "left_anti")
 
 
 _NEEDS = ("sx", "sy", "sz", "dx", "dy", "dz", "cx", "cy", "cz", "e0x", "e0y", "e1x", "e1y", "l0", "l1", "t0", "t1", "len2", "xmin", "xmax", "ymin", "ymax", "zmin", "zmax")

@@ -8,6 +8,7 @@ A label is the rank of a component by its first voxel in C order, over all compo
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -278,15 +279,26 @@ def filled(labelled: DataFrame) -> DataFrame:
     return small.union(large)
 
 
+@lru_cache(maxsize=4096)
+def _convex_shape(shape: bytes) -> tuple[int, float, list]:
+    """Hull voxels, extent and cells of a shape; small pores share few shapes."""
+    mask = convex_image(np.frombuffer(shape, np.int64).reshape(-1, 3))
+    return int(mask.sum()), longest(mask), np.argwhere(mask).tolist()
+
+
 def convex(labelled: DataFrame) -> DataFrame:
     """``(label, n_convex, feret, image_convex)``: voxels of each pore's convex hull and its greatest extent in voxels."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = convex_image(pdf[["ix", "iy", "iz"]].to_numpy())
-        cells = [{"i": int(i), "j": int(j), "k": int(k)} for i, j, k in zip(*np.nonzero(mask))]
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n_convex": [int(mask.sum())], "feret": [longest(mask)], "image_convex": [cells]})
-
-    return labelled.select("label", "ix", "iy", "iz").groupBy("label").applyInPandas(run, "label long, n_convex long, feret double, image_convex array<struct<i:int,j:int,k:int>>")
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for cells in pdf["cells"]:
+                at = np.array([list(c) for c in cells], np.int64)
+                rows.append(_convex_shape((at[np.lexsort(at.T)] - at.min(0)).tobytes()))
+            yield pd.DataFrame({"label": pdf["label"], "n_convex": [r[0] for r in rows], "feret": [r[1] for r in rows], "image_convex": [[dict(zip("ijk", c)) for c in r[2]] for r in rows]})
+
+    cells = labelled.groupBy("label").agg(F.collect_list(F.array("ix", "iy", "iz")).alias("cells"))
+    return cells.mapInPandas(run, "label long, n_convex long, feret double, image_convex array<struct<i:int,j:int,k:int>>")
 
 
 def compute_morphology(porous: DataFrame, voxel_resolution: float, morphology_fields: list[str]) -> DataFrame:
