@@ -20,6 +20,7 @@ if no document of its component has an id); repeated rows each return a row; ext
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltfield.llm._batches import map_text
+from meltfield.llm._batches import map_text, written
 from meltfield.operators.components import connected_components, ensure_checkpoint_dir
 
 #: Words in a shingle, seed of the shingle hash, greatest number of differing bits of a link.
@@ -68,15 +69,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp LONG)`` of every whole text; ``fp`` holds the 64 bits."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``(doc_id, fp LONG)`` of every whole text; ``fp`` holds the 64 bits.  With a column ``row`` also ``(text_hash LONG, row LONG)``."""
+    also = ["text_hash", "row"] if row else []
 
     def run(piece: pa.RecordBatch) -> dict:
         fps = [fingerprint(shingle_hashes(t or b"")) for t in piece.column("text").cast(pa.binary()).to_pylist()]
-        return {"doc_id": piece.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+        return {"doc_id": piece.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))} | {c: piece.column(c) for c in also}
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, fp long")
+    given = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")] + ([F.xxhash64(text).alias("text_hash"), F.col(row).alias("row")] if row else [])
+    return map_text(docs.select(*given), "text", run, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in also)]))
 
 
 def postings(fps: DataFrame) -> DataFrame:
@@ -200,6 +203,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rest.union(marked.where("hot_fp is not null").select("doc_id", "fp", F.col("hot_component").alias("component_id")))
 
 
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, all columns: the smallest by (doc_id, hash of the text, row number), null ids last.
+
+    Rows are told apart by a number that is written with them, so neither a repeated nor a null id keeps or drops another row.
+    """
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = fingerprints(numbered, doc_id, text, row).checkpoint()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
+    classes = rows.groupBy("fp").agg(F.min(place).alias("low")).checkpoint()
+    roots = connected_components(links(classes.select("fp")))
+    # both minima are combined before the shuffle: a group with very many rows or fingerprints is not dealt to one task
+    component = classes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("low").alias("low"))
+    kept = component.select(F.col("low.row").alias("kept_row"))
+    return numbered.join(kept, numbered[row] == kept["kept_row"], "left_semi").drop(row)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from the operator's output."""
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

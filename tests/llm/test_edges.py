@@ -98,3 +98,14 @@ def test_stages(stage, spark, docs, clashing, empty, labels, benchmark, tmp_path
     assert 0 < out.count() <= docs.count()
     assert f(spark, clashing, str(tmp_path)).count() == out.count()
     assert f(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark, clashing):
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "an entirely different sentence about slow green turtles", "numbers and letters meet in a third unrelated line of words")
+    texts = [(5, a), (5, a), (6, a), (5, b), (4, b), (None, b), (None, c), (None, c), (None, c), (8, None), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", str(n), 0) for n, (i, t) in enumerate(texts)], DOCS).repartition(5)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in left.collect()), key=str) == sorted([(5, a), (4, b), (None, c), (8, "")], key=str)
+    ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, clashing, "").collect()]
+    assert sorted(ids, key=str) == sorted([1, 4, 5, 7, 8, 9, None], key=str)
