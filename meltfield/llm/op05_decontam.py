@@ -14,8 +14,9 @@ words, lower-cased runs of letters and digits) occur in the document, however lo
   shingles that occur in the document's words as strings.
 
 Defined results: items under ``SHINGLE`` words have one shingle, the whole sequence; an item without words, a null
-item and a null or empty text match nothing; rows that repeat a doc_id are verified each for itself; repeated items with
-one id are merged into one set of shingles; null ids are reported as null; other columns are not read.
+item and a null or empty text match nothing; rows that repeat a doc_id are verified each for itself; rows of the
+benchmark with the same id and the same words are one item, other texts under that id (or without one) are items of their own, each
+reported by its id; null ids are reported as null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,21 +47,26 @@ def _hash(w: str, size: int = SHINGLE) -> str:
 
 
 def items_with_sketches(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Items ``(item_id, n_shingles, shingles)`` and their sketches ``(h, item_id, n_shingles, size_class, words)``."""
+    """Items ``(item_id, content, n_shingles, shingles)`` and their sketches ``(h, item_id, content, n_shingles, size_class, words)``.
+
+    An item is its id and its words: ``content`` is a 128-bit hash of them.
+    """
     w = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where("size(w) > 0")
+    w = w.withColumn("content", F.unhex(F.md5(F.array_join("w", " "))))
     def pairs(n):
         return _shingles("w", f"struct({_hash('w', n)} as h, array_join(slice(w, i + 1, {n}), ' ') as s, {n} as words)", n)
 
     by_length = "case " + " ".join(f"when size(w) = {n} then {pairs(n)}" for n in range(1, SHINGLE)) + f" else {pairs(SHINGLE)} end"
-    each = w.select("item_id", F.explode(F.expr(by_length)).alias("x")).select("item_id", "x.h", "x.s", "x.words").distinct()
-    items = each.groupBy("item_id").agg(F.count("*").alias("n_shingles"), F.array_sort(F.collect_list("s")).alias("shingles"))
-    sized = each.join(items.select(F.col("item_id").alias("own_id"), "n_shingles"), F.col("item_id").eqNullSafe(F.col("own_id")))
+    each = w.select("item_id", "content", F.explode(F.expr(by_length)).alias("x")).select("item_id", "content", "x.h", "x.s", "x.words").distinct()
+    items = each.groupBy("item_id", "content").agg(F.count("*").alias("n_shingles"), F.array_sort(F.collect_list("s")).alias("shingles"))
+    own = items.select(F.col("item_id").alias("own_id"), F.col("content").alias("own_content"), "n_shingles")
+    sized = each.join(own, F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content")))
     sized = sized.withColumn("size_class", F.ceil(F.log2("n_shingles")).cast("int"))
     classes = items.groupBy(F.ceil(F.log2("n_shingles")).cast("int").alias("own_class")).agg(F.max("n_shingles").alias("largest"))
     sized = sized.join(F.broadcast(classes), F.col("size_class") == F.col("own_class"))  # a row for each power of two: 64 at most
     sketch = F.floor((1 - F.lit(CONTAINMENT)) * F.col("largest") + 1e-9) + 1
-    ranked = sized.withColumn("k", sketch).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "s")))
-    return items, ranked.where("rank <= k").select("h", "item_id", "n_shingles", "size_class", "words")
+    ranked = sized.withColumn("k", sketch).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "content").orderBy("h", "s")))
+    return items, ranked.where("rank <= k").select("h", "item_id", "content", "n_shingles", "size_class", "words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -86,9 +92,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     else:
         probes = probes.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"))
     # a document with n words has at most n shingles, so larger classes cannot be contained in it
-    candidates = probes.join(build, (F.col("h") == F.col("sketch_h")) & (F.col("n_words") >= F.lit(CONTAINMENT) * F.col("n_shingles"))).select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item")).distinct()
+    candidates = probes.join(build, (F.col("h") == F.col("sketch_h")) & (F.col("n_words") >= F.lit(CONTAINMENT) * F.col("n_shingles"))).select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), F.col("content").alias("c_content")).distinct()
     candidates = written(candidates, "candidates")
-    pairs = candidates.join(items, F.col("c_item").eqNullSafe(F.col("item_id")))
+    pairs = candidates.join(items, F.col("c_item").eqNullSafe(F.col("item_id")) & (F.col("c_content") == F.col("content")))
     joined = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc")))
     line = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
     # bound to a lambda's variable, the line is made once for each pair; the explode keeps it from being made again for the filter

@@ -109,3 +109,13 @@ def test_one_row_of_each_near_duplicate_group_stays(spark, clashing):
     assert sorted(((r["doc_id"], r["text"] or "") for r in left.collect()), key=str) == sorted([(5, a), (4, b), (None, c), (8, "")], key=str)
     ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, clashing, "").collect()]
     assert sorted(ids, key=str) == sorted([1, 4, 5, 7, 8, 9, None], key=str)
+
+
+@pytest.mark.parametrize("item", [1, None])
+def test_texts_under_one_item_id_are_items_of_their_own(item, spark):
+    passages = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    bench = spark.createDataFrame([*((item, p) for p in passages), (item, passages[0].upper()), (item, "one")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {p} after") for i, p in enumerate(passages)] + [(9, "nothing of it")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in op05_decontam.digest(op05_decontam.contaminated(docs, bench)).collect())
+    assert got == [(i, item, 26, 26, 1.0) for i in range(3)]
+    assert [r["doc_id"] for r in op05_decontam.clean(docs, bench).collect()] == [9]
