@@ -71,45 +71,52 @@ def items_with_sketches(benchmark: DataFrame, item_id: str = "item_id", text: st
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, n_shingles LONG, n_found LONG, containment DOUBLE)`` of every contained item of every row."""
+    return _verified(docs, benchmark, doc_id, text, item_id, item_text).drop("text_sha")
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``contaminated`` with ``text_sha``, the SHA-256 of the row's text: with the doc_id it says which row was verified."""
     items, sketches = items_with_sketches(benchmark, item_id, item_text)
     items, sketches = written(items, "items"), written(sketches, "sketches")
     known = sketches.agg(F.count("*").alias("n"), F.max("h").alias("high"), F.array_sort(F.collect_set("words")).alias("lengths")).first()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # 64 bits of the text keep the rows under one id apart in the search; every row that is met is verified by itself
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     if not known["n"]:
         item_kind = items.schema["item_id"].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, n_shingles long, n_found long, containment double")
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, n_shingles long, n_found long, text_sha binary, containment double")
     # shingles of a document that a sketch may hold; shorter ones only if an item is that short
-    w = texts.select("doc_id", words(F.col("text")).alias("w"))
+    w = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     offered = F.expr("concat(" + ", ".join(f"filter({_shingles('w', _hash('w', n), n)}, h -> h <= {known['high']}L)" for n in known["lengths"]) + ")")
     # the words stay below the explode: a column used above it would be copied to every shingle; the outer explode keeps the
     # optimizer from inferring a filter on the array, which would rebuild the words for every shingle; its null rows join nothing
-    probes = w.select("doc_id", F.size("w").alias("n_words"), offered.alias("offered")).select("doc_id", "n_words", F.explode_outer("offered").alias("h"))
+    probes = w.select("doc_id", "text_hash", F.size("w").alias("n_words"), offered.alias("offered")).select("doc_id", "text_hash", "n_words", F.explode_outer("offered").alias("h"))
     build = sketches.withColumnRenamed("h", "sketch_h")
     small = known["n"] <= BROADCAST_ROWS
     if small:
         build = F.broadcast(build)
     else:
-        probes = probes.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"))
+        probes = probes.groupBy("doc_id", "text_hash", "h").agg(F.max("n_words").alias("n_words"))
     # a document with n words has at most n shingles, so larger classes cannot be contained in it
-    candidates = probes.join(build, (F.col("h") == F.col("sketch_h")) & (F.col("n_words") >= F.lit(CONTAINMENT) * F.col("n_shingles"))).select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), F.col("content").alias("c_content")).distinct()
+    candidates = probes.join(build, (F.col("h") == F.col("sketch_h")) & (F.col("n_words") >= F.lit(CONTAINMENT) * F.col("n_shingles"))).select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), F.col("item_id").alias("c_item"), F.col("content").alias("c_content")).distinct()
     candidates = written(candidates, "candidates")
     pairs = candidates.join(items, F.col("c_item").eqNullSafe(F.col("item_id")) & (F.col("c_content") == F.col("content")))
-    joined = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc")))
+    joined = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
     line = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
     # bound to a lambda's variable, the line is made once for each pair; the explode keeps it from being made again for the filter
-    held = joined.select("doc_id", "item_id", "n_shingles", "shingles", F.array(line).alias("lines"))
+    held = joined.select("doc_id", "item_id", "n_shingles", "shingles", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_sha"), F.array(line).alias("lines"))
     found = F.expr(
         f"filter(transform(lines, l -> struct(n_shingles, size(filter(shingles, s -> contains(l, concat(' ', s, ' ')))) as n_found)), x -> x.n_found >= {CONTAINMENT} * x.n_shingles)"
     )
-    counted = held.select("doc_id", "item_id", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "item_id", "x.n_shingles", F.col("x.n_found").cast("long").alias("n_found"))
+    counted = held.select("doc_id", "item_id", "text_sha", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "item_id", "x.n_shingles", F.col("x.n_found").cast("long").alias("n_found"), "text_sha")
     return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id holds no test item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs``, all columns, whose own text holds no test item, whatever other rows with the same doc_id hold."""
+    bad = _verified(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_sha").alias("bad_sha")).distinct()
+    same_text = F.unhex(F.sha2(docs["text"].cast("binary"), 256)) == bad["bad_sha"]
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & same_text, "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -119,3 +119,12 @@ def test_texts_under_one_item_id_are_items_of_their_own(item, spark):
     got = sorted(tuple(r) for r in op05_decontam.digest(op05_decontam.contaminated(docs, bench)).collect())
     assert got == [(i, item, 26, 26, 1.0) for i in range(3)]
     assert [r["doc_id"] for r in op05_decontam.clean(docs, bench).collect()] == [9]
+
+
+@pytest.mark.parametrize("key", [5, None])
+def test_a_contaminated_row_takes_no_other_row_of_its_id(key, spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(key, f"some {item} words"), (key, "clean words"), (key, "clean words"), (key, None), (key, f"other {item}"), (6, "clean")], "doc_id long, text string").repartition(3)
+    left = sorted((tuple(r) for r in op05_decontam.clean(docs, bench).collect()), key=str)
+    assert left == sorted([(key, "clean words"), (key, "clean words"), (key, None), (6, "clean")], key=str)
