@@ -17,8 +17,8 @@ Both intermediate results are written to the shared checkpoint folder, which als
 at one time.
 
 Defined results: null and empty texts have no words; a null doc_id counts as the largest id; rows that repeat both doc_id
-and text count as one document and get the same answer; rows that repeat a doc_id with another text are ordered by
-a hash of the text; texts under ``WINDOW`` words stay whole; very long texts are hashed in bounded blocks;
+and text count as one document and get the same answer; rows that repeat a doc_id with another text are
+documents of their own, told apart and ordered by a 64-bit hash of the text; texts under ``WINDOW`` words stay whole; very long texts are hashed in bounded blocks;
 extra columns are not read.
 """
 
@@ -39,18 +39,30 @@ ANCHOR = WINDOW - PERIOD + 1
 COMBINE, KNOWN, BUCKET_BYTES = 1 << 20, 1 << 15, 8 << 20
 
 _NO_ID = (1 << 63) - 1
-_VARIANT = 40  # place of the text's 16-bit variant above the position
+_KEY = ("k", "variant")
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Document key, variant of the text (0 unless ids repeat), text."""
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    unique = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
-    variant = F.lit(0).cast("long") if unique else F.shiftleft(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFF)), _VARIANT)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k"), variant.alias("variant"), F.col(text).alias("text"))
+    """Document key, 64-bit hash of the text where keys repeat (no such column if they do not), text."""
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("k")
+    unique = docs.select(key).groupBy("k").count().where("count > 1").limit(1).count() == 0
+    variant = [] if unique else [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("variant")]
+    return docs.select(F.col(doc_id).alias("doc_id"), key, *variant, F.col(text).alias("text"))
+
+
+def _key_of(keyed: DataFrame) -> list[str]:
+    """The columns that tell documents apart."""
+    return [c for c in _KEY if c in keyed.columns]
+
+
+def _with_positions(keyed: DataFrame, positions: DataFrame, how: str) -> DataFrame:
+    """``keyed`` joined to ``at`` of its documents."""
+    key = _key_of(keyed)
+    own = positions.select(*(F.col(c).alias(f"own_{c}") for c in key), "at")
+    return keyed.join(own, [F.col(c) == F.col(f"own_{c}") for c in key], how)
 
 
 def _words_of(piece: pa.RecordBatch):
@@ -92,9 +104,14 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _later(k: np.ndarray, loc: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which entries of groups in (k, loc) order are not the group's first place (a repeated row is at the same place)."""
-    return (k != np.repeat(k[first], size)) | (loc != np.repeat(loc[first], size))
+def _later(place: list[np.ndarray], first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which entries of groups in the order of ``place`` are not the group's first place (a repeated row is at the same place)."""
+    return np.logical_or.reduce([c != np.repeat(c[first], size) for c in place])
+
+
+def _places(piece: pa.RecordBatch, key: list[str], doc: np.ndarray, position: np.ndarray) -> list[np.ndarray]:
+    """Key columns of the documents ``doc`` and the positions."""
+    return [piece.column(c).to_numpy(zero_copy_only=False)[doc] for c in key] + [position]
 
 
 class _Combined:
@@ -117,81 +134,80 @@ class _Combined:
         """Rows ``(bucket, known, data)``."""
         if not self.held:
             return None
-        h1, h2, k, loc = (np.concatenate(x) for x in zip(*self.parts))
+        h1, h2, *place = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.held = [], 0
-        order = np.lexsort((loc, k, h2, h1)) if self.only_later else np.argsort(h1, kind="stable")
-        h1, h2, k, loc = h1[order], h2[order], k[order], loc[order]
+        order = np.lexsort((*reversed(place), h2, h1)) if self.only_later else np.argsort(h1, kind="stable")
+        h1, h2, place = h1[order], h2[order], [c[order] for c in place]
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(h1)))
-        known = _later(k, loc, first, size) if self.only_later else np.repeat(size > 1, size)
+        known = _later(place, first, size) if self.only_later else np.repeat(size > 1, size)
         rows = []
-        h1, h2, rk, rloc = h1[first], h2[first], k[first], loc[first]
+        h1, h2, stands = h1[first], h2[first], [c[first] for c in place]
         bucket = (h1 >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)  # ascending, as h1 is
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
-            rows.append((int(b), False, pack(h1[s], h2[s], rk[s], rloc[s])))
-        k, loc = k[known], loc[known]
-        order = np.lexsort((loc, k))
-        k, loc = k[order], loc[order]
-        for at in range(0, len(k), KNOWN):
+            rows.append((int(b), False, pack(h1[s], h2[s], *(c[s] for c in stands))))
+        place = [c[known] for c in place]
+        order = np.lexsort(place[::-1])
+        place = [c[order] for c in place]
+        for at in range(0, len(order), KNOWN):
             self.spread += 1
-            rows.append(((self.spread * 7919 + int(k[at]) % 7907) % self.buckets, True, pack(k[at : at + KNOWN], loc[at : at + KNOWN])))
+            rows.append(((self.spread * 7919 + int(place[0][at]) % 7907) % self.buckets, True, pack(*(c[at : at + KNOWN] for c in place))))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "known", "data"])
 
 
-def _grouped(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
-    """(k, variant, positions) rows from single positions."""
-    if not len(k):
+def _grouped(place: list[np.ndarray]) -> pa.RecordBatch | None:
+    """Rows of key columns and positions from single positions."""
+    if not len(place[0]):
         return None
-    order = np.lexsort((loc, k))
-    k, loc = k[order], loc[order]
-    variant = loc >> _VARIANT
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (variant[1:] != variant[:-1])
+    order = np.lexsort(place[::-1])
+    *key, loc = (c[order] for c in place)
+    new = np.ones(len(loc), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in key])
     first = np.flatnonzero(new)
-    offsets = np.concatenate([first, [len(k)]]).astype(np.int32)
-    at = pa.ListArray.from_arrays(pa.array(offsets), pa.array((loc & ((1 << _VARIANT) - 1)).astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(variant[first] << _VARIANT), at], ["k", "variant", "at"])
+    offsets = np.concatenate([first, [len(loc)]]).astype(np.int32)
+    at = pa.ListArray.from_arrays(pa.array(offsets), pa.array(loc.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in key), at], [*_KEY[: len(key)], "at"])
 
 
-def _single(k: np.ndarray, loc: np.ndarray) -> pa.RecordBatch | None:
+def _single(place: list[np.ndarray]) -> pa.RecordBatch | None:
     """The same columns, a row for each position: positions of one document that met in a bucket are few."""
-    if not len(k):
+    *key, loc = place
+    if not len(loc):
         return None
-    at = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32)), pa.array((loc & ((1 << _VARIANT) - 1)).astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(loc >> _VARIANT << _VARIANT), at], ["k", "variant", "at"])
-
-
-_POSITIONS = "k long, variant long, at array<int>"
+    at = pa.ListArray.from_arrays(pa.array(np.arange(len(loc) + 1, dtype=np.int32)), pa.array(loc.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*map(pa.array, key), at], [*_KEY[: len(key)], "at"])
 
 
 def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFrame:
-    """``(k, variant, at)``: positions whose hash occurs elsewhere (before them, if ``only_later``), from the rows of ``docs`` by ``find``."""
+    """Key columns and ``at``: positions whose hash occurs elsewhere (before them, if ``only_later``), from the rows of ``docs`` by ``find``."""
+    key = _key_of(docs)
 
     def spread(batches):
         held = _Combined(buckets, only_later)
         for piece in chunks(batches, "text"):
-            held.add(*find(piece))
+            held.add(*find(piece, key))
             if held.held >= COMBINE and (out := held.flush()) is not None:
                 yield out
         if (out := held.flush()) is not None:
             yield out
 
-    kinds = ("<u8", "<u4" if only_later else "<u1", "<i8", "<i8")
+    place_kinds = ["<i8"] * (len(key) + 1)
+    kinds = ("<u8", "<u4" if only_later else "<u1", *place_kinds)
 
     def settle(rows):
-        h1, h2, k, loc = (np.concatenate(x) for x in zip(*(unpack(r, *kinds) for r in rows)))
-        order = np.lexsort((loc, k, h2, h1))
-        h1, h2, k, loc = h1[order], h2[order], k[order], loc[order]
+        h1, h2, *place = (np.concatenate(x) for x in zip(*(unpack(r, *kinds) for r in rows)))
+        order = np.lexsort((*reversed(place), h2, h1))
+        h1, h2, place = h1[order], h2[order], [c[order] for c in place]
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(h1)))
-        again = _later(k, loc, first, size) if only_later else np.repeat(size > 1, size)
-        return k[again], loc[again]
+        again = _later(place, first, size) if only_later else np.repeat(size > 1, size)
+        return [c[again] for c in place]
 
     def meet(batches):
         bucket, rows = None, []
@@ -199,24 +215,24 @@ def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFram
         for batch in batches:
             for b, passed, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "data"))):
                 if passed:
-                    known.append(unpack(data, "<i8", "<i8"))
+                    known.append(unpack(data, *place_kinds))
                     continue
                 if b != bucket:
-                    if rows and (out := _single(*settle(rows))) is not None:
+                    if rows and (out := _single(settle(rows))) is not None:
                         yield out
                     bucket, rows = b, []
                 rows.append(data)
             if known:
-                if (out := _grouped(*(np.concatenate(x) for x in zip(*known)))) is not None:
+                if (out := _grouped([np.concatenate(x) for x in zip(*known)])) is not None:
                     yield out
                 known = []
-        if rows and (out := _single(*settle(rows))) is not None:
+        if rows and (out := _single(settle(rows))) is not None:
             yield out
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(spread, "bucket int, known boolean, data binary").repartition(partitions, "bucket")
-    found = dealt.sortWithinPartitions("known", "bucket").mapInArrow(meet, _POSITIONS)
-    return found.groupBy("k", "variant").agg(F.flatten(F.collect_list("at")).alias("at"))
+    found = dealt.sortWithinPartitions("known", "bucket").mapInArrow(meet, ", ".join([*(f"{c} long" for c in key), "at array<int>"]))
+    return found.groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -226,15 +242,13 @@ def _buckets(docs: DataFrame) -> int:
     return max(2 * partitions, min(size // BUCKET_BYTES, 1 << 17))
 
 
-def _find_anchors(piece: pa.RecordBatch):
+def _find_anchors(piece: pa.RecordBatch, key: list[str]):
     h, doc, position, n = _words_of(piece)
     at, a = anchors_of(h, position, n[doc] - position)
-    k = piece.column("k").to_numpy(zero_copy_only=False)[doc[at]]
-    loc = piece.column("variant").to_numpy(zero_copy_only=False)[doc[at]] | position[at]
-    return a, np.zeros(len(a), np.uint8), k, loc
+    return a, np.zeros(len(a), np.uint8), *_places(piece, key, doc[at], position[at])
 
 
-def _find_windows(piece: pa.RecordBatch):
+def _find_windows(piece: pa.RecordBatch, key: list[str]):
     """The windows that contain a repeated anchor of their document at an offset below the period."""
     h, doc, position, n = _words_of(piece)
     anchors = piece.column("at")
@@ -244,27 +258,26 @@ def _find_windows(piece: pa.RecordBatch):
     # +1 at the first window that reaches the anchor, -1 behind the last that holds it
     mark = np.zeros(len(h) + 1, np.int32)
     base = np.repeat(rows, lengths)
-    ok = flat + ANCHOR <= np.repeat(n, lengths)  # positions of another text with the same key and variant may not fit
+    ok = flat + ANCHOR <= np.repeat(n, lengths)  # positions of another text with the same key and hash may not fit
     low = np.maximum(flat - (PERIOD - 1), 0)
     np.add.at(mark, (base + low)[ok], 1)
     np.add.at(mark, (base + flat + 1)[ok], -1)
     at = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (n[doc] - position >= WINDOW))
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.astype(np.uint32), none, none
-    k = piece.column("k").to_numpy(zero_copy_only=False)[doc[at]]
-    loc = piece.column("variant").to_numpy(zero_copy_only=False)[doc[at]] | position[at]
-    return _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], (_words.windows(_words.mix(h), WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32), k, loc
+        return none.view(np.uint64), none.astype(np.uint32), *_places(piece, key, none, none)
+    hashes = _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], (_words.windows(_words.mix(h), WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32)
+    return *hashes, *_places(piece, key, doc[at], position[at])
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(k, variant, at)``: starts of the windows of each document that also start earlier."""
+    """Key columns and ``at``: starts of the windows of each document that also start earlier."""
     spark = docs.sparkSession
     keyed = _keyed(docs, doc_id, text).drop("doc_id")
     buckets = _buckets(keyed)
     anchors = written(_repeated(keyed, _find_anchors, buckets, False), "anchors")
     release(spark)
-    held = keyed.join(anchors.withColumnRenamed("k", "ak").withColumnRenamed("variant", "av"), (F.col("k") == F.col("ak")) & (F.col("variant") == F.col("av"))).select("k", "variant", "text", "at")
+    held = _with_positions(keyed, anchors, "inner").select(*_key_of(keyed), "text", "at")
     windows = written(_repeated(held, _find_windows, buckets, True), "windows")
     del held
     discard(anchors)
@@ -274,9 +287,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_words LONG, n_removed LONG, kept STRING)`` for every row; kept words are joined by one space."""
-    found = repeated_windows(docs, doc_id, text).withColumnRenamed("k", "wk").withColumnRenamed("variant", "wv")
     keyed = _keyed(docs, doc_id, text)
-    joined = keyed.join(found, (F.col("k") == F.col("wk")) & (F.col("variant") == F.col("wv")), "left").select("doc_id", "text", "at")
+    joined = _with_positions(keyed, repeated_windows(docs, doc_id, text), "left").select("doc_id", "text", "at")
 
     def run(batches):
         for piece in chunks(batches, "text"):

@@ -128,3 +128,30 @@ def test_a_contaminated_row_takes_no_other_row_of_its_id(key, spark):
     docs = spark.createDataFrame([(key, f"some {item} words"), (key, "clean words"), (key, "clean words"), (key, None), (key, f"other {item}"), (6, "clean")], "doc_id long, text string").repartition(3)
     left = sorted((tuple(r) for r in op05_decontam.clean(docs, bench).collect()), key=str)
     assert left == sorted([(key, "clean words"), (key, "clean words"), (key, None), (6, "clean")], key=str)
+
+
+def _low_bits_meet(spark):
+    """Two texts of 60 words without a common window whose 64-bit hashes agree in their low 16 bits."""
+    texts = spark.range(3000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{j}x"), "id") for j in range(60))).alias("text"))
+    seen = {}
+    for text, low in texts.select("text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))).collect():
+        if low in seen:
+            return seen[low], text
+        seen[low] = text
+
+
+@pytest.mark.parametrize("key", [5, None])
+def test_substring_tells_texts_under_one_id_apart(key, spark):
+    a, b = _low_bits_meet(spark)
+    docs = spark.createDataFrame([(1, " ".join(a.split()[10:40])), (key, a), (key, b), (key, b)], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["kept"]): r["n_removed"] for r in op03_substring.dedup(docs).collect()}
+    assert got == {(1, " ".join(a.split()[10:40])): 0, (key, " ".join(a.split()[:10] + a.split()[40:])): 30, (key, b): 0}
+
+
+def test_substring_finds_a_repeat_between_texts_under_one_id(spark):
+    same = " ".join(f"s{i}" for i in range(25))
+    # the hash is of the whole text, so texts that share their start and their low bits are searched for
+    texts = spark.range(3000).select(F.concat(F.lit(same + " "), F.col("id").cast("string")).alias("text"))
+    pairs = texts.groupBy(F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("low")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    got = sorted(r["n_removed"] for r in op03_substring.dedup(spark.createDataFrame([(None, t) for t in pairs], "doc_id long, text string")).collect())
+    assert got == [0, 25]
