@@ -1,23 +1,28 @@
 """Token ids in a binary format, coded by an adaptive context-mixing range coder.
 
 Text is encoded by the tokenizers library.  The ids of whole documents, in ascending doc_id order, fill frames; a frame
-is cut into blocks of ``BLOCK`` ids.  Each block starts from an empty model, and its coded words carry a CRC-32 of
-the ids, so any block can be decoded, and any damage found, by itself.
+is cut into blocks of ``BLOCK`` ids.  Every block starts from the same model, that of its frame's head, and its coded words
+carry a CRC-32 of the ids, so any block can be decoded, and any damage found, by itself.
 
-Model: the ids that last followed the two previous ids (order 2) and the previous id (order 1), each with its run of hits,
-and the majority id of the block (order 0), predict the next one.  The runs adapt the odds of every context; the odds are mixed,
-agreeing predictions reinforcing one another in the logistic domain, to the shares of "order 2 hits", "order 1 hits",
-"order 0 hits" and "none"; a miss is followed by the id itself among 65,536.  A range coder with 64-bit range, 32-bit words
-and carries codes the outcome.
+Model: three distributions of the next id are mixed.
 
-All blocks of a chunk are coded in step, one id of each at a time, so the arithmetic runs on numpy arrays.
+* Order 0: how often each id occurs in the frame, quantised, written in the frame's head.
+* Order 1: the last ``WAYS`` ids that followed the previous id in this block, in a list where each hit moves an id towards the
+  front.  Adaptive shares of the places, and of "none of them", are learned for each state of a list (places in use, where the
+  last hit was).
+* Order 2: the id that last followed the two previous ids in this block.  The weight of this prediction adapts for each length
+  of its run of hits.
+
+The probability of a place of the list is (1 - weight) times its share plus, for the place of order 2's id, the weight; the
+rest goes to order 0.  A range coder with 63-bit range, 32-bit words and carries codes the outcome.  All arithmetic is in whole
+numbers, so every machine decodes alike.  All blocks of a chunk are coded in step, one id of each at a time, on numpy arrays.
 
 Files: Parquet rows ``(part, frame, start, n_tokens, docs, payload)`` written by a job sorted by doc_id; ``start`` counts
 the ids before the frame within its part.  Payload: see ``pack``.
 
-Defined results: null and empty texts are the end id alone; null ids sort first; rows that repeat a doc_id are ordered by a
-hash of the text and each keeps its place; very long texts make a frame of their own; an empty table gives no
-frames; extra columns are not read.
+Defined results: ids are 0 to ``MAX_ID`` (a vocabulary beyond raises ``ValueError``); null and empty texts are the end id alone;
+null ids sort first; rows that repeat a doc_id are ordered by a hash of the text and each keeps its place; very long texts make
+a frame of their own; an empty table gives no frames; extra columns are not read; a doc_id that is no whole number raises.
 """
 
 from __future__ import annotations
@@ -28,19 +33,24 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm._batches import chunks, written
+from meltfield.llm.op07_bpe import library_class
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
-BLOCK, FRAME, TOGETHER = 1024, 1 << 18, 1 << 22
-#: Contexts of each order that a block remembers; greatest run of hits that counts.
-SLOT_BITS, TOP = 9, 7
+BLOCK, FRAME, TOGETHER = 4096, 1 << 20, 1 << 22
+MAX_ID = (1 << 17) - 1
+#: Places of a list of order 1; lists and predictions of order 2 that a block remembers; greatest run of hits that counts.
+WAYS, LIST_BITS, SECOND_BITS, TOP = 8, 10, 12, 7
+#: Bits of the shares of the outcomes, least share, speed of learning (a power of two) of shares and weights, greatest weight.
+SHARE_BITS, LEAST, LEARN, WEIGH = 14, 16, 5, 5
+ONE = 1 << SHARE_BITS
+MOST = ONE - ONE // LEAST
 END_ID = 0
-MAGIC = b"MFT1"
+MAGIC = b"MFT2"
 #: Pre-tokens kept in each worker before the older generation is forgotten.
 CACHE_WORDS = 300_000
 #: Unknown pre-tokens in one call of the library.
@@ -48,128 +58,268 @@ JOINED = 500
 #: Text bytes tokenised at once.
 PIECE = 4 << 20
 
-_U8, _U16, _U24, _U32 = (np.uint64(x) for x in (8, 16, 24, 32))
-_LOW = np.uint64(1 << 32)
+#: The low end has 63 bits and one for a carry; a word leaves it when the range falls below 31 bits.
+_U31, _U32 = np.uint64(31), np.uint64(32)
+_LOW, _FULL = np.uint64(1 << 31), np.uint64(1 << 63)
+_REST = np.uint64((1 << 31) - 1)
+
+#: A list's state is 4 * places in use + where the last outcome was: the front, the next two places, further back, none.
+STATES = 4 * (WAYS + 1)
+_NONE = WAYS
+_WHERE = [0, 1, 1, *[2] * (WAYS - 3), 3]
+
+
+def _start_shares() -> np.ndarray:
+    """Bounds (states x WAYS + 2) of the shares of the places and of none, from which every block starts learning."""
+    out = np.zeros((STATES, WAYS + 2), np.int32)
+    for state in range(STATES):
+        used, where = divmod(state, 4)
+        none = 100 if not used else min(97, (35, 50, 60, 80)[where] + 10 * (WAYS - used) // WAYS)  # of 100
+        whole = sum(840 // (j + 1) for j in range(used))  # places get shares as 1, 1/2, 1/3 ...
+        below = 0
+        for j in range(WAYS):
+            below += (100 - none) * (840 // (j + 1)) * (ONE - LEAST * (WAYS + 1)) // (100 * whole) if j < used else 0
+            out[state, j + 1] = below + LEAST * (j + 1)
+        out[state, WAYS + 1] = ONE
+    return out
 
 
-def _logit(p: float) -> float:
-    return np.log(p / (1 - p))
+def _targets() -> np.ndarray:
+    """For each outcome the inner bounds, as one value, that give it all but the least shares of the others."""
+    k = np.arange(WAYS + 2)
+    out = LEAST * k[None, :] + (k[None, :] > np.arange(WAYS + 1)[:, None]) * (ONE - LEAST * (WAYS + 1))
+    return np.ascontiguousarray(out[:, 1:-1].astype(np.int16)).reshape(-1).view(np.complex128)
+
+
+def _moves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For state * (WAYS + 1) + outcome: the next state, the place that gives up its id, and the place that the coded id takes."""
+    state, leaves, takes = (np.zeros((STATES, WAYS + 1), np.int64) for _ in range(3))
+    for s in range(STATES):
+        used = s // 4
+        for j in range(WAYS + 1):
+            place = min(used, WAYS - 1)
+            state[s, j] = 4 * (min(used + 1, WAYS) if j == _NONE else used) + _WHERE[j]
+            leaves[s, j] = place if j == _NONE else j
+            takes[s, j] = (place + 1) // 2 if j == _NONE else j // 2
+    return state.astype(np.uint8).ravel(), leaves.ravel(), takes.ravel()
+
+
+_SHARES, _TARGET = _start_shares(), _targets()
+_NEXT, _LEAVES, _TAKES = _moves()
+#: Weights of order 2 by run of hits at the start of a block; without a prediction there is none.
+_WEIGHTS = np.array([0, *(ONE * k // 16 for k in (3, 7, 9, 10, 11, 12, 13))], np.int32)
+
+
+class Frequencies:
+    """Order 0 of a frame: its ids by falling frequency and their shares of ``1 << bits``."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        order = np.lexsort((ids, -freq))
+        self.ids, self.freq = ids[order].astype(np.int64), freq[order].astype(np.int64)
+        self.below = np.cumsum(self.freq) - self.freq
+        self.bits = int(self.freq.sum()).bit_length() - 1
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        count = np.bincount(ids)
+        found = np.flatnonzero(count)
+        if found[-1] > MAX_ID:
+            raise ValueError(f"ids must not exceed {MAX_ID}")
+        whole = 1 << max(16, min(17, len(found).bit_length() + 2))
+        freq = 1 + count[found] * (whole - len(found)) // len(ids)
+        freq[np.argsort(-count[found], kind="stable")[: whole - int(freq.sum())]] += 1
+        return cls(found, freq)
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        """Places of ids in the order of frequency."""
+        place = np.zeros(int(self.ids.max()) + 1, np.int32)
+        place[self.ids] = np.arange(len(self.ids))
+        return place[ids]
+
+    def head(self) -> bytes:
+        order = np.argsort(self.ids)
+        step = np.diff(self.ids[order], prepend=0).astype("<u4")
+        planes = np.stack([step, self.freq[order].astype("<u4")]).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)
+        return struct.pack("<I", len(order)) + planes.tobytes()
+
+    @classmethod
+    def from_head(cls, data: bytes) -> Frequencies:
+        (n,) = struct.unpack_from("<I", data)
+        planes = np.frombuffer(data, np.uint8, 8 * n, 4).reshape(2, 4, n).transpose(0, 2, 1)
+        step, freq = np.ascontiguousarray(planes).view("<u4").reshape(2, n)
+        return cls(np.cumsum(step.astype(np.int64)), freq.astype(np.int64))
+
+
+#: Four times the same 16-bit number in a 64-bit one; symbols from ``FREE`` on are not remembered, and stand for a free place.
+_FOURFOLD = np.uint64(0x0001000100010001)
+FREE = 0xFFFF
 
 
-def _mixed() -> tuple[np.ndarray, np.ndarray]:
-    """Shares of 256 of the outcomes "order 2", "order 1", "order 0", "none" for each state of the predictors, and what lies below them.
+class _Model:
+    """Orders 1 and 2 of many independent blocks, coded in step.
 
-    A state is (run of order 2, run of order 1, whether both predict the same id).  Each order's hit rate grows with its run of
-    hits; where both agree, their evidence is added in the logistic domain.
+    A list and the inner bounds of its shares are rows of eight 16-bit numbers; rows are moved as one 16-byte value each.
     """
-    share = np.zeros((2, TOP + 1, TOP + 1, 4), np.int64)
-    for same in (0, 1):
-        for c2 in range(TOP + 1):
-            for c1 in range(TOP + 1):
-                r2, r1 = (c2 + 0.15) / (c2 + 1.3), (c1 + 0.08) / (c1 + 1.5)
-                if same:
-                    p2 = 1 / (1 + np.exp(-(0.8 * _logit(r2) + 0.5 * _logit(r1) + 0.6)))
-                    p1 = 0.0
-                else:
-                    p2, p1 = r2, (1 - r2) * r1
-                f2, f1 = max(1, round(256 * p2)), max(1, round(256 * p1))
-                f0 = max(1, round((256 - f2 - f1) * 0.03))
-                over = f2 + f1 + f0 - (256 - 8)  # a miss keeps a share of 8 at least
-                if over > 0:
-                    f2 -= over
-                share[same, c2, c1] = f2, f1, f0, 256 - f2 - f1 - f0
-    below = np.cumsum(share, axis=-1) - share
-    return share.reshape(-1, 4), below.reshape(-1, 4)
-
-
-_SHARE, _BELOW = _mixed()
-#: By state * 4 + outcome, in units of 2**24: a hit has its share, a miss that of one id among 65,536.
-_FREQ = (_SHARE * np.array([1 << 16, 1 << 16, 1 << 16, 1])).astype(np.uint64).ravel()
-_CUM = (_BELOW << 16).astype(np.uint64).ravel()
-_MISS = _SHARE[:, 3].astype(np.uint64)
-_EDGE2, _EDGE1, _EDGE0 = (_BELOW[:, k].astype(np.int32) for k in (1, 2, 3))
-
-
-class _Model:
-    """The predictions of many independent blocks, coded in step."""
 
     def __init__(self, lanes: int):
-        self.second = np.zeros(lanes << SLOT_BITS, np.int32)  # id * 8 + run of hits
-        self.first = np.zeros(lanes << SLOT_BITS, np.int32)
-        self.major = np.zeros(lanes, np.int32)
-        self.votes = np.zeros(lanes, np.int32)
-        self.last = np.zeros(lanes, np.uint32)
-        self.mark = np.zeros(lanes, np.uint32)  # the contribution of the id before the last
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
-
-    def predict(self, m: int) -> np.ndarray:
-        """Predictions of the first ``m`` lanes; returns their states."""
-        one = self.last[:m] * np.uint32(0x9E3779B1)
-        base = self.base[:m]
-        self.at1 = base + (one >> np.uint32(32 - SLOT_BITS))
-        self.at2 = base + (((one ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS))
-        self.one = one
-        self.e2, self.e1 = self.second.take(self.at2), self.first.take(self.at1)
-        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-        self.c2, self.c1 = self.e2 & 7, self.e1 & 7
-        return ((self.p2 == self.p1) * 64) + (self.c2 << 3) + self.c1
-
-    def update(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
-        fresh = x << 3
-        self.second[self.at2] = np.where(hit2, self.e2 + (self.c2 < TOP), fresh)
-        self.first[self.at1] = np.where(hit1, self.e1 + (self.c1 < TOP), fresh)
-        votes = self.votes[:m] + (hit0 * 2 - 1)
-        lost = votes < 0
-        np.copyto(self.major[:m], x, where=lost)
-        np.abs(votes, out=self.votes[:m])
-        self.mark[:m] = self.one >> np.uint32(7)
+        self.flat = np.full((lanes << LIST_BITS) * WAYS, FREE, np.uint16)
+        self.lists = self.flat.view(np.complex128)
+        self.states = np.zeros(lanes << LIST_BITS, np.uint8)
+        self.shares = np.tile(_SHARES[:, 1:-1].astype(np.int16), (lanes, 1)).reshape(-1).view(np.complex128)
+        self.weights = np.tile(_WEIGHTS, lanes)
+        self.second = np.full(lanes << SECOND_BITS, FREE - 1 << 3, np.int32)  # symbol * 8 + run of hits
+        self.last = np.zeros(lanes, np.int32)
+        self.mark = np.zeros(lanes, np.uint32)  # what the symbol before the last adds to the hash
+        lane = np.arange(lanes, dtype=np.int64)
+        self.list0, self.second0, self.state0, self.weight0, self.row0 = lane << LIST_BITS, lane << SECOND_BITS, lane * STATES, lane * (TOP + 1), lane * (WAYS + 2)
+        self.eight = np.empty((lanes, 2), np.uint64)
+        self.bound = np.zeros((lanes, WAYS + 2), np.int32)
+        self.bound[:, -1] = ONE
+
+    def predict(self, m: int) -> None:
+        """Distributions of the first ``m`` lanes: bounds of order 1's shares, order 2's place in the list and weight."""
+        last = self.last[:m]
+        self.at1 = self.list0[:m] + (last & ((1 << LIST_BITS) - 1))
+        self.hash = last.view(np.uint32) * np.uint32(0x9E3779B1)
+        self.at2 = self.second0[:m] + (((self.hash ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SECOND_BITS))
+        self.list = self.lists.take(self.at1).view(np.uint16)
+        self.state = self.states.take(self.at1)
+        self.row_at = self.state0[:m] + self.state
+        self.row = self.shares.take(self.row_at).view(np.int16)
+        self.bound[:m, 1:-1] = self.row.reshape(m, WAYS)
+        self.entry = self.second.take(self.at2)
+        self.guess = self.entry >> 3
+        self.place2 = self.place_of(self.guess)
+        self.run = self.entry & TOP
+        self.guessed = self.place2 < _NONE
+        self.weight_at = self.weight0[:m] + self.run * self.guessed
+        self.weight = self.weights.take(self.weight_at)
+        self.rest = ONE - self.weight
+
+    def eightfold(self, x: np.ndarray) -> np.ndarray:
+        """The low 16 bits of each number, eight times."""
+        out = self.eight[: len(x)]
+        four = x.astype(np.uint16) * _FOURFOLD
+        out[:, 0] = four
+        out[:, 1] = four
+        return out.reshape(-1).view(np.uint16)
+
+    def place_of(self, x: np.ndarray) -> np.ndarray:
+        """Place of each lane's symbol in its list; ``_NONE`` if it is not there (a symbol stands in a list once)."""
+        hit = (self.list == self.eightfold(x)).view(np.uint64)
+        return (np.bitwise_count(hit - np.uint64(1)) >> np.uint8(3)).astype(np.int64)
+
+    def bounds(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed lower bound and share of an outcome of each lane."""
+        at = self.row0[: len(place)] + place
+        row = self.bound.reshape(-1)
+        low = ((row.take(at) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 < place)
+        high = ((row.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 <= place)
+        return low, high - low
+
+    def outcome(self, value: np.ndarray) -> np.ndarray:
+        """The outcome whose mixed share holds ``value``."""
+        low, share = self.bounds(self.place2)
+        high = low + share
+        behind = value >= high
+        # without order 2's part, the greatest bound of order 1 that a place may start at
+        alone = (((value - self.weight * behind) << SHARE_BITS) | (ONE - 1)).view(np.uint32) // self.rest.view(np.uint32)
+        place = np.bitwise_count((self.row.view(np.uint16) <= self.eightfold(alone)).view(np.uint64)).astype(np.int64)
+        return np.where(behind | (value < low), place, self.place2)
+
+    def update(self, m: int, x: np.ndarray, place: np.ndarray) -> None:
+        """Learns that ``x`` came, at ``place`` of the list."""
+        move = self.state * np.int64(WAYS + 1) + place
+        self.shares[self.row_at] = (self.row + ((_TARGET.take(place).view(np.int16) - self.row) >> LEARN)).view(np.complex128)
+        right = (self.place2 == place) & self.guessed
+        self.weights[self.weight_at] = self.weight + ((right * np.int32(MOST) - self.weight) >> WEIGH)
+        same = self.guess == x
+        fresh = (x << 3) | 1
+        self.second[self.at2] = fresh + same * (self.run - (self.run == TOP))
+        at = self.at1 * WAYS
+        takes = at + _TAKES.take(move)
+        self.flat[at + _LEAVES.take(move)] = self.flat.take(takes)
+        self.flat[takes] = np.minimum(x, FREE)
+        self.states[self.at1] = _NEXT.take(move)
+        self.mark[:m] = self.hash >> np.uint32(7)
         self.last[:m] = x
 
 
-def _lanes(sizes: np.ndarray):
-    """Order of the blocks by falling size, where each starts among the ids, and how many are active at each step."""
-    order = np.argsort(-sizes, kind="stable")
-    n = sizes[order]
-    top = int(n[0]) if len(n) else 0
-    return order, (np.cumsum(sizes) - sizes)[order], np.searchsorted(-n, -np.arange(top), side="left").tolist()
+class _Lanes:
+    """Blocks by falling size, their active number at each step, and their frames' order 0."""
+
+    def __init__(self, sizes: np.ndarray, frame: np.ndarray, tables: list[Frequencies]):
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.first = (np.cumsum(sizes) - sizes)[self.order]
+        self.top = int(self.sizes[0])
+        self.active = np.searchsorted(-self.sizes, -np.arange(self.top), side="left").tolist()
+        own = frame[self.order]
+        width = np.array([len(t.ids) + 1 for t in tables])
+        self.base = (np.cumsum(width) - width)[own]
+        self.bits = np.array([t.bits for t in tables], np.uint64)[own]
+        self.shift = self.bits + np.uint64(SHARE_BITS)
+        # by base + symbol: the part of order 0; behind a frame's symbols stands the whole, for outcomes without order 0
+        self.freq = np.concatenate([[*t.freq, 1 << t.bits] for t in tables]).astype(np.uint64)
+        self.below = np.concatenate([[*t.below, 0] for t in tables]).astype(np.uint64)
+        self.hit = self.base + width[own] - 1
+        self.whole = np.uint64(1) << self.bits
+        self.inverse0 = np.array([0, *np.cumsum([1 << t.bits for t in tables])])[own]
+        self.wide = int(width.max()) > FREE
+        self.list0 = np.arange(len(sizes), dtype=np.int64) * WAYS
+
+    def by_step(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols of the blocks one after the other as (steps x lanes)."""
+        out = np.zeros((len(self.order), self.top), np.int32)
+        for k, (a, n) in enumerate(zip(self.first.tolist(), self.sizes.tolist())):
+            out[k, :n] = symbols[a : a + n]
+        return np.ascontiguousarray(out.T)
+
+    def by_block(self, steps: np.ndarray) -> np.ndarray:
+        """The reverse."""
+        lanes = np.ascontiguousarray(steps.T)
+        out = np.zeros(int(self.sizes.sum()), np.int32)
+        for k, (a, n) in enumerate(zip(self.first.tolist(), self.sizes.tolist())):
+            out[a : a + n] = lanes[k, :n]
+        return out
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Coded 32-bit words of each block; ``ids`` holds the blocks one after the other, ``sizes`` their lengths."""
-    order, first, active = _lanes(sizes)
-    lanes = len(order)
-    if not lanes:
+def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tables: list[Frequencies]) -> list[bytes]:
+    """Coded 32-bit words of each block; ``symbols`` holds the blocks one after the other, places in the order of their frame's table."""
+    if not len(sizes):
         return []
+    by = _Lanes(sizes, frame, tables)
+    lanes = len(sizes)
+    steps = by.by_step(symbols)
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    height = int(len(active) * 0.7) + 6  # a miss takes 21.1 bits at most
-    words = np.zeros(height * lanes, np.uint64)  # a word may hold a carry until the end
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
+    height = by.top + 6  # an id takes a word at most
+    words = np.zeros(height * lanes, np.uint64)  # a word holds its carry until the end
     at = np.arange(lanes, dtype=np.int64)
-    for t, m in enumerate(active):
-        x = ids.take(first[:m] + t)
-        state = model.predict(m)
-        hit2, hit1, hit0 = x == model.p2, x == model.p1, x == model.major[:m]
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 3 - hit0))
-        key = (state << 2) + outcome
-        freq = _FREQ.take(key)
-        cum = _CUM.take(key) + (outcome == 3) * x.astype(np.uint64) * freq
-        old, here = low[:m], at[:m]
-        r = span[:m] >> _U24
-        new = old + cum * r
-        carry = new < old
-        if carry.any():
-            words[here[carry] - lanes] += np.uint64(1)
+    for t, m in enumerate(by.active):
+        x = steps[t, :m]
+        model.predict(m)
+        place = model.place_of(x)
+        if by.wide:
+            place[x >= FREE] = _NONE
+        cum, freq = (a.astype(np.uint64) for a in model.bounds(place))
+        zero = np.where(place == _NONE, by.base[:m] + x, by.hit[:m])
+        cum = (cum << by.bits[:m]) + by.below.take(zero) * freq
+        freq *= by.freq.take(zero)
+        here = at[:m]
+        r = span[:m] >> by.shift[:m]
+        new = low[:m] + cum * r
         r *= freq
-        words[here] = new >> _U32
+        words[here] = new >> _U31
         need = r < _LOW
-        np.left_shift(new, _U32, out=new, where=need)
-        np.left_shift(r, _U32, out=r, where=need)
-        low[:m], span[:m] = new, r
+        # a word that has left takes its carry with it
+        low[:m] = np.where(need, (new & _REST) << _U32, new)
+        span[:m] = r << (need * _U32)
         here += need * lanes
-        model.update(m, x, hit2, hit1, hit0)
+        model.update(m, x, place)
     for _ in range(2):  # the rest of the low end
-        words[at] = low >> _U32
-        low <<= _U32
+        words[at] = low >> _U31
+        low = (low & _REST) << _U32
         at += lanes
     words = words.reshape(height, lanes)
     for j in range(height - 1, 0, -1):
@@ -179,71 +329,114 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     small = np.ascontiguousarray(words.astype("<u4").T)
     length = at // lanes
     out: list = [b""] * lanes
-    for k, i in enumerate(order.tolist()):
+    for k, i in enumerate(by.order.tolist()):
         out[i] = small[k, : length[k]].tobytes()
     return out
 
 
-def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Ids of the blocks, one after the other."""
-    order, first, active = _lanes(sizes)
-    lanes = len(order)
-    ids = np.zeros(int(sizes.sum()), np.int32)
-    if not lanes:
-        return ids
-    length = np.array([len(coded[i]) // 4 for i in order.tolist()], np.int64)
+def decode_blocks(coded: list[bytes], sizes: np.ndarray, frame: np.ndarray, tables: list[Frequencies]) -> np.ndarray:
+    """Symbols of the blocks, one after the other."""
+    if not len(sizes):
+        return np.zeros(0, np.int32)
+    by = _Lanes(sizes, frame, tables)
+    lanes = len(sizes)
+    inverse = np.concatenate([np.repeat(np.arange(len(t.ids), dtype=np.int32), t.freq) for t in tables])
+    steps = np.zeros((by.top, lanes), np.int32)
+    length = np.array([len(coded[i]) // 4 for i in by.order.tolist()], np.int64)
     start = np.cumsum(length) - length
-    words = np.frombuffer(b"".join([coded[i] for i in order.tolist()]) + b"\0" * 16, "<u4")
+    words = np.frombuffer(b"".join([coded[i] for i in by.order.tolist()]) + b"\0" * 16, "<u4").astype(np.uint64)
     model = _Model(lanes)
-    ahead = (words.take(start).astype(np.uint64) << _U32) | words.take(start + 1)  # the code less the low end
-    at, span = start + 2, np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    limit = np.uint64((1 << 24) - 1)
-    for t, m in enumerate(active):
-        state = model.predict(m)
-        r = span[:m] >> _U24
-        value = np.minimum(ahead[:m] // r, limit)
-        v = (value >> _U16).astype(np.int32)
-        outcome = (v >= _EDGE2.take(state)).astype(np.int64) + (v >= _EDGE1.take(state)) + (v >= _EDGE0.take(state))
-        key = (state << 2) + outcome
-        freq, cum = _FREQ.take(key), _CUM.take(key)
-        missed = outcome == 3
-        literal = (value - cum) // freq
-        x = np.where(missed, literal.astype(np.int32), np.where(outcome == 0, model.p2, np.where(outcome == 1, model.p1, model.major[:m])))
-        cum += missed * literal * freq
+    # the code less the low end has 63 bits: all of a word and all but the last bit of the next, which waits in ``spare``
+    second = words.take(start + 1)
+    ahead, spare = (words.take(start) << _U31) | (second >> np.uint64(1)), second & np.uint64(1)
+    at, span = start + 2, np.full(lanes, _FULL, np.uint64)
+    limit = (np.uint64(1) << by.shift) - np.uint64(1)
+    for t, m in enumerate(by.active):
+        model.predict(m)
+        bits = by.bits[:m]
+        r = span[:m] >> by.shift[:m]
+        value = np.minimum(ahead[:m] // r, limit[:m])
+        place = model.outcome((value >> bits).astype(np.int32))
+        cum, freq = (a.astype(np.uint64) for a in model.bounds(place))
+        cum <<= bits
+        none = place == _NONE
+        # of lanes without a hit: the part of order 0 that holds the value
+        part = np.minimum((value - cum) // freq, by.whole[:m] - np.uint64(1)).astype(np.int64)
+        zero = inverse.take(by.inverse0[:m] + part * none)
+        x = np.where(none, zero, model.list.take(by.list0[:m] + np.minimum(place, WAYS - 1)))
+        zero = np.where(none, by.base[:m] + zero, by.hit[:m])
+        cum += by.below.take(zero) * freq
+        freq *= by.freq.take(zero)
         rest = ahead[:m] - cum * r
         r *= freq
         need = r < _LOW
         here = at[:m]
-        np.copyto(rest, (rest << _U32) | words.take(np.minimum(here, len(words) - 1)), where=need)
-        np.left_shift(r, _U32, out=r, where=need)
-        ahead[:m], span[:m] = rest, r
+        word = words.take(np.minimum(here, len(words) - 1))
+        ahead[:m] = np.where(need, (rest << _U32) | (spare[:m] << _U31) | (word >> np.uint64(1)), rest)
+        np.copyto(spare[:m], word & np.uint64(1), where=need)
+        span[:m] = r << (need * _U32)
         here += need
-        ids[first[:m] + t] = x
-        model.update(m, x, x == model.p2, x == model.p1, x == model.major[:m])
-    return ids
+        steps[t, :m] = x
+        model.update(m, x, place)
+    return by.by_block(steps)
 
 
 def block_sizes(n: int) -> list[int]:
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
-def pack(ids: np.ndarray, coded: list[bytes]) -> bytes:
-    """A payload: magic, number of ids and blocks, then for each block its bytes and CRC-32, then the coded blocks."""
+def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
+    """Payloads of frames (the ids of each), coded together."""
+    tables = [Frequencies.of(ids) for ids in frames]
+    sizes = [block_sizes(len(ids)) for ids in frames]
+    frame = np.repeat(np.arange(len(frames)), [len(s) for s in sizes])
+    symbols = np.concatenate([t.symbols(ids) for t, ids in zip(tables, frames)]) if frames else np.zeros(0, np.int32)
+    coded, at, out = encode_blocks(symbols, np.array([s for x in sizes for s in x], np.int64), frame, tables), 0, []
+    for table, ids, s in zip(tables, frames, sizes):
+        out.append(pack(ids, table, coded[at : at + len(s)]))
+        at += len(s)
+    return out
+
+
+def decode_frames(payloads: list[bytes]) -> list[np.ndarray]:
+    """Ids of each payload; damage raises ``ValueError``."""
+    unpacked = [unpack(p) for p in payloads]
+    sizes = [block_sizes(n) for n, *_ in unpacked]
+    frame = np.repeat(np.arange(len(payloads)), [len(s) for s in sizes])
+    tables = [u[1] for u in unpacked]
+    symbols, at, out = decode_blocks([c for u in unpacked for c in u[2]], np.array([s for x in sizes for s in x], np.int64), frame, tables), 0, []
+    for n, table, _, sums in unpacked:
+        ids = table.ids.astype(np.int32).take(symbols[at : at + n], mode="clip")  # damage may decode to symbols that the table lacks
+        verify(ids, sums)
+        out.append(ids)
+        at += n
+    return out
+
+
+def pack(ids: np.ndarray, table: Frequencies, coded: list[bytes]) -> bytes:
+    """A payload: magic, number of ids and blocks, bytes of the head and their CRC-32, the head (order 0, deflated), then for each block its bytes and CRC-32, then the coded blocks."""
     sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(len(coded))]
-    return MAGIC + struct.pack("<QI", len(ids), len(coded)) + b"".join(struct.pack("<II", len(c), s) for c, s in zip(coded, sums)) + b"".join(coded)
+    head = zlib.compress(table.head(), 6)
+    return MAGIC + struct.pack("<QIII", len(ids), len(coded), len(head), zlib.crc32(head)) + head + b"".join(struct.pack("<II", len(c), s) for c, s in zip(coded, sums)) + b"".join(coded)
 
 
-def unpack(payload: bytes) -> tuple[int, list[bytes], list[int]]:
-    """Number of ids, coded blocks, checksums."""
+def unpack(payload: bytes) -> tuple[int, Frequencies, list[bytes], list[int]]:
+    """Number of ids, order 0, coded blocks, checksums."""
     if payload[:4] != MAGIC:
         raise ValueError("not a token frame")
-    n, blocks = struct.unpack_from("<QI", payload, 4)
-    head = struct.unpack_from(f"<{2 * blocks}I", payload, 16)
-    at, coded = 16 + 8 * blocks, []
-    for size in head[::2]:
+    n, blocks, size, check = struct.unpack_from("<QIII", payload, 4)
+    at = 24 + size
+    if zlib.crc32(payload[24:at]) != check or len(payload) < at + 8 * blocks or blocks != len(block_sizes(n)):
+        raise ValueError("the head of the frame is damaged")
+    table = Frequencies.from_head(zlib.decompress(payload[24:at]))
+    lengths = struct.unpack_from(f"<{2 * blocks}I", payload, at)
+    at, coded = at + 8 * blocks, []
+    for size in lengths[::2]:
         coded.append(payload[at : at + size])
         at += size
-    return n, coded, list(head[1::2])
+    if at != len(payload):
+        raise ValueError("the frame is cut")
+    return n, table, coded, list(lengths[1::2])
 
 
 def verify(ids: np.ndarray, sums: list[int]) -> None:
@@ -257,12 +450,9 @@ _LETTER, _NUMBER, _WHITE, _OTHER = 1, 2, 3, 0
 
 def _classes() -> np.ndarray:
     """Letter, number, white space or other, for each code point."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            shift = [0x800 if p >= 0xD800 else 0 for p in (m.start(), m.end())]
-            table[m.start() + shift[0] : m.end() + shift[1]] = kind
+    for kind, found in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
+        table[library_class(found)] = kind
     return table
 
 
@@ -316,6 +506,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         known = self.library.get_vocab()
+        if max(known.values()) > MAX_ID:
+            raise ValueError(f"the vocabulary has ids beyond {MAX_ID}")
         self.width = np.zeros(max(known.values()) + 1, np.int64)  # bytes of each id: a character of the byte alphabet each
         for string, i in known.items():
             self.width[i] = len(string)
@@ -332,21 +524,21 @@ class Encoder:
         runs = [i for i, w in enumerate(words) if w[:1] == b" " and w[1:].decode().isalpha()]
         texts = [b"".join([words[i] for i in runs[k : k + JOINED]]).decode() for k in range(0, len(runs), JOINED)]
         if texts:
-            ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(np.fromiter((len(words[i]) for i in runs), np.int64, len(runs)))
             total = np.cumsum(self.width[ids])
             at = np.searchsorted(total, ends)
             if total[-1] == ends[-1] and (total[at] == ends).all():
-                raw, stop = ids.tobytes(), (2 * (at + 1)).tolist()
+                raw, stop = ids.tobytes(), (4 * (at + 1)).tolist()
                 for i, a, b in zip(runs, [0, *stop], stop):
                     out[i] = raw[a:b]
         rest = [i for i, o in enumerate(out) if o is None]
         for i, e in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
-            out[i] = array("H", e.ids).tobytes()
+            out[i] = array("I", e.ids).tobytes()
         return out
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian uint16 ids of each distinct pre-token."""
+        """Little-endian uint32 ids of each distinct pre-token."""
         get = self.young.get
         found = [get(w) for w in words]
         unknown = [i for i, f in enumerate(found) if f is None]
@@ -384,8 +576,8 @@ class Encoder:
             offsets = np.append(lead[starts], len(raw))
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         coded = self._look_up(words.dictionary.to_pylist())
-        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
-        flat = np.frombuffer(b"".join(coded), "<u2")
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), "<u4")
         index = words.indices.to_numpy()
         each = length[index]
         end = np.cumsum(each)
@@ -433,12 +625,9 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             nonlocal frame, start
             if not waiting:
                 return None
-            sizes = [block_sizes(len(ids)) for _, ids in waiting]
-            coded = encode_blocks(np.concatenate([ids for _, ids in waiting]), np.array([s for x in sizes for s in x], np.int64))
-            rows, at = [], 0
-            for (own, ids), s in zip(waiting, sizes):
-                rows.append((part, frame, start, len(ids), own, pack(ids, coded[at : at + len(s)])))
-                at += len(s)
+            rows = []
+            for (own, ids), payload in zip(waiting, encode_frames([ids for _, ids in waiting])):
+                rows.append((part, frame, start, len(ids), own, payload))
                 frame, start = frame + 1, start + len(ids)
             waiting.clear()
             columns = list(zip(*rows))
@@ -474,14 +663,8 @@ def read(frames: DataFrame) -> DataFrame:
         waiting, size = [], 0
 
         def flush():
-            unpacked = [unpack(p) for _, _, _, p in waiting]
-            sizes = [s for n, _, _ in unpacked for s in block_sizes(n)]
-            ids = decode_blocks([c for _, coded, _ in unpacked for c in coded], np.array(sizes, np.int64))
-            doc, start, count, payload, at = [], [], [], [], 0
-            for (part, begin, own, _), (n, _, sums) in zip(waiting, unpacked):
-                mine = ids[at : at + n]
-                verify(mine, sums)
-                at += n
+            doc, start, count, payload = [], [], [], []
+            for (part, begin, own, _), mine in zip(waiting, decode_frames([p for _, _, _, p in waiting])):
                 raw, place = mine.astype("<u4").tobytes(), 0
                 for d in own:
                     doc.append(d["doc_id"])

@@ -7,15 +7,18 @@ strings; the vocabulary file names no decoder, so the strings are joined by sing
 
 Defined results: a null text counts as empty; an empty text, or one of white space only, has no ids
 and decodes to the empty string; repeated rows are encoded independently; further columns of the
-input are not read.
+input are not read.  Texts with characters that Python and the tokenizers library know differently (they
+follow different versions of Unicode) are normalised and split by the library's own objects.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +30,20 @@ from meltfield.llm._batches import map_text
 CACHE_WORDS = 200_000
 
 
+#: Code points that have classes: planes 0 to 3 without surrogates, and 14; the rest is unassigned or private.
+_POINTS = (*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE1000))
+
+
+def library_class(pattern: str) -> np.ndarray:
+    """Code points that a pattern of one character class matches, by the tokenizers library."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points, out = np.array(_POINTS), []
+    for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str("".join(map(chr, _POINTS))):
+        out.append(points[a:b])
+    return np.concatenate(out)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -79,7 +96,11 @@ class Merger:
 class Codec:
     """Text to ids and back with a tokenizer file of kind: NFC, lower case, split by pattern, byte-level BPE with a word end."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         self.merger = Merger(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.strings = {i: s for s, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
@@ -87,6 +108,9 @@ class Codec:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.odd = self._odd_characters()
         self.alphabet = byte_alphabet()
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
@@ -101,7 +125,24 @@ class Codec:
             self.young[word] = hit
         return hit
 
+    def _odd_characters(self) -> regex.Pattern:
+        """Characters that Python does not know, or normalises or classes in another way than the library."""
+        every = "".join(map(chr, _POINTS))
+        odd = {c for c in every if unicodedata.category(c) == "Cn" or self.normalizer.normalize_str(c) != (" " if c.isspace() else unicodedata.normalize("NFC", c).lower())}
+        odd -= {"\u03a3"}  # the capital sigma is lowered apart
+        for pattern in (r"\p{L}+", r"\p{N}+", r"\s+"):
+            odd.update(map(chr, {ord(c) for m in regex.finditer(pattern, every) for c in m[0]} ^ set(library_class(pattern).tolist())))
+        runs: list[list[int]] = []
+        for p in sorted(map(ord, odd)):
+            if runs and runs[-1][1] == p - 1:
+                runs[-1][1] = p
+            else:
+                runs.append([p, p])
+        return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "\U00034000-\U000dffff\U000e1000-\U0010ffff]")
+
     def _words(self, text: str) -> list[str]:
+        if not text.isascii() and self.odd.search(text):
+            return [word for word, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # the normaliser lowers each character by itself, without a final sigma
             text = text.replace("Σ", "σ")
@@ -139,8 +180,7 @@ _CODECS: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """The codec of a tokenizer file, read once in each process."""
     if path not in _CODECS:
-        with open(path, encoding="utf-8") as f:
-            _CODECS[path] = Codec(json.load(f))
+        _CODECS[path] = Codec(path)
     return _CODECS[path]
 
 

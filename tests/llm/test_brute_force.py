@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from meltfield.llm import _words, op01_langid, op02_pii, op03_substring, op04_qu
 from meltfield.llm._batches import utf8
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
 V7, V6 = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -296,28 +298,72 @@ def test_token_ids_match_the_library():
 
 def test_coder_round_trip():
     r = np.random.default_rng(1)
-    for n in (0, 1, 3, 40):
-        parts = [r.choice([r.integers(0, 65536, 400), np.zeros(400, np.int64), r.integers(0, 5, 400), np.full(400, 65535)]).astype(np.int32)[: r.integers(1, 400)] for _ in range(n)]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts) if n else np.zeros(0, np.int32)
-        coded = op06_tokens.encode_blocks(ids, sizes)
-        assert np.array_equal(op06_tokens.decode_blocks(coded, sizes), ids)
-        for c, p in zip(coded, parts):  # each block by itself
-            assert np.array_equal(op06_tokens.decode_blocks([c], np.array([len(p)])), p)
-    zeros = op06_tokens.encode_blocks(np.zeros(20_000, np.int32), np.array([20_000]))
-    assert len(zeros[0]) < 1000
+    cases = [r.integers(0, op06_tokens.MAX_ID + 1, 400), np.zeros(20_000, np.int64), r.integers(0, 5, 9000), np.full(1, op06_tokens.MAX_ID), r.zipf(1.3, 30_000) % 50_000, np.tile(r.integers(0, 999, 700), 12), np.arange(70_000) % 69_000]
+    for n in (0, 1, 3, 7):
+        frames = [c.astype(np.int32) for c in cases[:n]]
+        payloads = op06_tokens.encode_frames(frames)
+        back = op06_tokens.decode_frames(payloads)
+        assert len(back) == n and all(np.array_equal(a, b) for a, b in zip(frames, back))
+        for p, f in zip(payloads, frames):  # each frame by itself
+            assert np.array_equal(op06_tokens.decode_frames([p])[0], f)
+    assert len(payloads[1]) < 1000 and len(payloads[5]) < 2 * 8400 * 0.4  # one id; a repeated passage
+    n, table, coded, sums = op06_tokens.unpack(payloads[4])  # each block by itself
+    for k, c in enumerate(coded):
+        want = frames[4][k * op06_tokens.BLOCK : (k + 1) * op06_tokens.BLOCK]
+        assert np.array_equal(table.ids[op06_tokens.decode_blocks([c], np.array([len(want)]), np.zeros(1, np.int64), [table])], want)
+    with pytest.raises(ValueError):
+        op06_tokens.encode_frames([np.array([op06_tokens.MAX_ID + 1])])
+
+
+def test_shares_stay_a_distribution():
+    """Any outcomes: every place keeps its least share, and the mixed bounds rise from 0 to the whole."""
+    r, m = np.random.default_rng(2), 64
+    model = op06_tokens._Model(m)
+    for t in range(3000):
+        model.predict(m)
+        place = model.place_of(x := r.integers(0, 12 if t % 2 else 40, m).astype(np.int32))
+        low, share = zip(*(model.bounds(np.full(m, k)) for k in range(op06_tokens.WAYS + 1)))
+        low, share = np.array(low), np.array(share)
+        assert (low[0] == 0).all() and (share >= 1).all() and (low[1:] == (low + share)[:-1]).all() and (low[-1] + share[-1] == op06_tokens.ONE).all()
+        value = r.integers(0, op06_tokens.ONE, m).astype(np.int32)
+        assert np.array_equal(model.outcome(value), (low <= value).sum(0) - 1)
+        model.update(m, x, place)
 
 
 def test_damage_is_found():
-    ids = np.random.default_rng(0).integers(0, 50257, 5000).astype(np.int32)
-    payload = op06_tokens.pack(ids, op06_tokens.encode_blocks(ids, np.array(op06_tokens.block_sizes(5000))))
-    n, coded, sums = op06_tokens.unpack(payload)
-    op06_tokens.verify(op06_tokens.decode_blocks(coded, np.array(op06_tokens.block_sizes(n))), sums)
-    bad = bytearray(payload)
-    bad[len(bad) // 2] ^= 1
-    n, coded, sums = op06_tokens.unpack(bytes(bad))
+    ids = np.random.default_rng(0).integers(0, 50257, 15_000).astype(np.int32)
+    payload = op06_tokens.encode_frames([ids])[0]
+    assert np.array_equal(op06_tokens.decode_frames([payload])[0], ids)
+    for at in (0, 5, 13, 30, len(payload) // 2, len(payload) - 40):
+        bad = bytearray(payload)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            op06_tokens.decode_frames([bytes(bad)])
     with pytest.raises(ValueError):
-        op06_tokens.verify(op06_tokens.decode_blocks(coded, np.array(op06_tokens.block_sizes(n))), sums)
+        op06_tokens.decode_frames([payload[:-1]])
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="test tables are not here")
+def test_files_are_smaller_than_order_0_and_deflate(spark):
+    texts = [t.text or "" for t in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids = np.concatenate([x for e in op06_tokens.Encoder(V6).encode(texts) for x in (e, [0])]).astype(np.int32)
+    bits = 8 * len(op06_tokens.encode_frames([ids])[0]) / len(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    deflated = 8 * sum(len(zlib.compress(ids[k : k + op06_tokens.BLOCK].astype("<u2").tobytes())) for k in range(0, len(ids), op06_tokens.BLOCK)) / len(ids)
+    assert bits < -(share * np.log2(share)).sum() and bits < deflated - 1
+
+
+def test_characters_are_classed_as_in_the_library():
+    """Every assigned character, and some that Python does not know, between letters, digits and quotes."""
+    every = [chr(x) for x in (*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE1000), *range(0x40000, 0x40020), *range(0xF0000, 0xF0020))]
+    random.Random(1).shuffle(every)
+    texts = [f"a{every[i]}{every[i - 1]}b 1'{every[i]}s {every[i]} x" for i in range(0, len(every), 4)]
+    library, e = Tokenizer.from_file(V6), op06_tokens.Encoder(V6)
+    for t, want, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False), e.encode(texts)):
+        assert ids.tolist() == want.ids, t
+    library, codec = Tokenizer.from_file(V7), op07_bpe.codec(V7)
+    for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(codec.encode_bytes(t), "<u4").tolist() == want.ids, t
 
 
 def test_files_keep_order_and_places(spark, monkeypatch):
