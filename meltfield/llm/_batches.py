@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import time
 import uuid
 import zlib
@@ -54,13 +55,35 @@ def _split_schema(schema: str) -> list[str]:
     return [*parts, schema[last:].strip()]
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 17) -> DataFrame:
-    """About ``n`` and never more than ``2 n`` rows of ``df``, chosen by a hash of ``key``; all of them if there are fewer than ``n``."""
+def first_by_hash(df: DataFrame, n: int, salt: int = 17) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest hashes of all their columns, in that order; repeated rows count once."""
+    own = f"hash_{uuid.uuid4().hex}"
+    return df.withColumn(own, F.xxhash64(*(F.col(c).cast("string") for c in df.columns), F.lit(salt))).dropDuplicates([own]).orderBy(own).limit(n).drop(own)
+
+
+def bounded_sample(df: DataFrame, n: int, salt: int = 17) -> DataFrame:
+    """At most ``n`` rows of ``df``, chosen by a hash of all their columns alone; repeated rows count once."""
     total = df.count()
-    if total <= n:
-        return df
-    share = int(n / total * (1 << 40))
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 40)) < F.lit(share)).limit(2 * n)
+    if total > n:  # a quarter more than is needed passes the filter
+        below = int(1.25 * n / total * (1 << 40)) + 1
+        df = df.where(F.pmod(F.xxhash64(F.lit(salt + 1), *(F.col(c).cast("string") for c in df.columns)), F.lit(1 << 40)) < F.lit(below))
+    return first_by_hash(df, n, salt)
+
+
+def learn(sample: DataFrame, text: str, learner: Callable):
+    """What a learner (``add`` for pieces of rows, then ``model``) makes of a bounded sample.
+
+    One task streams over the sample, so texts of any length are held a piece at a time, and only the model reaches the driver.
+    """
+
+    def run(batches):
+        one = learner()
+        for piece in chunks(batches, text):
+            one.add(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(one.model()), 1)], pa.binary())], ["model"])
+
+    rows = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(zlib.decompress(rows[0]["model"])) if rows else learner().model()
 
 
 def crc32_of_id(doc_id) -> int:

@@ -1,12 +1,12 @@
 """Language identification of mixed-language text.
 
-A word (a run of ASCII letters and non-ASCII characters) is scored for every language by hashed byte n-grams of two
-to four bytes.  The script range of its characters narrows the candidates: a language stays in the race for a word
-only if its training text uses that script.  Viterbi over the words of a document, with a penalty for each switch,
+A word (a run of letters and marks; an ideograph or kana is a word by itself) is scored for every language by hashed byte
+n-grams of two to four bytes.  The script of its characters narrows the candidates: a language stays in the race for a
+word only if its training text uses that script.  Viterbi over the words of a document, with a penalty for each switch,
 labels spans; the prediction is the language of most of the letters.
 
-Training counts n-grams in a bounded hash sample of ``TRAIN_DOCS`` labelled documents (at most twice as many) whose
-crc32(doc_id as text) mod 4 is not 2; only their text and label are used.
+Training counts n-grams in a bounded hash sample of at most ``TRAIN_DOCS`` whole labelled documents whose crc32(doc_id as
+text) mod 4 is not 2; only their text and label are used.
 
 Defined results: ``und`` with score 0 and no spans if the text is null or has no letter, or if nothing could be learned;
 letters in a script that no language uses are scored by all languages; equal totals go to the language that sorts
@@ -16,15 +16,17 @@ other; extra columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltfield.llm._batches import bounded_sample, map_text, utf8
+from meltfield.llm._batches import bounded_sample, learn, map_text, utf8
 
-TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
+TRAIN_DOCS = 2500
 #: n-gram orders with the bits of their tables, smoothing, weight of a word's log likelihood, cost of a switch.
 ORDERS = {2: 16, 3: 16, 4: 17}
 SMOOTHING, TEMPER, SWITCH = 0.5, 0.35, 9.0
@@ -32,21 +34,27 @@ SMOOTHING, TEMPER, SWITCH = 0.5, 0.35, 9.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 
-#: Scripts by the lead byte of UTF-8 (ranges of code points).
-SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "cjk", "other")
-_SCRIPT = np.full(256, 255, np.uint8)
-_SCRIPT[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = 0  # A-Z, a-z, U+00C0 to U+027F
-_SCRIPT[0xCA:0xCD] = 6
-_SCRIPT[0xCD:0xD0] = 1  # U+0340 to U+03FF
-_SCRIPT[0xD0:0xD5] = 2  # U+0400 to U+053F
-_SCRIPT[0xD5:0xDF] = 3  # U+0540 to U+07BF
-_SCRIPT[0xE0] = 4  # U+0800 to U+0FFF
-_SCRIPT[0xE1] = 6
-_SCRIPT[0xE3:0xEE] = 5  # U+3000 to U+DFFF
-_SCRIPT[0xEE:0xF5] = 6
+#: Scripts by the first word of their characters' names; letters of others share the last place.
+SCRIPTS = (
+    *"latin greek cyrillic armenian hebrew arabic devanagari bengali gurmukhi gujarati oriya tamil telugu kannada malayalam sinhala thai lao tibetan myanmar georgian hangul ethiopic khmer mongolian cjk hiragana katakana".split(),
+    "other",
+)
+#: Scripts written without spaces whose characters are words; marks that any script may have; no part of a word.
+SINGLE, COMMON, NO_WORD = tuple(SCRIPTS.index(s) for s in ("cjk", "hiragana", "katakana")), 254, 255
+_TABLE: list[np.ndarray] = []
+
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+def script_table() -> np.ndarray:
+    """The script of each code point, by category and name of the character."""
+    if not _TABLE:
+        place = {name.upper(): i for i, name in enumerate(SCRIPTS)} | {"COMBINING": COMMON, "MODIFIER": COMMON}
+        table = np.full(0x110000, NO_WORD, np.uint8)
+        for p in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xD800), *range(0xF900, 0x34000)):
+            c = chr(p)
+            if unicodedata.category(c)[0] in "LM":
+                table[p] = place.get(unicodedata.name(c, "OTHER").split()[0], len(SCRIPTS) - 1)
+        _TABLE.append(table)
+    return _TABLE[0]
 
 
 def crc_fold(doc_id):
@@ -68,37 +76,77 @@ def _ngrams(raw: np.ndarray):
 
 
 def prepare(column: pa.Array):
-    """Lower-cased bytes with all separators as spaces, word starts and ends in them, word offsets of the rows, byte offsets of the rows."""
+    """Lower-cased bytes with all separators as spaces, word starts and ends in them, word offsets of the rows, byte offsets of the rows, script of each byte's character."""
+    table = script_table()
     lowered = pc.utf8_lower(pc.fill_null(column, ""))
     raw, offsets = utf8(pc.binary_join_element_wise(lowered, " ", ""))
-    word = _WORD[raw]
+    script = table[:256].take(raw)  # right for ASCII
+    lead = np.flatnonzero(raw >= 0xC0)
+    cut = np.zeros(0, np.int64)
+    if len(lead):
+        script[raw >= 0x80] = NO_WORD
+        first = raw[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0xFF >> (size + 1))
+        for i in (1, 2, 3):
+            longer = size > i
+            point[longer] = point[longer] << 6 | (raw[lead[longer] + i] & 0x3F)
+        code = table.take(point)
+        for i in range(4):
+            longer = size > i
+            script[lead[longer] + i] = code[longer]
+        single = np.isin(code, SINGLE)
+        cut = np.concatenate([lead[single], (lead + size)[single]])
+    word = script != NO_WORD
     raw = np.where(word, raw, np.uint8(0x20))
     padded = np.concatenate([[False], word, [False]])
     edge = padded[1:] != padded[:-1]
+    edge[cut] = True
     starts, ends = np.flatnonzero(edge & padded[1:]), np.flatnonzero(edge & padded[:-1])
-    return raw, starts, ends, np.searchsorted(starts, offsets), offsets
+    return raw, starts, ends, np.searchsorted(starts, offsets), offsets, script
 
 
-def train(texts: list[str], langs: list[str]) -> dict | None:
-    """Log likelihoods (slots x languages) of each order, and the scripts of each language; None without training text."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    counts = {n: np.zeros((1 << bits, len(names))) for n, bits in ORDERS.items()}
-    scripts = np.zeros((len(names), len(SCRIPTS)))
-    for i, name in enumerate(names):
-        for at in range(0, len(own := [t for t, x in zip(texts, langs) if x == name]), 256):
-            raw, *_ = prepare(pa.array(own[at : at + 256], pa.string()))
+class Learner:
+    """Counts n-grams and scripts of labelled texts."""
+
+    def __init__(self):
+        self.grams: dict[str, dict[int, np.ndarray]] = {}
+        self.scripts: dict[str, np.ndarray] = {}
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        langs = np.array(piece.column("lang").to_pylist(), object)
+        for name in sorted(set(langs)):
+            raw, *_, script = prepare(piece.column("text").filter(pa.array(langs == name)))
+            counts = self.grams.setdefault(name, {n: np.zeros(1 << bits, np.int64) for n, bits in ORDERS.items()})
             for order, slot in _ngrams(raw):
-                counts[order][:, i] += np.bincount(slot, minlength=1 << ORDERS[order])
-            s = _SCRIPT[raw]
-            scripts[i] += np.bincount(s[s < len(SCRIPTS)], minlength=len(SCRIPTS))
-    # only slots that training text has seen carry evidence; the rest are even for all languages
-    tables = {n: np.where(c.sum(1, keepdims=True) > 0, np.log((c + SMOOTHING) / (c.sum(0) + SMOOTHING * len(c))), 0).astype(np.float32) for n, c in counts.items()}
-    return {"langs": names, "tables": tables, "scripts": scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)}
+                counts[order] += np.bincount(slot, minlength=1 << ORDERS[order])
+            self.scripts[name] = self.scripts.get(name, 0) + np.bincount(script[script < len(SCRIPTS)], minlength=len(SCRIPTS))
+
+    def model(self) -> dict | None:
+        """Log likelihoods (slots x languages) of each order, and the scripts of each language; None without training text."""
+        names = sorted(self.grams)
+        if not names:
+            return None
+        counts = {n: np.stack([self.grams[x][n] for x in names], axis=1) for n in ORDERS}
+        scripts = np.stack([self.scripts[x] for x in names])
+        # only slots that training text has seen carry evidence; the rest are even for all languages
+        tables = {n: np.where(c.sum(1, keepdims=True) > 0, np.log((c + SMOOTHING) / (c.sum(0) + SMOOTHING * len(c))), 0).astype(np.float32) for n, c in counts.items()}
+        return {"langs": names, "tables": tables, "scripts": scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)}
+
+
+def train(texts: list[str], langs: list[str]) -> dict | None:
+    """A model from texts and their languages."""
+    one = Learner()
+    if texts:
+        one.add(pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(langs, pa.string())], ["text", "lang"]))
+    return one.model()
+
+
+#: By script of a byte: its place in a set of scripts.
+_BIT = np.array([1 << i if i < len(SCRIPTS) else 0 for i in range(256)], np.int32)
 
 
-def word_scores(model: dict, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_scores(model: dict, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, scripts: np.ndarray) -> np.ndarray:
     """Tempered log likelihood of each word (with the space behind it) for each language; excluded languages far below."""
     k = len(model["langs"])
     out = np.zeros((len(starts), k), np.float32)
@@ -114,10 +162,9 @@ def word_scores(model: dict, raw: np.ndarray, starts: np.ndarray, ends: np.ndarr
         if cuts[-1] >= len(total):
             total = np.concatenate([total, np.zeros((1, k), np.float32)])
         out[at:stop] = np.add.reduceat(total, cuts, axis=0)[::2]
-        script = _SCRIPT[part]
-        script = np.where(script == 255, 0, 1 << np.minimum(script, 7)).astype(np.uint8)
-        used = np.bitwise_or.reduceat(np.append(script, np.uint8(0)), cuts)[::2]
-        bits = (1 << np.arange(len(SCRIPTS)))
+        bit = np.append(_BIT.take(scripts[low : low + len(part)]), np.int32(0))
+        used = np.bitwise_or.reduceat(bit, cuts)[::2]
+        bits = _BIT[: len(SCRIPTS)]
         for value in np.unique(used):
             fits = (model["scripts"] | ((value & bits) == 0)).all(1) if value else np.ones(k, bool)
             if fits.any() and not fits.all():
@@ -178,8 +225,8 @@ def predict(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: s
         if model is None or not lettered.any():
             return {"doc_id": piece.column("doc_id"), "lang_pred": pa.array([UNKNOWN] * n), "score": pa.array([0.0] * n), "spans": pa.array([[]] * n, kind)}
         names = np.array(model["langs"])
-        raw, starts, ends, rows, offsets = prepare(column)
-        label = viterbi(word_scores(model, raw, starts, ends), rows)
+        raw, starts, ends, rows, offsets, script = prepare(column)
+        label = viterbi(word_scores(model, raw, starts, ends, script), rows)
         doc = np.repeat(np.arange(n), np.diff(rows))
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         letters = points[ends] - points[starts]
@@ -208,9 +255,8 @@ def predict(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: s
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict | None:
     """A model from the labelled documents outside the held-out fold."""
     some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    some = some.where("lang is not null and text is not null").where(crc_fold("doc_id") != 2).where(F.length("text") <= TRAIN_CHARS)
-    rows = sorted(bounded_sample(some, "doc_id", TRAIN_DOCS, salt=29).collect(), key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    some = some.where("lang is not null and text is not null").where(crc_fold("doc_id") != 2).select("text", "lang")
+    return learn(bounded_sample(some, TRAIN_DOCS, salt=29), "text", Learner)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: gradient-boosted trees over document statistics, after two fixed rules.
 
 Statistics of each whole text are computed by numpy over Arrow batches.  The trees are grown here on histograms of a
-bounded hash sample of ``TRAIN_DOCS`` labelled documents (at most twice as many), with logistic loss.  Chosen
+bounded hash sample of ``TRAIN_DOCS`` labels and their whole documents (at most twice as many), with logistic loss.  Chosen
 features are monotonic: more symbols, repeated words, repeated lines, capitals or shouting never raise the
 score; a split that breaks this is not taken, and the bounds of both sides hold in the whole subtree.  The
 model is a set of flat node arrays, scored level by level for a whole batch.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm import _words
-from meltfield.llm._batches import bounded_sample, map_text, utf8
+from meltfield.llm._batches import bounded_sample, first_by_hash, learn, map_text, utf8
 
 TRAIN_DOCS = 4000
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST = 60, 3, 0.15, 64, 1.0, 8
@@ -165,21 +165,26 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["start"] + model["value"][trees, at].sum(axis=1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict | None:
-    """Trees from a bounded sample of the labelled documents (their statistics only reach the driver)."""
-    known = labels.select(F.col(doc_id).alias("label_id"), F.col(label).cast("int").alias("label")).where("label_id is not null and label is not null")
-    ids = bounded_sample(known, "label_id", TRAIN_DOCS)
-    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+class Learner:
+    """Statistics of labelled texts, then trees."""
 
-    def run(piece: pa.RecordBatch) -> dict:
-        s = statistics(piece.column("text"))
-        return {"doc_id": piece.column("doc_id"), "label": piece.column("label"), "x": pa.array(s["x"].tolist(), pa.list_(pa.float64()))}
+    def __init__(self):
+        self.x, self.y = [], []
 
-    kind = some.select("doc_id").schema[0].dataType.simpleString()
-    rows = sorted(map_text(some.select("doc_id", "label", "text"), "text", run, f"doc_id {kind}, label int, x array<double>").limit(4 * TRAIN_DOCS).collect())
-    if not rows:
-        return None
-    return grow(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
+    def add(self, piece: pa.RecordBatch) -> None:
+        self.x.append(statistics(piece.column("text"))["x"])
+        self.y += piece.column("label").to_pylist()
+
+    def model(self) -> dict | None:
+        return grow(np.concatenate(self.x), np.array(self.y, float)) if self.y else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict | None:
+    """Trees from a bounded sample of the labelled documents; only the trees reach the driver."""
+    known = labels.select(F.col(doc_id).alias("label_id"), F.col(label).cast("int").alias("label")).where("label_id is not null and label is not null")
+    ids = bounded_sample(known, TRAIN_DOCS)
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+    return learn(first_by_hash(some, 2 * TRAIN_DOCS), "text", Learner)
 
 
 def assess(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

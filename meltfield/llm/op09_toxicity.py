@@ -1,11 +1,12 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-A text's features are hashes of its words (runs of ASCII letters and non-ASCII characters, lower-cased) and of the four- and
+A text's features are hashes of its words (runs of letters and marks, lower-cased) and of the four- and
 five-byte n-grams inside them; only slots that training found to go with toxic text carry a weight, so the
 representation is sparse.  One weight vector is shared by all ordered thresholds: P(severity >= j) = logistic(w.x - t_j) with
 t_1 < t_2 < t_3, and the result is the expected severity, the sum of the three.
 
-Training takes a bounded hash sample of ``TRAIN_DOCS`` labelled documents (at most twice as many).  Labels say toxic or not; the
+Training takes a bounded hash sample of ``TRAIN_DOCS`` labels and their whole documents (at most twice as many), in two passes: document
+counts of all slots, then the sparse features in the chosen ones; only counts and weights reach the driver.  Labels say toxic or not; the
 grades 1 to 3 of toxic documents are the terciles of how much of the selected words and n-grams they hold.
 
 Defined results: null and empty texts have no feature and the severity of the thresholds alone; without labels, or with
@@ -15,18 +16,20 @@ extra columns are not read.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm import _words
-from meltfield.llm._batches import bounded_sample, chunks, map_text
+from meltfield.llm._batches import bounded_sample, chunks, discard, first_by_hash, learn, map_text, written
 from meltfield.llm.op01_langid import prepare
 
-TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
-#: Text bytes taken apart at once: of the sample on the driver, and on the executors.
-TRAIN_PIECE, PIECE = 1 << 19, 1 << 20
+TRAIN_DOCS = 6000
+#: Text bytes taken apart at once.
+PIECE = 1 << 20
 BITS, GRAMS = 20, (4, 5)
 #: A slot is selected by at least so many toxic documents and this share of them, this ratio of document rates, and among the strongest.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_SLOTS = 4, 0.02, 15.0, 4096
@@ -35,7 +38,7 @@ GRADES, STEPS, RIDGE, GAP, REJECT = 3, 600, 1e-5, 0.1, 0.5
 
 def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text row and slot of every word and n-gram of the texts."""
-    raw, starts, ends, rows, _ = prepare(column)
+    raw, starts, ends, rows, *_ = prepare(column)
     doc = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     found = [(_words.hashes(raw, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)]
     docs = [doc]
@@ -73,45 +76,67 @@ def _counts(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pair >> BITS, pair & ((1 << BITS) - 1), n
 
 
-def _pieces(texts: list[str]):
-    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text", TRAIN_PIECE):
-        yield batch.column("text")
+class _Slots:
+    """Documents of each class that hold each slot, and from them the slots that get a weight."""
+
+    def __init__(self):
+        self.seen, self.docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        for part in chunks([piece], "text", PIECE // 2):
+            y = np.array(part.column("label").to_pylist()) > 0
+            d, s, _ = _counts(*slots(part.column("text")))
+            for c in (0, 1):
+                self.seen[c] += np.bincount(s[y[d] == c], minlength=1 << BITS)
+                self.docs[c] += (y == c).sum()
+
+    def model(self) -> np.ndarray:
+        """The chosen slots, ascending; none if a class is missing."""
+        if not self.docs.all():
+            return np.zeros(0, np.int64)
+        rate = [(self.seen[c] + 0.1) / (self.docs[c] + 0.2) for c in (0, 1)]
+        ok = (self.seen[1] >= max(LEAST_DOCS, LEAST_SHARE * self.docs[1])) & (rate[1] >= LEAST_RATIO * rate[0])
+        strength = np.where(ok, self.seen[1] * np.log(rate[1] / rate[0]), 0)
+        return np.sort(np.argsort(-strength, kind="stable")[: min(MOST_SLOTS, int(ok.sum()))])
+
+
+class _Weights:
+    """Sparse features of the documents in the chosen slots, and from them the regression."""
+
+    def __init__(self, chosen: np.ndarray):
+        self.chosen = chosen
+        self.column_of = np.full(1 << BITS, -1, np.int32)
+        self.column_of[chosen] = np.arange(len(chosen))
+        none = np.zeros(0)
+        self.rows, self.cols, self.values, self.toxic, self.amount = [none.astype(int)], [none.astype(int)], [none], [], [none]
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        for part in chunks([piece], "text", PIECE // 2):
+            doc, slot = slots(part.column("text"))
+            hit = self.column_of[slot] >= 0
+            d, s, n = _counts(doc[hit], slot[hit])
+            self.rows.append(len(self.toxic) + d), self.cols.append(self.column_of[s]), self.values.append(np.log1p(n))
+            self.amount.append(np.bincount(d, np.log1p(n), part.num_rows))
+            self.toxic += [x > 0 for x in part.column("label").to_pylist()]
+
+    def model(self) -> dict:
+        y, amount = np.array(self.toxic, bool), np.concatenate(self.amount)
+        cuts = np.quantile(amount[y], [1 / 3, 2 / 3])
+        grade = np.where(y, 1 + (amount > cuts[0]) + (amount > cuts[1]), 0)
+        w, thresholds = fit_ordinal(*map(np.concatenate, (self.rows, self.cols, self.values)), grade, len(self.chosen))
+        return {"slots": self.chosen, "weights": w, "thresholds": thresholds}
 
 
 def train(texts: list[str], toxic: list[int]) -> dict | None:
-    """Slots, weights and thresholds; None if a class is missing."""
-    y = np.array(toxic, bool)
-    if not y.any() or y.all():
-        return None
-    seen = np.zeros((2, 1 << BITS), np.int64)
-    at = 0
-    for column in _pieces(texts):
-        d, s, _ = _counts(*slots(column))
-        for c in (0, 1):
-            seen[c] += np.bincount(s[y[at + d] == c], minlength=1 << BITS)
-        at += len(column)
-    rate = (seen[1] + 0.1) / (y.sum() + 0.2), (seen[0] + 0.1) / ((~y).sum() + 0.2)
-    ok = (seen[1] >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (rate[0] >= LEAST_RATIO * rate[1])
-    strength = np.where(ok, seen[1] * np.log(rate[0] / rate[1]), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(MOST_SLOTS, int(ok.sum()))])
-    if not len(chosen):
+    """Slots, weights and thresholds from texts in memory; None if a class is missing."""
+    piece = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(toxic, pa.int32())], ["text", "label"])
+    first = _Slots()
+    first.add(piece)
+    if not len(chosen := first.model()):
         return None
-    column_of = np.full(1 << BITS, -1, np.int32)
-    column_of[chosen] = np.arange(len(chosen))
-    rows, cols, values, amount = [], [], [], np.zeros(len(texts))
-    at = 0
-    for column in _pieces(texts):
-        doc, slot = slots(column)
-        hit = column_of[slot] >= 0
-        d, s, n = _counts(doc[hit], slot[hit])
-        rows.append(at + d), cols.append(column_of[s]), values.append(np.log1p(n))
-        amount[at : at + len(column)] = np.bincount(d, np.log1p(n), len(column))
-        at += len(column)
-    rows, cols, values = map(np.concatenate, (rows, cols, values))
-    cuts = np.quantile(amount[y], [1 / 3, 2 / 3])
-    grade = np.where(y, 1 + (amount > cuts[0]) + (amount > cuts[1]), 0)
-    w, thresholds = fit_ordinal(rows, cols, values, grade, len(chosen))
-    return {"slots": chosen, "weights": w, "thresholds": thresholds}
+    second = _Weights(chosen)
+    second.add(piece)
+    return second.model()
 
 
 def fit_ordinal(rows, cols, values, grade, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +196,13 @@ def severity(model: dict | None, column: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
     """A model from a bounded sample of the labelled documents."""
     known = labels.select(F.col(doc_id).alias("label_id"), F.col(label).cast("int").alias("label")).where("label_id is not null and label is not null")
-    ids = bounded_sample(known, "label_id", TRAIN_DOCS, salt=31)
-    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    rows = some.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").limit(4 * TRAIN_DOCS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    return train([r["text"] for r in rows], [r["label"] > 0 for r in rows]) if rows else None
+    ids = bounded_sample(known, TRAIN_DOCS, salt=31)
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    sample = written(first_by_hash(some, 2 * TRAIN_DOCS, salt=31), "labelled")
+    chosen = learn(sample, "text", _Slots)
+    model = learn(sample, "text", partial(_Weights, chosen)) if len(chosen) else None
+    discard(sample)
+    return model
 
 
 def grade(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -145,21 +145,84 @@ def test_digest_and_added_spans(spark):
     assert "a0@x" not in red[1]["text"] and "[EMAIL]" in red[1]["text"] and red[1]["n_chars"] == len(red[1]["text"]) and red[2]["text"] is None
 
 
-def test_loopy_messages_agree_with_enumeration_on_a_tree():
+def enumerated(unary, edges, psi):
+    n, k = unary.shape
+    out = np.zeros((n, k))
+    for x in np.ndindex(*[k] * n):
+        w = np.exp(sum(unary[i, x[i]] for i in range(n)) + sum(psi[e, x[i], x[j]] for i, j, e in edges))
+        for i in range(n):
+            out[i, x[i]] += w
+    return out / out.sum(1, keepdims=True)
+
+
+def test_loopy_messages_agree_with_enumeration():
     r = np.random.default_rng(0)
-    unary, psi, edges = r.normal(size=(4, 3)), r.normal(size=(3, 3, 3)), np.array([[0, 1], [1, 2], [1, 3]])
-    old = op02_pii.PASSES, op02_pii.DAMPING
-    op02_pii.PASSES, op02_pii.DAMPING = 10, 0.0
-    try:
-        got = op02_pii.marginals(unary, edges, psi)
-    finally:
-        op02_pii.PASSES, op02_pii.DAMPING = old
-    expected = np.zeros((4, 3))
-    for x in np.ndindex(3, 3, 3, 3):
-        w = np.exp(sum(unary[i, x[i]] for i in range(4)) + sum(psi[e, x[i], x[j]] for e, (i, j) in enumerate(edges)))
-        for i in range(4):
-            expected[i, x[i]] += w
-    assert np.allclose(got, expected / expected.sum(1, keepdims=True))
+    for _ in range(20):
+        unary, psi = r.normal(size=(5, 3)), r.normal(size=(3, 3, 3))
+        tree = np.array([[0, 1, 2], [1, 2, 0], [3, 1, 2], [3, 4, 1]])
+        assert np.allclose(op02_pii.marginals(unary, tree, psi), enumerated(unary, tree, psi), atol=1e-3)
+        loops = np.array([[0, 1, 0], [1, 2, 1], [0, 2, 2], [2, 3, 0], [3, 4, 1], [4, 2, 1]])
+        assert np.abs(op02_pii.marginals(unary, loops, psi / 2) - enumerated(unary, loops, psi / 2)).max() < 0.08
+    assert np.allclose(op02_pii.marginals(unary, np.zeros((0, 3), np.int64), psi), np.exp(unary) / np.exp(unary).sum(1, keepdims=True))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = [last := i + 1] + [last := min(row[j + 1] + 1, last + 1, row[j] + (x != y)) for j, y in enumerate(b)]
+    return row[-1]
+
+
+def test_similar_values():
+    r = random.Random(5)
+    for _ in range(4000):
+        a = "".join(r.choice("ab1") for _ in range(r.randint(6, 11)))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(b))
+            b[i : i + r.randint(0, 1)] = r.choice(["", "a", "1"])
+        b = "".join(b)
+        short, long = sorted((a, b), key=len)
+        digits = a.isdigit() and b.isdigit() and short[-7:] == long[-7:] and len(short) >= 7
+        close = len(short) >= 8 and (edits(a, b) <= 1 or long.startswith(short) or long.endswith(short))
+        if not (a.isdigit() or b.isdigit()):
+            assert op02_pii.similar(a, b) == op02_pii.similar(b, a) == (close or digits), (a, b)
+
+
+@pytest.fixture(scope="module")
+def field():
+    r = random.Random(9)
+    def digits(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if op02_pii.luhn(d + c))
+    texts = []
+    for i in range(300):
+        texts.append(r.choice([f"mail {r.choice('abcdefgh')}{digits(3)}.name@host{i}.example.com now", f"card {card()} ok", f"phone +{digits(11)} day", f"from 10.{i % 250}.0.{i % 99}", f"order {digits(8)} of 2024, {i} items", f"id {digits(12)} and {digits(10)}"]))
+    return op02_pii.train(texts)
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Call +1 555 010 4477 now. Later 555 010 4477, or 1-555-010-4477 again.", [("phone", "555 010 4477"), ("phone", "1-555-010-4477")]),
+        ("mail bob.smith@example.com, then bob.smith@example and bob.smith.example.com", [("email", "bob.smith@example"), ("email", "bob.smith.example.com")]),
+        ("pay 4111111111111111 or, if it fails, 411111111111111 and 4111111111111112.", [("card", "411111111111111"), ("card", "4111111111111112")]),
+        ("hosts 10.20.30.41 and 10.20.30.410 fail", [("ip", "10.20.30.410")]),
+        ("order 5550104477 shipped, 4111111111111112 items in 2024, part 12345678", []),
+        ("mail ann@example.com about order 5550104477 and part 2345678, see section 3.1.4", []),
+    ],
+)
+def test_broken_repeats_are_found_and_others_are_not(text, found, field):
+    base, more = op02_pii.all_spans(text, field)
+    assert base == base_by_pattern(text) and [(k, text[a:b]) for k, a, b in sorted(more, key=lambda s: s[1])] == found
+
+
+def test_evidence_reaches_every_copy(field):
+    text = "+1 555 010 4477 is the number. " + "More words about something else. 555 010 4477 here. " * 60
+    base, more = op02_pii.all_spans(text, field)
+    assert len(base) == 1 and len(more) == 60 and {text[a:b] for _, a, b in more} == {"555 010 4477"}
 
 
 # ---- 3 repeated passages ---------------------------------------------------------------------------------------------
