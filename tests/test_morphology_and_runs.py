@@ -10,6 +10,7 @@ import __spark_entry__
 from meltfield import cli
 from meltfield.functions import geometry as G
 from meltfield.operators import mask, morphology
+from meltfield.operators import components
 from meltfield.operators.components import connected_components
 from meltfield.plans.pipeline import compute_porosity
 from meltfield.schema import GridSpec, MeltPoolSpec
@@ -49,7 +50,9 @@ def test_labels_match_a_flood(spark, shape, share, seed):
     assert np.array_equal(got, expected)
 
 
-def test_long_chain_of_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, -1])
+def test_long_chain_of_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     n = 300
     order = np.random.default_rng(5).permutation(n)
     edges = [(int(order[i]), int(order[i + 1])) for i in range(n - 1)] + [(1000, 1001), (1001, 1001), (None, 5)]
