@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
-import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -101,11 +99,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Drops the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and reread: its lineage ends there."""
+    """``df`` written as Parquet into the shared checkpoint folder and reread: its lineage ends there, and so do its shuffle files.
+
+    The table goes with ``discard``, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    system, place = _path(spark, path)
+    system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -113,17 +130,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, place = _path(df.sparkSession, df.written_path)
+    system.delete(place, True)
 
 
-def release(spark) -> None:
-    """Lets the cleaner drop the shuffle files of finished jobs that nothing refers to any more.
-
-    The driver's Python gives up its references a moment after its own collection, so the JVM is asked twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.4)
-        spark.sparkContext._jvm.System.gc()
+def table_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a plan's tables if the optimizer knows them, else those of column ``text``."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -79,6 +81,29 @@ def _long(part: np.ndarray) -> np.uint64:
     return total
 
 
+def other_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second 64-bit hash of each word, of another kind than ``hashes``: a chain over the word's eight-byte parts.
+
+    Words of up to eight bytes have hashes of their own; words of more than 256 bytes are hashed one by one.
+    """
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + np.uint64(0x51ED270B9F652295))
+    if not len(n):
+        return out
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    active = np.flatnonzero(n <= 256)
+    for k in range(32):
+        active = active[n[active] > 8 * k]
+        if not len(active):
+            break
+        part = np.ascontiguousarray(view[starts[active] + 8 * k]).view("<u8").ravel()
+        cut = np.uint64(64) - np.uint64(8) * np.minimum(n[active] - 8 * k, 8).astype(np.uint64)
+        out[active] = mix((out[active] ^ (part << cut >> cut)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+    for i in np.flatnonzero(n > 256):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def windows(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     """Polynomial hash of the ``width`` consecutive values from each position; the last ``width - 1`` entries are meaningless."""
     c = np.uint64(multiplier | 1)

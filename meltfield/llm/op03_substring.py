@@ -8,11 +8,13 @@ repeated window shares an aligned anchor with every other occurrence.
 
 1. Anchors that occur more than once are found: each task combines equal anchors of its own chunk first, so a
    passage that a third of all documents share reaches the shuffle once a chunk, not once a document.
-2. Repeated anchors extend to all windows that contain them; these windows are compared by a 96-bit hash, again
+2. Repeated anchors extend to all windows that contain them; these windows are compared by 64 and 32 bits from two
+   independent kinds of word hashes, again
    combined by chunk, and every occurrence but the first in the order of (doc_id, start) is a repeat.
 3. Words covered by a repeated window go.
 
 Hashes travel in buckets as packed arrays, a row for each chunk and bucket, so a window costs about a dozen bytes of shuffle.
+The numbers of buckets and partitions grow with the input, so neither a bucket nor a task does.
 Both intermediate results are written to the shared checkpoint folder, which also bounds the shuffle files held
 at one time.
 
@@ -30,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm import _words
-from meltfield.llm._batches import chunks, discard, release, utf8, written
+from meltfield.llm._batches import chunks, discard, table_bytes, utf8, written
 
 #: Words in a window; period and difference cover; words in an anchor.
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Hashes that a task combines before it sends them on; known positions in one row; input bytes for which there is a bucket.
-COMBINE, KNOWN, BUCKET_BYTES = 1 << 20, 1 << 15, 8 << 20
+#: Hashes that a task combines before it sends them on; known positions in one row; input bytes for which there are a bucket and a partition.
+COMBINE, KNOWN, BUCKET_BYTES, PARTITION_BYTES = 1 << 20, 1 << 15, 16 << 20, 128 << 20
 
 _NO_ID = (1 << 63) - 1
 _KEY = ("k", "variant")
@@ -65,13 +67,13 @@ def _with_positions(keyed: DataFrame, positions: DataFrame, how: str) -> DataFra
     return keyed.join(own, [F.col(c) == F.col(f"own_{c}") for c in key], how)
 
 
-def _words_of(piece: pa.RecordBatch):
-    """Word hashes of a piece, document row and position in the document of every word, and words in each document."""
+def _words_of(piece: pa.RecordBatch, other: bool = False):
+    """Word hashes of a piece (of the other kind), document row and position in the document of every word, and words in each document."""
     raw, offsets = utf8(piece.column("text"))
     starts, ends, rows = _words.spans(raw, offsets)
     n = np.diff(rows)
     doc = np.repeat(np.arange(len(n)), n)
-    return _words.hashes(raw, starts, ends), doc, np.arange(len(doc)) - rows[doc], n
+    return (_words.other_hashes if other else _words.hashes)(raw, starts, ends), doc, np.arange(len(doc)) - rows[doc], n
 
 
 def anchors_of(h: np.ndarray, position: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,7 @@ def _single(place: list[np.ndarray]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([*map(pa.array, key), at], [*_KEY[: len(key)], "at"])
 
 
-def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFrame:
+def _repeated(docs: DataFrame, find, buckets: int, partitions: int, only_later: bool) -> DataFrame:
     """Key columns and ``at``: positions whose hash occurs elsewhere (before them, if ``only_later``), from the rows of ``docs`` by ``find``."""
     key = _key_of(docs)
 
@@ -229,17 +231,16 @@ def _repeated(docs: DataFrame, find, buckets: int, only_later: bool) -> DataFram
         if rows and (out := _single(settle(rows))) is not None:
             yield out
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(spread, "bucket int, known boolean, data binary").repartition(partitions, "bucket")
     found = dealt.sortWithinPartitions("known", "bucket").mapInArrow(meet, ", ".join([*(f"{c} long" for c in key), "at array<int>"]))
     return found.groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
-def _buckets(docs: DataFrame) -> int:
-    """Buckets for the hashes of ``docs``: one for each ``BUCKET_BYTES`` of input, two a shuffle partition at least."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * partitions, min(size // BUCKET_BYTES, 1 << 17))
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """Buckets and partitions for the hashes of ``docs``, by the size of the input; two buckets a partition at least."""
+    size = table_bytes(docs, "text")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
+    return max(2 * partitions, size // BUCKET_BYTES), partitions
 
 
 def _find_anchors(piece: pa.RecordBatch, key: list[str]):
@@ -266,22 +267,19 @@ def _find_windows(piece: pa.RecordBatch, key: list[str]):
     if not len(at):
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none.astype(np.uint32), *_places(piece, key, none, none)
-    hashes = _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], (_words.windows(_words.mix(h), WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32)
+    other, *_ = _words_of(piece, True)
+    hashes = _words.windows(h, WINDOW, 0x9FB21C651E98DF25)[at], (_words.windows(other, WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32)
     return *hashes, *_places(piece, key, doc[at], position[at])
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Key columns and ``at``: starts of the windows of each document that also start earlier."""
-    spark = docs.sparkSession
     keyed = _keyed(docs, doc_id, text).drop("doc_id")
-    buckets = _buckets(keyed)
-    anchors = written(_repeated(keyed, _find_anchors, buckets, False), "anchors")
-    release(spark)
+    size = _sizes(keyed)
+    anchors = written(_repeated(keyed, _find_anchors, *size, False), "anchors")
     held = _with_positions(keyed, anchors, "inner").select(*_key_of(keyed), "text", "at")
-    windows = written(_repeated(held, _find_windows, buckets, True), "windows")
-    del held
+    windows = written(_repeated(held, _find_windows, *size, True), "windows")
     discard(anchors)
-    release(spark)
     return windows
 
 

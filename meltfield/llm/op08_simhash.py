@@ -4,13 +4,14 @@ A fingerprint has eight positional bytes.  Two fingerprints that differ in at mo
 most two bytes, so they share at least six positional bytes: that is the guaranteed minimum of the
 count filter.  Bytes are posted in four position pairs; at most two pairs are hit by the differing
 bytes, so every link shares two whole pairs and meets under one of the six pair-of-pairs keys (four
-bytes of the fingerprint).  Under a key the shared positional bytes are tallied, pairs with fewer than six are
-dropped, and the rest is verified by the exact number of differing bits.
+bytes of the fingerprint).  Under a key, whatever its size, shared positional bytes are tallied by sorting: for each choice of two of the
+four bytes outside the key, members that agree in the other six stand together.  Only such pairs, the ones that reach the minimum,
+are formed, and they are verified by the exact number of differing bits.
 
 Scale: rows with equal fingerprints are one class from the start (a partial aggregate), so only distinct
-fingerprints are posted.  A key with few members compares them in blocks; a key with many looks up each
-member's possible neighbours in the sorted member list instead of forming all pairs.  Every key emits a
-spanning forest of its links, so the edge table is linear in the postings, and components come from
+fingerprints are posted.  Members that agree in six bytes differ in sixteen bits at most, so a run of them looks up the 136 ways to
+differ in one or two of these bits if it is longer than that.  Links of each batch are reduced to a
+spanning forest, so the edge table is linear in the postings, and components come from
 the checkpointed star iteration.
 
 Defined results: a text without words, a null or an empty one has fingerprint zero and is linked like any
@@ -30,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm._batches import map_text, written
-from meltfield.operators.components import connected_components, ensure_checkpoint_dir
+from meltfield.operators.components import connected_components, ensure_checkpoint_dir, smallest_reachable
 
 #: Words in a shingle, seed of the shingle hash, greatest number of differing bits of a link.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Keys with up to this many members compare all of them; larger ones look up neighbours.
-BLOCK = 512
 #: A fingerprint with more than this part of all rows is joined apart.
 HOT = 1000
 
@@ -93,72 +92,63 @@ def postings(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
 
 
-def _differing(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Number of zero bytes of each xor: positional bytes that both have."""
-    return (x.reshape(-1, 1).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-
-
-def bucket_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the distinct, sorted fingerprints of one key."""
-    n = len(members)
-    if n <= BLOCK:
-        a, b = np.triu_indices(n, 1)
-        x = members[a] ^ members[b]
-        keep = _shared_bytes(x) >= 8 - MAX_BITS  # count filter
-        a, b, x = a[keep], b[keep], x[keep]
-        keep = _differing(x) <= MAX_BITS  # exact check
-        a, b = a[keep], b[keep]
-    else:
-        found = []
-        masks = np.array(sorted({(1 << i) | (1 << j) for i in range(64) for j in range(64)}), np.uint64)
-        for mask in masks:  # each of the 2,080 ways to differ in one or two bits; members stay in a bounded array
-            other = members ^ mask
-            at = np.searchsorted(members, other)
-            at[at == n] = 0
-            hit = np.flatnonzero((members[at] == other) & (members < other))
-            found.append((hit, at[hit]))
-            if len(found) >= 64:
-                found = [_forest(n, *map(np.concatenate, zip(*found)))]
-        a, b = map(np.concatenate, zip(*found))
-    a, b = _forest(n, a, b)
-    return members[a], members[b]
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges to the smallest index of each component of ``n`` nodes."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        live = ra != rb
-        if not live.any():
-            break
-        a, b, ra, rb = a[live], b[live], ra[live], rb[live]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root = root[root]
-    node = np.flatnonzero(root != np.arange(n))
-    return root[node], node
+#: Bytes of a fingerprint, as masks.
+_BYTES = [np.uint64(0xFF << (8 * i)) for i in range(8)]
+
+
+def free_masks(key: int) -> list[np.uint64]:
+    """For a choice of position pairs, the masks of two bytes outside it: links under the key agree in all but one of these."""
+    outside = [2 * p + i for p in range(4) if p not in KEYS[key] for i in (0, 1)]
+    return [_BYTES[a] | _BYTES[b] for x, a in enumerate(outside) for b in outside[x + 1 :]]
+
+
+def key_links(members: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the distinct fingerprints posted under one choice of position pairs, whatever their values there."""
+    found = [(members[:0], members[:0])]
+    for free in free_masks(key):
+        six = members & ~free
+        order = np.lexsort((members, six))
+        m, six = members[order], six[order]
+        # a run agrees in six positional bytes, the minimum of the count filter
+        start = np.flatnonzero(np.concatenate([[True], six[1:] != six[:-1]]))
+        size = np.diff(np.append(start, len(m)))
+        bits = [np.uint64(1 << i) for i in range(64) if int(free) >> i & 1]
+        ways = [x | y for i, x in enumerate(bits) for y in bits[i:]]
+        longest = np.repeat(size, size)
+        short = m[longest <= len(ways)], six[longest <= len(ways)]
+        for d in range(1, int(min(size.max(initial=0), len(ways)))):
+            a, b = short[0][:-d], short[0][d:]
+            near = np.flatnonzero((short[1][:-d] == short[1][d:]) & (np.bitwise_count(a ^ b) <= MAX_BITS))
+            found.append((a[near], b[near]))
+        if len(long := np.sort(m[longest > len(ways)])):
+            for way in ways:
+                other = long ^ way
+                at = np.minimum(np.searchsorted(long, other), len(long) - 1)
+                hit = np.flatnonzero((long[at] == other) & (long < other))
+                found.append((long[hit], other[hit]))
+                if len(found) > 64:
+                    found = [_forest(*map(np.concatenate, zip(*found)))]
+    return _forest(*map(np.concatenate, zip(*found)))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest fingerprint of each component to its others."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = smallest_reachable(len(nodes), place[: len(a)], place[len(a) :])
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints that differ in at most two bits; within each key a spanning forest of them."""
+    """Edges ``(a, b)`` between distinct fingerprints that differ in at most two bits; within each batch of keys a spanning forest of them."""
     spark = fps.sparkSession
     spread = postings(fps).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "v").sortWithinPartitions("k", "v", "fp")
 
     def run(batches):
-        kept: list[np.ndarray] = []
-        last = None
-
         def flush(k, v, f):
-            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(v) != 0)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(f)]])
-            out = [bucket_links(np.sort(f[s:e])) for s, e in zip(starts, ends) if e - s > 1]
-            if out:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
+            out = [key_links(f[k == key], key) for key in np.unique(k)]
+            a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
+            if len(a):
                 return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         hold = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]

@@ -50,9 +50,19 @@ def test_word_spans_and_hashes():
         got = [[raw[starts[k] : ends[k]].tobytes().decode() for k in range(rows[i], rows[i + 1])] for i in range(len(texts))]
         assert got == [WORD.findall(t or "") for t in texts]
         seen = {}
-        for w, v in zip((w for g in got for w in g), h):
+        for w, v in zip((w for g in got for w in g), zip(h.tolist(), _words.other_hashes(raw, starts, ends).tolist())):
             assert seen.setdefault(w, v) == v
-        assert len(set(seen.values())) == len(seen)
+        assert all(len(set(x)) == len(seen) for x in zip(*seen.values()))
+
+
+def test_second_hashes_differ_where_the_first_agree():
+    """Two words of 2,048 letters in the Thue-Morse order have one polynomial hash modulo 2**64, whatever its constants."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = [a, b, a[:200], b[:200], a[:8], b[:8], "a" * 8, "a" * 9, "a\0", "a"]
+    raw, offsets = utf8(pa.array([" ".join(words)]))
+    starts, ends, _ = _words.spans(raw, offsets)
+    assert len(set(_words.hashes(raw, starts, ends)[:2].tolist())) == 1 and len(set(_words.other_hashes(raw, starts, ends).tolist())) == len(words)
 
 
 def test_windows():
@@ -264,6 +274,18 @@ def test_dedup_matches_a_dictionary(spark, seed, monkeypatch):
     assert [got[i] for i in range(len(texts))] == dedup_by_dictionary(texts)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_dedup_of_many_rows_under_one_id(spark, key):
+    """2,000 rows without an id (or with one id): a dictionary in the order of the texts' hashes."""
+    r = random.Random(11)
+    shared = [" ".join(f"s{j}w{i}" for i in range(25)) for j in range(3)]
+    texts = [" ".join(f"v{r.randint(0, 10**6)}" for _ in range(r.randint(0, 30))) + (" " + r.choice(shared) if r.random() < 0.4 else "") for _ in range(2000)]
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+    order = [x["text"] for x in docs.selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()]
+    want = collections.Counter(dedup_by_dictionary(order))
+    assert collections.Counter((x["n_words"], x["n_removed"], x["kept"]) for x in op03_substring.dedup(docs.repartition(6)).collect()) == want
+
+
 def test_dedup_with_repeated_ids(spark):
     p = " ".join(f"w{i}" for i in range(30))
     docs = frame(spark, [p, p, "x " + p, p], [1, 1, 1, 2])
@@ -496,24 +518,31 @@ def test_fingerprints_and_components(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == components_by_pairs(fps)
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_bucket_links_span_all_links(block, monkeypatch):
-    monkeypatch.setattr(op08_simhash, "BLOCK", block)
-    r = random.Random(block)
+@pytest.mark.parametrize("key", range(6))
+def test_key_links_span_all_links_under_a_key(key):
+    r = random.Random(key)
     members = {r.getrandbits(64) for _ in range(20)}
     for m in list(members):
         for _ in range(4):
             members.add(m ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))))
+    members |= {(m := r.getrandbits(64)) ^ (x << 16) for x in r.sample(range(65536), 1500)}  # long runs: bytes 2 and 3 are free
     fps = sorted(members)
-    a, b = op08_simhash.bucket_links(np.array(fps, np.uint64))
-    root = {f: f for f in fps}
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-    for x, y in zip(a.tolist(), b.tolist()):
-        root[max(find(x), find(y))] = min(find(x), find(y))
-    assert [find(f) for f in fps] == [fps[i] for i in components_by_pairs(fps)]
+    mask = sum(0xFFFF << (16 * p) for p in op08_simhash.KEYS[key])
+    a, b = op08_simhash.key_links(np.array(fps, np.uint64), key)
+    x = np.array(fps, np.uint64)
+    near = [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero((np.bitwise_count(x ^ x[i]) <= 2) & ((x ^ x[i]) & np.uint64(mask) == 0)) if i < j]
+    place = {f: i for i, f in enumerate(fps)}
+    def roots(edges):
+        root = list(range(len(fps)))
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i, j in edges:
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+        return [find(i) for i in range(len(fps))]
+    assert near and roots(near) == roots([(place[i], place[j]) for i, j in zip(a.tolist(), b.tolist())])
 
 
 def test_links_over_all_keys(spark):
