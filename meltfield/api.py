@@ -1,6 +1,6 @@
 """The library in one place."""
 
-from meltfield.operators.mask import dense, porosity
+from meltfield.operators.mask import dense, dense_field, porosity
 from meltfield.operators.morphology import boundary_cells, compute_morphology, labels, porous_from_field, region_table
 from meltfield.operators.spectral import compute_spectral_components, create_melt_pool
 from meltfield.plans.pipeline import RunConfig, compute_porosity, run
@@ -14,22 +14,24 @@ from meltfield.sources.series import read_data
 from meltfield.sources.synthetic import MeltPoolFilter
 
 
-def visualize(vtk_path: str, scaling: float = 1.0) -> None:
-    """An interactive view of a raster, if the optional viewer is installed."""
+def visualize(path: str, opacity: float = 1.0) -> None:
+    """Shows a raster's pore voxels that have a free face, as cubes, if the optional viewer is installed."""
     try:
         import pyvista
     except ImportError:
         raise RuntimeError("visualize needs pyvista; boundary_cells() gives the surface cells as a table") from None
-    mesh = pyvista.read(vtk_path)
-    view = pyvista.Plotter()
-    view.add_mesh(mesh.contour(isosurfaces=5).scale(scaling), color="red", opacity=0.8)
-    view.add_mesh(mesh.outline().scale(scaling), color="black")
-    view.show_grid()
-    view.show()
+    import numpy as np
+
+    grid, field = read_vtk(path)
+    solid = np.pad(field != 0, 1)
+    core = np.logical_and.reduce([np.roll(solid, step, axis) for axis in range(3) for step in (-1, 1)])
+    cells = np.argwhere((solid & ~core)[1:-1, 1:-1, 1:-1]) * grid.resolution + np.array(grid.origin)
+    cube = pyvista.Cube(x_length=grid.resolution, y_length=grid.resolution, z_length=grid.resolution)
+    pyvista.PolyData(cells).glyph(geom=cube, scale=False, orient=False).plot(opacity=opacity, show_grid=True)
 
 
 __all__ = [
     "GridSpec", "MeltPoolFilter", "MeltPoolSpec", "RunConfig", "ScanPathBuilder", "ScanStrategy", "boundary_cells", "compute_morphology", "compute_porosity",
-    "compute_spectral_components", "create_grid", "create_melt_pool", "create_path_vectors", "dense", "labels", "porosity", "porous_from_field", "read_data",
+    "compute_spectral_components", "create_grid", "create_melt_pool", "create_path_vectors", "dense", "dense_field", "labels", "porosity", "porous_from_field", "read_data",
     "read_scan_path", "read_vtk", "region_table", "run", "visualize", "voxels", "write_layers", "write_morphology", "write_vtk",
 ]

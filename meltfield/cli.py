@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     grid = out["grid"]
     print(f"Melted {grid.n_voxels - out['n_porous']} of {grid.n_voxels} voxels")
+    print("Seconds:", ", ".join(f"{name} {s:.2f}" for name, s in out["seconds"].items()))
     if "n_pores" in out:
         print(f"Morphology of {out['n_pores']} pores written to {config.morphology_path}")
     return 0

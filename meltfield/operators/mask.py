@@ -23,8 +23,6 @@ from meltfield.schema import GridSpec, MeltPoolSpec
 from meltfield.sources.grid import voxels as grid_voxels
 
 TILE = 32
-#: Written-out modal sums beyond this many modes are slower than the kernel.
-SQL_MODES = 8
 #: Rows of exploded vectors up to which the build side is broadcast (about 300 bytes each).
 BROADCAST_ROWS = 200_000
 SALTS = 4
@@ -244,6 +242,14 @@ def porosity(spark: SparkSession, vectors: DataFrame, grid: GridSpec, pool: Melt
     return with_coordinates(mask(spark, vectors, grid, pool, melted=False).select("voxel_id"), grid)
 
 
+def dense_field(spark: SparkSession, vectors: DataFrame, grid: GridSpec, pool: MeltPoolSpec) -> DataFrame:
+    """``(voxel_id, ix, iy, iz, porosity TINYINT)`` of every voxel, written by the tile kernel: no voxel is shuffled."""
+    from meltfield.sources.grid import with_coordinates
+
+    every = with_coordinates(mask(spark, vectors, grid, pool), grid)
+    return every.select("voxel_id", "ix", "iy", "iz", F.when(F.col("melted"), 0).otherwise(1).cast("byte").alias("porosity"))
+
+
 def dense(spark: SparkSession, porous: DataFrame, grid: GridSpec) -> DataFrame:
     """``(voxel_id, ix, iy, iz, porosity TINYINT)`` of every voxel: 1 porous, 0 melted."""
     hit = porous.select(F.col("voxel_id").alias("porous_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meltfield.functions.hull import convex_image, longest
-from meltfield.operators.components import connected_components, ensure_checkpoint_dir
+from meltfield.operators.components import connected_components, ensure_checkpoint_dir, smallest_reachable
 from meltfield.schema import GridSpec
 
 BLOCK = 32
@@ -49,16 +49,7 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
         a.append(hit)
         b.append(other[hit])
     a, b = np.concatenate(a), np.concatenate(b)
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        live = ra != rb
-        if not live.any():
-            break
-        a, b, ra, rb = a[live], b[live], ra[live], rb[live]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root = root[root]
+    root = smallest_reachable(n, a, b)
     out = pdf.iloc[order].copy()
     out["part"] = ids[root]
     return out[["voxel_id", "ix", "iy", "iz", "part"]]
@@ -143,10 +134,8 @@ def region_table(labelled: DataFrame, resolution: float, fields: list[str]) -> D
     c = F.col
     area = c("n") * (s**3)
     box = F.lit(s**3) * (c("max_ix") - c("min_ix")) * (c("max_iy") - c("min_iy")) * (c("max_iz") - c("min_iz"))
-    if "euler_number" in need:
-        g = g.join(euler(labelled).withColumnRenamed("label", "euler_label"), F.col("label") == F.col("euler_label")).drop("euler_label")
-    if "surface_area" in need:
-        g = g.join(surface(labelled).withColumnRenamed("label", "face_label"), F.col("label") == F.col("face_label")).drop("face_label")
+    if need & {"euler_number", "surface_area"}:
+        g = g.join(lattice_counts(labelled).withColumnRenamed("label", "lattice_label"), F.col("label") == F.col("lattice_label")).drop("lattice_label")
     if need & {"area_filled", "image_filled"}:
         g = g.join(filled(labelled).withColumnRenamed("label", "filled_label"), F.col("label") == F.col("filled_label")).drop("filled_label")
     if need & {"area_convex", "solidity", "feret_diameter_max", "image_convex"}:
@@ -221,19 +210,47 @@ def _with_moments(g: DataFrame, s: float) -> DataFrame:
     return g.mapInPandas(run, schema)
 
 
-def euler(labelled: DataFrame) -> DataFrame:
-    """``(label, euler_number)``: alternating count of the corners, edges, faces and cells of the union of voxel cubes."""
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in range(3) for b in range(3) for c in range(3)])
-    each = labelled.select("label", "ix", "iy", "iz", F.explode(cells).alias("o")).select("label", (2 * F.col("ix") + F.col("o.a")).alias("u"), (2 * F.col("iy") + F.col("o.b")).alias("v"), (2 * F.col("iz") + F.col("o.c")).alias("w")).distinct()
-    odd = F.pmod("u", F.lit(2)) + F.pmod("v", F.lit(2)) + F.pmod("w", F.lit(2))
-    return each.groupBy("label").agg(F.sum(F.when(odd % 2 == 0, 1).otherwise(-1)).cast("long").alias("euler_number"))
+def _lattice_elements():
+    """The 27 corners, edges, faces and inside of a voxel: the earlier neighbours that share each one, and its sign."""
+    out = []
+    for element in np.ndindex(3, 3, 3):
+        sharing = [o for o in np.ndindex(3, 3, 3) if all(d == 1 or e == d for e, d in zip(element, o))]
+        earlier = [tuple(d - 1 for d in o) for o in sharing if tuple(o) < (1, 1, 1)]
+        out.append((earlier, -1 if sum(e == 1 for e in element) % 2 else 1))
+    return out
 
 
-def surface(labelled: DataFrame) -> DataFrame:
-    """``(label, faces)``: voxel faces that no voxel of the same pore shares (one row a face, counted once)."""
-    faces = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", o)]) for o in ((0, 1, 1), (2, 1, 1), (1, 0, 1), (1, 2, 1), (1, 1, 0), (1, 1, 2))])
-    each = labelled.select("label", "ix", "iy", "iz", F.explode(faces).alias("o")).select("label", (2 * F.col("ix") + F.col("o.a")).alias("u"), (2 * F.col("iy") + F.col("o.b")).alias("v"), (2 * F.col("iz") + F.col("o.c")).alias("w"))
-    return each.groupBy("label", "u", "v", "w").count().groupBy("label").agg(F.sum(F.when(F.col("count") == 1, 1).otherwise(0)).cast("long").alias("faces"))
+def lattice_counts(labelled: DataFrame) -> DataFrame:
+    """``(label, euler_number, faces)``: the alternating count of the lattice elements of the union of voxel cubes, and its outer faces.
+
+    An element belongs to the first voxel that has it, so a voxel's part needs its neighbours only.  Voxels go to their cube of
+    ``BLOCK`` and, at its faces, to the cubes that touch them; every cube sends one row a label.  Voxels that touch have one label.
+    """
+    elements = _lattice_elements()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["ix", "iy", "iz"]].to_numpy() - pdf[["bx", "by", "bz"]].to_numpy() * BLOCK + 1
+        solid = np.zeros((BLOCK + 2,) * 3, bool)
+        solid[at[:, 0], at[:, 1], at[:, 2]] = True
+        own = np.flatnonzero(((at >= 1) & (at <= BLOCK)).all(1))
+        x, y, z = at[own].T
+
+        def has(o):
+            return solid[x + o[0], y + o[1], z + o[2]]
+
+        chi = np.zeros(len(own), np.int64)
+        for earlier, sign in elements:
+            taken = np.logical_or.reduce([has(o) for o in earlier]) if earlier else False
+            chi += sign * ~np.broadcast_to(taken, len(own))
+        faces = sum((~has(o)).astype(np.int64) for o in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+        return pd.DataFrame({"label": pdf["label"].to_numpy()[own], "euler": chi, "faces": faces}).groupby("label", as_index=False).sum()
+
+    reach = [F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"i{a}") + d) / BLOCK).cast("int") for d in (-1, 0, 1)]))).alias(f"b{a}") for a in "xyz"]
+    sent = labelled.select("label", "ix", "iy", "iz")
+    for column in reach:
+        sent = sent.select("*", column)
+    parts = sent.groupBy("bx", "by", "bz").applyInPandas(run, "label long, euler long, faces long")
+    return parts.groupBy("label").agg(F.sum("euler").alias("euler_number"), F.sum("faces").alias("faces"))
 
 
 def _fill(mask: np.ndarray) -> np.ndarray:

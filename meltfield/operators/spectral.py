@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from meltfield.schema import DIMS, MeltPoolSpec
 
-#: A series up to this length with few modes is summed in SQL; a longer one is transformed by FFT, one group at a time.
-SQL_SAMPLES = 4096
-
-
 def summary(series: DataFrame) -> DataFrame:
     """``(series_id, n_samples, mean, dt)``; the step is that of the first two samples."""
     return series.groupBy("series_id").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import time
 from dataclasses import dataclass, field
 
 import yaml
@@ -85,19 +86,32 @@ class RunConfig:
 
 
 def run(spark: SparkSession, config: RunConfig, seed: int = 0) -> dict:
-    """Executes a configuration; returns the grid, the counts, and the tables."""
+    """Executes a configuration; returns the grid, the counts, the tables, and the seconds of each phase."""
+    seconds: dict[str, float] = {}
+
+    def phase(name: str, since: float) -> float:
+        now = time.perf_counter()
+        seconds[name] = now - since
+        log.info("%s: %.2f s", name, seconds[name])
+        return now
+
+    at = time.perf_counter()
     vectors = read_scan_path(spark, config.scan_paths)
     inputs = {d: (read_data(spark, p.path), p.n_modes, p.scale, p.shape) for d, p in config.pool.items()}
     pool = spectral.create_melt_pool(inputs, config.random_phases, seed)
     grid = create_grid(config.voxel_resolution, path_vectors=vectors, bound_box=config.bound_box)
     log.info("grid %s, %d voxels, %d modes", grid.shape, grid.n_voxels, pool.n_modes)
+    at = phase("inputs", at)
     porous = compute_porosity(spark, grid, vectors, pool).cache()
-    out = {"grid": grid, "pool": pool, "porous": porous, "n_porous": porous.count()}
+    out = {"grid": grid, "pool": pool, "porous": porous, "n_porous": porous.count(), "seconds": seconds}
+    at = phase("melt mask", at)
     log.info("melted %d of %d voxels", grid.n_voxels - out["n_porous"], grid.n_voxels)
     if config.vtk_path:
         write_vtk(porous, grid, config.vtk_path)
+        at = phase("raster", at)
     if config.morphology_fields:
         out["morphology"] = morphology.compute_morphology(porous, config.voxel_resolution, config.morphology_fields)
         if config.morphology_path:
             out["n_pores"] = write_morphology(out["morphology"], config.morphology_path)
+            phase("morphology", at)
     return out

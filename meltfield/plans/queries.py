@@ -7,6 +7,7 @@ that goes through the operators on one side and through independent SQL on the o
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from meltfield.functions import geometry as G
 from meltfield.operators import mask, morphology, spectral
+from meltfield.operators.components import ensure_checkpoint_dir
 from meltfield.schema import GridSpec, MeltPoolSpec
-from meltfield.sinks.vti import vti_order
+from meltfield.sinks.vti import slabs, vti_order
 from meltfield.sources import grid as grids
 from meltfield.sources import scan, synthetic
 from meltfield.sources.hatch import ScanStrategy
+from meltfield.sources.series import as_series, read_data
 
 # ---- inputs ----------------------------------------------------------------------------------------------------------
 
@@ -121,7 +124,7 @@ PAIRS = f"""pair0 as (select * from vox join vec on {AABB} where {OBB}),
 pair1 as (select *, case when len2 > 1e-24 then greatest(0.0::double, least(1.0::double, ((x - sx) * dx + (y - sy) * dy + (z - sz) * dz) / len2)) else 0.0::double end as tf from pair0),
 pair as (select *, t0 + tf * (t1 - t0) as t, (x - (sx + tf * dx)) * e0x + (y - (sy + tf * dy)) * e0y as local_y, z - (sz + tf * dz) as local_z from pair1)"""
 MELTED = f"""dims as (select *, {modal_sql('width')} as w, case when local_z >= 0 then {modal_sql('height')} else {modal_sql('depth')} end as b, case when local_z >= 0 then {d(POOL.height_shape)} else {d(POOL.depth_shape)} end as n from pair),
-melted as (select distinct voxel_id from dims where (local_y / (w / 2)) * (local_y / (w / 2)) + pow(abs(local_z) / b, n) <= 1)"""
+melted as materialized (select distinct voxel_id from dims where (local_y / (w / 2)) * (local_y / (w / 2)) + pow(abs(local_z) / b, n) <= 1)"""
 MASK = f"with {FRAME}, {voxel_cte(GRID)}, {PAIRS}, {MELTED}"
 
 PORE_CTE = f"""with recursive por as materialized (select (ix::bigint * {PORE_NY} + iy) * {PORE_NZ} + iz as id, ix, iy, iz from ({PORES_SQL})),
@@ -322,22 +325,22 @@ def melt_mask_tiles(spark, sf_dir):
     return mask.mask(spark, prepared(spark, sf_dir), GRID, POOL, melted=True).select("voxel_id")
 
 
-@query(f"{MASK} select voxel_id, ix, iy, iz from vox where voxel_id not in (select voxel_id from melted)")
+@query(f"{MASK} select voxel_id, ix, iy, iz from vox anti join melted using (voxel_id)")
 def porosity_anti(spark, sf_dir):
     return mask.porous_sql(grids.voxels(spark, GRID), prepared(spark, sf_dir), GRID, POOL).select("voxel_id", "ix", "iy", "iz")
 
 
-@query(f"{MASK} select voxel_id, ix, iy, iz from vox where voxel_id not in (select voxel_id from melted)")
+@query(f"{MASK} select voxel_id, ix, iy, iz from vox anti join melted using (voxel_id)")
 def porosity_tiles(spark, sf_dir):
     return mask.porosity(spark, prepared(spark, sf_dir), GRID, POOL, "tiles").select("voxel_id", "ix", "iy", "iz")
 
 
-@query(f"{MASK} select voxel_id, ix, iy, iz, (case when voxel_id in (select voxel_id from melted) then 0 else 1 end)::tinyint as porosity from vox")
+@query(f"{MASK} select voxel_id, ix, iy, iz, (case when m.voxel_id is null then 1 else 0 end)::tinyint as porosity from vox left join (select voxel_id from melted) m using (voxel_id)")
 def porosity_dense(spark, sf_dir):
-    return mask.dense(spark, mask.porosity(spark, prepared(spark, sf_dir), GRID, POOL, "tiles"), GRID)
+    return mask.dense_field(spark, prepared(spark, sf_dir), GRID, POOL)
 
 
-@query(f"{MASK} select iz, count(*) as n_voxels, count(*) filter (where voxel_id not in (select voxel_id from melted)) as n_porous from vox group by iz")
+@query(f"{MASK} select iz, count(*) as n_voxels, count(*) filter (where m.voxel_id is null) as n_porous from vox left join (select voxel_id from melted) m using (voxel_id) group by iz")
 def porosity_by_layer(spark, sf_dir):
     m = grids.with_coordinates(mask.mask(spark, prepared(spark, sf_dir), GRID, POOL), GRID)
     return m.groupBy("iz").agg(F.count("*").alias("n_voxels"), F.count(F.when(~F.col("melted"), 1)).alias("n_porous"))
@@ -349,12 +352,12 @@ def porosity_summary(spark, sf_dir):
     return m.agg(F.count("*").alias("n_voxels"), F.count(F.when(F.col("melted"), 1)).alias("n_melted"), (F.round(F.avg((~F.col("melted")).cast("double")), 6) + F.lit(0.0)).alias("porosity"))
 
 
-@query(f"{MASK} select voxel_id, ix + {GRID.shape[0]}::bigint * (iy + {GRID.shape[1]}::bigint * iz) as vti_index from vox where voxel_id not in (select voxel_id from melted)")
+@query(f"{MASK} select voxel_id, ix + {GRID.shape[0]}::bigint * (iy + {GRID.shape[1]}::bigint * iz) as vti_index from vox anti join melted using (voxel_id)")
 def vti_index(spark, sf_dir):
     return vti_order(mask.porosity(spark, prepared(spark, sf_dir), GRID, POOL, "tiles"), GRID).select("voxel_id", "vti_index")
 
 
-@query(f"""{MASK}, por as (select ix, iy, iz, voxel_id from vox where voxel_id not in (select voxel_id from melted)), gone as (select ix, iy, iz from vox where voxel_id in (select voxel_id from melted))
+@query(f"""{MASK}, por as (select ix, iy, iz, voxel_id from vox anti join melted using (voxel_id)), gone as (select ix, iy, iz from vox semi join melted using (voxel_id))
 select distinct por.voxel_id, por.ix, por.iy, por.iz from por join gone on abs(por.ix - gone.ix) + abs(por.iy - gone.iy) + abs(por.iz - gone.iz) = 1 and gone.ix between por.ix - 1 and por.ix + 1""")
 def pore_surface_cells(spark, sf_dir):
     return morphology.boundary_cells(mask.porosity(spark, prepared(spark, sf_dir), GRID, POOL, "tiles"), GRID)
@@ -440,16 +443,38 @@ def pore_inertia(spark, sf_dir):
     return t.select("label", *[(F.round(F.col(f"`inertia_tensor-{i}-{j}`") * F.col("num_pixels") * F.col("num_pixels"), 3) + F.lit(0.0)).alias(f"i{i}{j}") for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))])
 
 
-@query()
+#: Values are scaled by this before they are rounded: it moves exact binary fractions off the middle between two roundings.
+ODD = 1.2345678
+
+
+def odd(column, digits: int):
+    return F.round(column * ODD, digits) + F.lit(0.0)
+
+
+EIGEN = f"""t as (select label, {PORE_S**2} * (var_pop(iy) + var_pop(iz)) as a, {PORE_S**2} * (var_pop(ix) + var_pop(iz)) as b, {PORE_S**2} * (var_pop(ix) + var_pop(iy)) as c,
+-{PORE_S**2} * covar_pop(ix, iy) as d, -{PORE_S**2} * covar_pop(ix, iz) as e, -{PORE_S**2} * covar_pop(iy, iz) as f from big group by label),
+q as (select *, (a + b + c) / 3 as m, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) as p from t),
+h as (select *, case when p < 1e-12 then 0 else ((a - m) * ((b - m) * (c - m) - f * f) - d * (d * (c - m) - f * e) + e * (d * f - (b - m) * e)) / (2 * p * p * p) end as r from q),
+g as (select *, acos(greatest(-1.0::double, least(1.0::double, r))) / 3 as phi from h),
+eig as (select label, greatest(0, m + 2 * p * cos(phi)) as l0, greatest(0, 3 * m - (m + 2 * p * cos(phi)) - (m + 2 * p * cos(phi + {2 * math.pi / 3!r}))) as l1, greatest(0, m + 2 * p * cos(phi + {2 * math.pi / 3!r})) as l2 from g)"""
+
+
+@query(f"""{PORE_CTE}, {EIGEN} select label, round(l0 * {ODD}, 3) + 0 as eigval_0, round(l1 * {ODD}, 3) + 0 as eigval_1, round(l2 * {ODD}, 3) + 0 as eigval_2,
+round(sqrt(greatest(0, 10 * (l0 + l1 - l2))) * {ODD}, 2) + 0 as axis_major_length, round(sqrt(greatest(0, 10 * (l1 + l2 - l0))) * {ODD}, 2) + 0 as axis_minor_length from eig""")
 def pore_axes(spark, sf_dir):
-    """Eigenvalues and axis lengths (SQL has no eigenvalues)."""
+    """Eigenvalues and axis lengths; the SQL solves the characteristic equation by angles."""
     t = _region(spark, sf_dir, "inertia_tensor_eigvals", "axis_major_length", "axis_minor_length")
-    return t.select(*[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in t.columns])
+    return t.select("label", *[odd(F.col(f"`inertia_tensor_eigvals-{i}`"), 3).alias(f"eigval_{i}") for i in range(3)], *[odd(F.col(f"axis_{x}_length"), 2).alias(f"axis_{x}_length") for x in ("major", "minor")])
 
 
-@query()
+@query(f"""{PORE_CTE}, box as materialized (select label, count(*) as n, min(ix) - 1 as x0, max(ix) + 1 as x1, min(iy) - 1 as y0, max(iy) + 1 as y1, min(iz) - 1 as z0, max(iz) + 1 as z1 from big group by label),
+cell as materialized (select label, x, y, z from (select label, y0, y1, z0, z1, unnest(range(x0, x1 + 1)) as x from box where n >= 7), lateral (select unnest(range(y0, y1 + 1)) as y), lateral (select unnest(range(z0, z1 + 1)) as z)),
+free as materialized (select label, x, y, z from cell anti join (select label, ix as x, iy as y, iz as z from big) using (label, x, y, z)),
+outside as (select label, x0 as x, y0 as y, z0 as z from box where n >= 7 union select f.label, f.x, f.y, f.z from outside o join off on true join free f on f.label = o.label and f.x = o.x + off.a and f.y = o.y + off.b and f.z = o.z + off.c),
+hole as (select label, count(*) as n from free anti join outside using (label, x, y, z) group by label)
+select box.label, box.n * {PORE_S**3} as area, (box.n + coalesce(hole.n, 0)) * {PORE_S**3} as area_filled from box left join hole using (label)""")
 def pore_filled(spark, sf_dir):
-    """Volume with holes filled, a flood from outside for each pore."""
+    """Volume with holes filled; the SQL floods each bounding box from a corner."""
     return _region(spark, sf_dir, "area", "area_filled")
 
 
@@ -459,10 +484,68 @@ def pore_convex(spark, sf_dir):
     return _region(spark, sf_dir, "area", "area_convex", "solidity", "feret_diameter_max")
 
 
-@query()
+MOMENTS = [(i, j, k) for i in range(4) for j in range(4) for k in range(4)]
+
+
+def _moment_sql() -> str:
+    """Raw moments from the bounding box's corner, central ones from the centroid, and these over the voxel count's power, each by its definition."""
+    def power(names, n):
+        return " * ".join(f"pow({x}, {e})" for x, e in zip(names, n) if e) or "1.0::double"
+    raw = ", ".join(f"round(sum({power(('x', 'y', 'z'), n)}) * {ODD}, 4) + 0 as raw_{n[0]}{n[1]}{n[2]}" for n in MOMENTS)
+    central = ", ".join(f"round(sum({power(('x - cx', 'y - cy', 'z - cz'), n)}) * {ODD}, 4) + 0 as central_{n[0]}{n[1]}{n[2]}" for n in MOMENTS)
+    normal = ", ".join(f"round(sum({power(('x - cx', 'y - cy', 'z - cz'), n)}) / {PORE_S ** sum(n)!r} / pow(count(*), {sum(n) / 3 + 1!r}) * {ODD}, 4) + 0 as normal_{n[0]}{n[1]}{n[2]}" for n in MOMENTS if sum(n) >= 2)
+    return f"""low as (select label, min(ix) as x0, min(iy) as y0, min(iz) as z0 from big group by label),
+pts as (select label, (ix - x0) * {d(PORE_S)} as x, (iy - y0) * {d(PORE_S)} as y, (iz - z0) * {d(PORE_S)} as z from big join low using (label)),
+mid as (select label, avg(x) as cx, avg(y) as cy, avg(z) as cz from pts group by label)
+select label, {raw}, {central}, {normal} from pts join mid using (label) group by label"""
+
+
+@query(f"{PORE_CTE}, {_moment_sql()}")
 def pore_moments(spark, sf_dir):
     t = _region(spark, sf_dir, "moments", "moments_central", "moments_normalized")
-    return t.select(*[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in t.columns])
+    kinds = (("moments", "raw"), ("moments_central", "central"), ("moments_normalized", "normal"))
+    return t.select("label", *[odd(F.col(f"`{field}-{i}-{j}-{k}`"), 4).alias(f"{name}_{i}{j}{k}") for field, name in kinds for i, j, k in MOMENTS if name != "normal" or i + j + k >= 2])
+
+
+@query(f"{PORE_CTE} select label, string_agg(ix || ':' || iy || ':' || iz, ',' order by ix, iy, iz) as coords, min(ix) || '-' || (max(ix) + 1) || ',' || min(iy) || '-' || (max(iy) + 1) || ',' || min(iz) || '-' || (max(iz) + 1) as slice from big group by label")
+def pore_coords(spark, sf_dir):
+    t = _region(spark, sf_dir, "coords", "slice")
+    place = F.array_join(F.transform("coords", lambda v: F.concat_ws(":", *[v[c].cast("string") for c in ("ix", "iy", "iz")])), ",")
+    return t.select("label", place.alias("coords"), F.array_join(F.transform("slice", lambda v: F.concat_ws("-", v["start"].cast("string"), v["stop"].cast("string"))), ",").alias("slice"))
+
+
+@query(f"{MASK} select iz, string_agg(case when m.voxel_id is null then '1' else '0' end, '' order by iy, ix) as points from vox left join (select voxel_id from melted) m using (voxel_id) group by iz having count(*) > count(m.voxel_id)")
+def vti_planes(spark, sf_dir):
+    """The planes of the raster file as the executors make them, x fastest."""
+    planes = slabs(mask.porosity(spark, prepared(spark, sf_dir), GRID, POOL, "tiles"), GRID)
+    byte = F.expr("transform(sequence(1, length(bits)), i -> lpad(conv(hex(substring(bits, i, 1)), 16, 2), 8, '0'))")
+    return planes.select("iz", F.substring(F.array_join(byte, ""), 1, GRID.shape[0] * GRID.shape[1]).alias("points"))
+
+
+@query(f"select n, t as c0, value as c1 from ({SERIES_SQL}) where series_id = (select min(event_type) from events)")
+def read_data_rows(spark, sf_dir):
+    """A series written as comma-separated text with a comment, and read back."""
+    own = series(spark, sf_dir)
+    one = own.join(F.broadcast(own.agg(F.min("series_id").alias("first"))), F.col("series_id") == F.col("first"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/series-{uuid.uuid4().hex}"
+    text = F.concat(F.when(F.col("n") == 0, F.lit("# time, value\n")).otherwise(F.lit("")), F.concat_ws(" , ", F.col("t").cast("string"), F.col("value").cast("string")))
+    one.coalesce(1).sortWithinPartitions("n").select(text.alias("value")).write.text(path)
+    return as_series(read_data(spark, path), "first").select("n", F.col("t").alias("c0"), F.col("value").alias("c1"))
+
+
+@query(f"""with e as (select row_number() over (order by n_nationkey) - 1 as i, 100.0::double + 10 * n_nationkey as length, 1.0::double + n_regionkey as weight from nation)
+select cast(range as bigint) as n, round(range * (1 / 25000.0::double), 9) + 0 as t, round((select weight / sqrt(sum(weight * weight) over ()) from e order by i limit 1) * 18, 6) + 0 as share, 18.0::double as deviation, 148.0::double as mean from range({int(0.08 / (1 / 25000.0))})""")
+def synthetic_series(spark, sf_dir):
+    """The series of one effect: its axis, its share of sigma among the nations' effects, and the deviation that it has by itself."""
+    effects = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"), (100.0 + 10 * F.col("n_nationkey")).alias("length_scale_m"), F.lit(None).cast("double").alias("frequency_hz"), (1.0 + F.col("n_regionkey")).alias("sigma_weight"), "n_nationkey")
+    shares = synthetic.normalised(effects, 18.0, 1700.0).join(effects.select("name", "n_nationkey").withColumnRenamed("name", "own"), F.col("name") == F.col("own")).orderBy("n_nationkey").limit(1).select(F.round("sigma_contribution", 6).alias("share"))
+    source = synthetic.MeltPoolFilter(148.0, 18.0, 1700.0, (25000.0, 0.08), seed=3)
+    source.add_effect("one", (1.7, None, 1.0))
+    source.initialize(spark)
+    made = source.generate_fluctuations(spark=spark)
+    # a band-passed series has a mean near nought, which the target's mean is added to; the deviation is exact
+    total = made.agg((F.round(F.stddev_pop("c1"), 6) + F.lit(0.0)).alias("deviation"), F.when(F.abs(F.avg("c1") - 148) < 1.8, F.lit(148.0)).otherwise(F.avg("c1")).alias("mean"))
+    return made.select("n", (F.round("c0", 9) + F.lit(0.0)).alias("t")).crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(total))  # one row each
 
 
 @query(f"""with e as ({EFFECTS_SQL}) select name, round(case when length_scale_m is not null then 1700 / length_scale_m else frequency_hz end, 6) + 0 as frequency_hz, round(sigma_weight / (select sqrt(sum(sigma_weight * sigma_weight)) from e) * 18, 6) + 0 as sigma_contribution from e""")
@@ -470,9 +553,21 @@ def effect_normalisation(spark, sf_dir):
     return synthetic.normalised(_sql(spark, sf_dir, "nation", EFFECTS_SQL), 18.0, 1700.0).select("name", r("frequency_hz"), r("sigma_contribution"))
 
 
-@query()
+def _filter_sql(f0: float, fs: float) -> str:
+    """The cascade of sections as a recursion over the samples; each section has two numbers of state."""
+    sections = synthetic.butterworth_band(4, *synthetic.band(f0, fs)).tolist()
+    start, later, v, w = [], [], "s.value", "s.value"
+    for i, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+        start += [f"{d(b0)} * {v} as o{i}", f"{d(b1)} * {v} - {d(a1)} * o{i} as p{i}", f"{d(b2)} * {v} - {d(a2)} * o{i} as q{i}"]
+        later += [f"{d(b0)} * {w} + f.p{i} as o{i}", f"{d(b1)} * {w} - {d(a1)} * ({d(b0)} * {w} + f.p{i}) + f.q{i}", f"{d(b2)} * {w} - {d(a2)} * ({d(b0)} * {w} + f.p{i})"]
+        v, w = f"o{i}", f"({d(b0)} * {w} + f.p{i})"
+    return f"""with recursive ser as materialized ({SERIES_SQL}),
+f as (select s.series_id, s.n, {', '.join(start)} from ser s where n = 0 union all
+select s.series_id, s.n, {', '.join(later)} from f join ser s on s.series_id = f.series_id and s.n = f.n + 1)
+select series_id, n, round(o{len(sections) - 1}, 6) + 0 as value from f"""
+
+
+@query(_filter_sql(50.0, 1000.0))
 def bandpass_series(spark, sf_dir):
     """A recursive filter: each value depends on the ones before it."""
     return synthetic.bandpass(series(spark, sf_dir), 50.0, 1000.0).select("series_id", "n", r("value"))
-
-

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import re
 import struct
 import xml.etree.ElementTree as ET
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +49,10 @@ def write_vtk(porous: DataFrame, grid: GridSpec, path: str) -> int:
     planes = slabs(porous, grid).orderBy("iz").toLocalIterator()
     ahead = next(planes, None)
     with open(path, "w") as f:
-        f.write('<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian" header_type="UInt32">\n')
+        f.write('<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n')
         f.write(f'  <ImageData WholeExtent="{extent}" Origin="{" ".join(map(repr, grid.origin))}" Spacing="{" ".join([repr(grid.resolution)] * 3)}">\n')
         f.write(f'    <Piece Extent="{extent}">\n      <PointData Scalars="{NAME}">\n        <DataArray type="UInt8" Name="{NAME}" format="binary" RangeMin="0" RangeMax="1">\n          ')
-        held = struct.pack("<I", grid.n_voxels & 0xFFFFFFFF)
-        f.write(base64.b64encode(held).decode())  # the header is a base64 unit of its own
-        held = b""
+        held = struct.pack("<Q", grid.n_voxels)  # number of bytes and bytes are one base64 unit
         for z in range(nz):
             plane = np.zeros(nx * ny, np.uint8)
             if ahead is not None and ahead["iz"] == z:
@@ -71,17 +69,43 @@ def write_vtk(porous: DataFrame, grid: GridSpec, path: str) -> int:
 
 
 def read_vtk(path: str) -> tuple[GridSpec, np.ndarray]:
-    """Grid and dense field ``[ix, iy, iz]`` of a file as ``write_vtk`` makes it."""
+    """Grid and dense field ``[ix, iy, iz]`` of an image-data file with inline point data of bytes: ASCII, or base64 with or without deflated blocks."""
     root = ET.parse(path).getroot()
     image = root.find("ImageData")
     e = list(map(int, image.get("WholeExtent").split()))
     shape = tuple(e[2 * a + 1] - e[2 * a] + 1 for a in range(3))
     origin = tuple(map(float, image.get("Origin").split()))
     resolution = float(image.get("Spacing").split()[0])
-    text = re.sub(r"\s+", "", image.find("Piece/PointData/DataArray").text)
-    payload = base64.b64decode(text[8:])  # behind the eight characters of the header
-    field = np.frombuffer(payload, np.uint8).reshape(shape[2], shape[1], shape[0]).transpose(2, 1, 0)
-    return GridSpec(resolution, origin, shape), field
+    data = image.find("Piece/PointData/DataArray")
+    if data.get("format") == "ascii":
+        values = np.array(data.text.split(), np.uint8)
+    elif data.get("format") == "binary":
+        order = "<" if root.get("byte_order", "LittleEndian") == "LittleEndian" else ">"
+        values = np.frombuffer(_inline("".join(data.text.split()), order + ("Q" if root.get("header_type") == "UInt64" else "I"), root.get("compressor")), np.uint8)
+    else:
+        raise ValueError(f"data of format {data.get('format')} is not supported")
+    if data.get("type") not in ("UInt8", "Int8") or len(values) != shape[0] * shape[1] * shape[2]:
+        raise ValueError("the file does not hold one byte a point")
+    return GridSpec(resolution, origin, shape), values.reshape(shape[2], shape[1], shape[0]).transpose(2, 1, 0)
+
+
+def _inline(text: str, word: str, compressor: str | None) -> bytes:
+    """Bytes of an inline array; ``word`` is the format of the numbers in its head."""
+    width = struct.calcsize(word)
+    if not compressor:
+        held = base64.b64decode(text)
+        return held[width : width + struct.unpack_from(word, held)[0]]
+    if compressor != "vtkZLibDataCompressor":
+        raise ValueError(f"data compressed by {compressor} is not supported")
+    # a unit with the number of blocks, their size, that of the last, and the deflated sizes; then a unit with the blocks
+    (blocks,) = struct.unpack_from(word, base64.b64decode(text[: -(-width // 3) * 4]))
+    head = -(-(3 + blocks) * width // 3) * 4
+    sizes = [struct.unpack_from(word, base64.b64decode(text[:head]), width * (3 + i))[0] for i in range(blocks)]
+    held, out, at = base64.b64decode(text[head:]), [], 0
+    for size in sizes:
+        out.append(zlib.decompress(held[at : at + size]))
+        at += size
+    return b"".join(out)
 
 
 def read_vtk_table(spark: SparkSession, path: str) -> DataFrame:

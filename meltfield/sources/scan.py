@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meltfield.sources.lines import numbered_lines
+
 #: A raster parameter (speed) up to this takes no time.
 LEAST_SPEED = 1e-12
 
@@ -20,20 +20,13 @@ def scan_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         return spark.createDataFrame([], "file_id string, seq long, mode int, x double, y double, z double, power double, param double")
-    for path in paths:
-        if "://" not in path and not os.path.exists(path):
-            raise FileNotFoundError(path)
-    out = None
-    for n, path in enumerate(paths):
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("seq > 0")
-        parts = lines.select("seq", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("p")).where("size(p) >= 6")
-        p = F.col("p")
-        one = parts.select(
-            F.lit(f"{n:06d}").alias("file_id"), F.col("seq").cast("long").alias("seq"), p[0].cast("double").cast("int").alias("mode"),
-            *[p[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "power", "param"), 1)],
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    lines = numbered_lines(spark, paths).where("seq > 0")
+    parts = lines.select("file_id", "seq", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("p")).where("size(p) >= 6")
+    p = F.col("p")
+    return parts.select(
+        "file_id", "seq", p[0].cast("double").cast("int").alias("mode"),
+        *[p[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "power", "param"), 1)],
+    )
 
 
 def timeline(rows: DataFrame) -> DataFrame:

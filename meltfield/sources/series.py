@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meltfield.sources.lines import numbered_lines
+
 
 def read_data(spark: SparkSession, path: str, precision: str = "float64") -> DataFrame:
     """Rows ``(n, c0, c1[, c2])`` of a numeric file in file order; ``#`` starts a comment.
@@ -14,10 +14,8 @@ def read_data(spark: SparkSession, path: str, precision: str = "float64") -> Dat
     ``precision="float32"`` rounds values to single precision on the way in.  A missing local file raises; a row
     width other than two or three raises ``ValueError`` when the table is used as a series or spectrum.
     """
-    if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    clean = lines.select("n", F.trim(F.regexp_replace("line", "#.*|\r", "")).alias("line")).where("line <> ''")
+    lines = numbered_lines(spark, [path])
+    clean = lines.select(F.col("seq").alias("n"), F.trim(F.regexp_replace("line", "#.*|\r", "")).alias("line")).where("line <> ''")
     parts = clean.select(F.col("n").cast("long").alias("n"), F.split("line", r"\s*,\s*").alias("p"))
     width = parts.agg(F.max(F.size("p")).alias("w")).first()["w"] or 0
     kind = "float" if precision == "float32" else "double"

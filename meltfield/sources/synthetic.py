@@ -106,7 +106,7 @@ class MeltPoolFilter:
             self.physical_effects[r["name"]] |= {"frequency_hz": r["frequency_hz"], "sigma_contribution": r["sigma_contribution"]}
         top = max(e["frequency_hz"] for e in self.physical_effects.values())
         if top > self.fs / 2:
-            raise ValueError(f"the highest frequency {top / 1000:.1f} kHz exceeds the Nyquist limit {self.fs / 2000:.1f} kHz")
+            raise ValueError(f"a series sampled at {self.fs:g} Hz cannot carry an effect of {top:g} Hz")
 
     def generate_fluctuations(self, noise_scale: float = 1.0, spark: SparkSession | None = None) -> DataFrame:
         """``(n, c0, c1)``: time and value; seeded noise, so a repeated task draws the same series."""

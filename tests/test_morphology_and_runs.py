@@ -1,7 +1,11 @@
 """Pores, sinks, whole runs, the command line and the stream."""
 
+import base64
 import csv
 import math
+import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,8 +13,7 @@ import pytest
 import __spark_entry__
 from meltfield import cli
 from meltfield.functions import geometry as G
-from meltfield.operators import mask, morphology
-from meltfield.operators import components
+from meltfield.operators import components, mask, morphology
 from meltfield.operators.components import connected_components
 from meltfield.plans.pipeline import compute_porosity
 from meltfield.schema import GridSpec, MeltPoolSpec
@@ -154,6 +157,60 @@ def test_raster_round_trip(spark, tmp_path):
     assert write_vtk(morphology.porous_from_field(spark, field * 0), grid, str(tmp_path / "q.vti")) == 0 and not read_vtk(str(tmp_path / "q.vti"))[1].any()
 
 
+def plain_raster(path):
+    """Dimensions and points of an image-data file, read by its format and not by the library."""
+    text = path.read_text()
+    extent = list(map(int, re.search(r'WholeExtent="([^"]*)"', text)[1].split()))
+    assert 'header_type="UInt64"' in text and 'byte_order="LittleEndian"' in text and 'type="UInt8"' in text
+    data = base64.b64decode(re.search(r"<DataArray[^>]*>\s*([A-Za-z0-9+/=]*)\s*</DataArray>", text)[1], validate=True)
+    assert struct.unpack("<Q", data[:8])[0] == len(data) - 8
+    return [extent[1] + 1, extent[3] + 1, extent[5] + 1], data[8:]
+
+
+@pytest.mark.parametrize("shape", [(7, 5, 4), (1, 1, 1), (2, 3, 1), (5, 5, 5)])
+def test_raster_is_one_unit_with_its_length(spark, tmp_path, shape):
+    field = (np.random.default_rng(3).random(shape) < 0.5).astype(np.uint8)
+    write_vtk(morphology.porous_from_field(spark, field), GridSpec(0.01, (0.0, 0.0, 0.0), shape), str(tmp_path / "r.vti"))
+    (nx, ny, nz), data = plain_raster(tmp_path / "r.vti")
+    assert (nx, ny, nz) == shape and all(data[i + nx * (j + ny * k)] == field[i, j, k] for i in range(nx) for j in range(ny) for k in range(nz))
+
+
+@pytest.mark.parametrize("word, header", [("<I", "UInt32"), ("<Q", "UInt64")])
+def test_rasters_of_other_writers_are_read(tmp_path, word, header):
+    field = (np.random.default_rng(4).random((3, 4, 5)) < 0.5).astype(np.uint8)
+    raw = field.transpose(2, 1, 0).tobytes()
+    def unit(*parts):
+        return base64.b64encode(b"".join(parts)).decode()
+    def head(*numbers):
+        return b"".join(struct.pack(word, n) for n in numbers)
+    blocks = [zlib.compress(raw[i : i + 32]) for i in (0, 32)]
+    bodies = {("ascii", ""): " ".join(map(str, raw)), ("binary", ""): unit(head(len(raw)), raw), ("binary", ' compressor="vtkZLibDataCompressor"'): unit(head(2, 32, 28, *map(len, blocks))) + unit(*blocks)}
+    for (kind, compressor), body in bodies.items():
+        path = tmp_path / "x.vti"
+        path.write_text(f'<VTKFile type="ImageData" byte_order="LittleEndian" header_type="{header}"{compressor}><ImageData WholeExtent="0 2 0 3 0 4" Origin="0 0 0" Spacing="1 1 1"><Piece Extent="0 2 0 3 0 4"><PointData><DataArray type="UInt8" Name="porosity" format="{kind}">{body}</DataArray></PointData></Piece></ImageData></VTKFile>')
+        assert np.array_equal(read_vtk(str(path))[1], field)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lattice_counts_by_their_definition(spark, seed):
+    """Euler numbers and faces of random fields over several cubes, element by element."""
+    shape = (37, 34, 8)
+    field = np.random.default_rng(seed).random(shape) < (0.04, 0.12, 0.5)[seed]
+    labelled = morphology.labels(morphology.porous_from_field(spark, field)).cache()
+    elements, faces = {}, {}
+    for r in labelled.collect():
+        at = (r["ix"], r["iy"], r["iz"])
+        for o in np.ndindex(3, 3, 3):
+            elements.setdefault(r["label"], set()).add(tuple(2 * a + e for a, e in zip(at, o)))
+        for axis in range(3):
+            for step in (-1, 1):
+                n = tuple(a + (step if i == axis else 0) for i, a in enumerate(at))
+                free = not (all(0 <= c < m for c, m in zip(n, shape)) and field[n])
+                faces[r["label"]] = faces.get(r["label"], 0) + free
+    got = {r["label"]: (r["euler_number"], r["faces"]) for r in morphology.lattice_counts(labelled).collect()}
+    assert got == {k: (sum(1 - 2 * (sum(c % 2 for c in e) % 2) for e in v), faces[k]) for k, v in elements.items()}
+
+
 POOL = MeltPoolSpec({d: ((1e-4, 0, 0), (4.0876165465e-08, 0.99, -1.5393804003), (9.3202056060e-08, 1.98, -1.5079644737)) for d in ("width", "depth", "height")})
 
 

@@ -151,3 +151,26 @@ def test_effects_share_the_variance(spark):
     rows = {r["name"]: r for r in synthetic.normalised(effects, 10.0, 1.6).collect()}
     assert (rows["a"]["frequency_hz"], rows["a"]["sigma_contribution"]) == pytest.approx((2000, 6)) and (rows["b"]["frequency_hz"], rows["b"]["sigma_contribution"]) == pytest.approx((500, 8))
     assert synthetic.band(2125, 250000) == pytest.approx((0.0085, 0.0255)) and synthetic.band(1e5, 2.5e5)[1] == 0.999 and synthetic.band(1e-3, 2.5e5)[0] == 1e-4
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    """Files cut into many splits, one listed twice, names with spaces; the order is that of the text."""
+    from meltfield.sources.lines import numbered_lines
+
+    names = [str(tmp_path / n) for n in ("a b.txt", "c.txt", "e.txt")]
+    texts = [[f"{n} line {i} " + "x" * (i % 50) for i in range(m)] for n, m in ((0, 900), (1, 3), (2, 0))]
+    for name, lines in zip(names, texts):
+        with open(name, "w") as f:
+            f.write("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = numbered_lines(spark, [names[0], names[1], names[0], names[2]])
+        assert rows.rdd.getNumPartitions() >= 1
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r["file_id"], {})[r["seq"]] = r["line"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {f"{k:06d}": dict(enumerate(texts[t])) for k, t in enumerate((0, 1, 0)) }
+    assert got == want
