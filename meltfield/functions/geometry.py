@@ -49,13 +49,19 @@ def with_phases(vectors: DataFrame, pool: MeltPoolSpec) -> DataFrame:
     if not pool.random_phases:
         return vectors.withColumn("phases", F.array(*[F.lit(p) for p in pool.phases]))
     def uniform(k):
-        return F.pmod(F.xxhash64(F.lit(pool.seed), F.col("vector_id"), F.lit(k)), F.lit(1 << 53)) / F.lit(float(1 << 53)) * F.lit(2 * math.pi)
-    return vectors.withColumn("phases", F.array(F.lit(0.0), *[uniform(k) for k in range(1, pool.n_modes)]))
+        return F.pmod(F.xxhash64(F.lit(pool.seed), F.col("vector_id"), k), F.lit(1 << 53)) / F.lit(float(1 << 53)) * F.lit(2 * math.pi)
+    # one expression for all modes: written out, many modes make a method too long to compile
+    return vectors.withColumn("phases", F.transform(F.sequence(F.lit(0), F.lit(max(pool.n_modes, 1) - 1)), lambda k: F.when(k == 0, 0.0).otherwise(uniform(k))))
 
 
 def prepare(vectors: DataFrame, pool: MeltPoolSpec) -> DataFrame:
     """Frame, bounds and phases."""
-    return with_phases(with_bounds(with_frame(vectors), pool), pool)
+    return _settled(with_phases(with_bounds(_settled(with_frame(_settled(vectors))), pool), pool))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows through an explode of one, which keeps the optimizer from writing the columns' formulas into every later use (that made methods too long to compile)."""
+    return rows.select(F.explode_outer(F.array(F.struct(*(F.col(c) for c in rows.columns)))).alias("settled")).select("settled.*")
 
 
 def in_aabb() -> Column:

@@ -121,15 +121,19 @@ def region_table(labelled: DataFrame, resolution: float, fields: list[str]) -> D
         aggregates += [F.min(c).alias(f"min_{c}"), (F.max(c) + 1).alias(f"max_{c}"), F.avg(F.col(c).cast("double")).alias(f"avg_{c}")]
     moments = need & {"inertia_tensor", "inertia_tensor_eigvals", "axis_major_length", "axis_minor_length", "moments", "moments_central", "moments_normalized"}
     if moments:
-        x, y, z = (F.col(c).cast("double") for c in ("lx", "ly", "lz"))
-        aggregates += [F.sum(F.pow(x, i) * F.pow(y, j) * F.pow(z, k)).alias(f"m{i}{j}{k}") for i, j, k in _powers()]
+        def power(*n):
+            return math.prod((F.col(f"l{a}{e}") for a, e in zip("xyz", n) if e), start=F.lit(1.0))
+
+        aggregates += [F.sum(power(i, j, k)).alias(f"m{i}{j}{k}") for i, j, k in _powers()]
     if need & {"coords", "coords_scaled", "image", "image_filled"}:
         aggregates.append(F.array_sort(F.collect_list(F.struct("ix", "iy", "iz"))).alias("voxels"))
     source = labelled
     if moments:
-        w = Window.partitionBy("label")
-        for a in "xyz":
-            source = source.withColumn(f"l{a}", F.col(f"i{a}") - F.min(f"i{a}").over(w))
+        # powers of the places in the bounding box; its corner comes from a grouped minimum, so a great pore is no single window
+        low = labelled.groupBy("label").agg(*[F.min(f"i{a}").alias(f"low_{a}") for a in "xyz"]).withColumnRenamed("label", "low_label")
+        source = labelled.join(low, F.col("label") == F.col("low_label"))
+        place = {a: (F.col(f"i{a}") - F.col(f"low_{a}")).cast("double") for a in "xyz"}
+        source = source.select("label", "ix", "iy", "iz", F.explode(F.array(F.struct(*[math.prod([place[a]] * e).alias(f"l{a}{e}") for a in "xyz" for e in (1, 2, 3)]))).alias("p")).select("label", "ix", "iy", "iz", "p.*")
     g = source.groupBy("label").agg(*aggregates)
     c = F.col
     area = c("n") * (s**3)
