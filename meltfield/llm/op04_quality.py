@@ -205,3 +205,21 @@ def assess(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: st
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns."""
     return found.select("doc_id", *BASE, "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+def base(found: DataFrame) -> DataFrame:
+    """The statistics and the base rule alone."""
+    return found.select("doc_id", *BASE, "base_failed")
+
+
+#: The rows of ``base`` in DuckDB.
+BASE_SQL = r"""
+with d as materialized (select row_number() over () as row, doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select row, i, array_to_string(w[i:i + 2], ' ') as k from (select row, w, unnest(range(1, len(w) - 1)) as i from d)),
+rep as (select row, i from (select row, i, count(*) over (partition by row, k) as n from win) where n > 1),
+cov as (select row, count(distinct p) as n from (select row, unnest(range(i, i + 3)) as p from rep) group by row),
+lines as (select row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+s as (select doc_id, len(w) as n_words, coalesce(length(array_to_string(w, '')), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words from d join lines using (row) left join cov using (row))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s
+"""

@@ -35,6 +35,8 @@ from meltfield.operators.components import connected_components, ensure_checkpoi
 
 #: Words in a shingle, seed of the shingle hash, greatest number of differing bits of a link.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
+#: Row numbers (a long each) up to which the rows that go are broadcast; more are shuffled with the texts.
+BROADCAST_ROWS = 1_000_000
 #: A fingerprint with more than this part of all rows is joined apart.
 HOT = 1000
 
@@ -207,7 +209,9 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # both minima are combined before the shuffle: a group with very many rows or fingerprints is not dealt to one task
     component = classes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("low").alias("low"))
     kept = component.select(F.col("low.row").alias("kept_row"))
-    return numbered.join(kept, numbered[row] == kept["kept_row"], "left_semi").drop(row)
+    gone = written(rows.select(F.col("row").alias("gone_row")).join(kept, F.col("gone_row") == F.col("kept_row"), "left_anti"), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return numbered.join(few, numbered[row] == few["gone_row"], "left_anti").drop(row)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -32,6 +32,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.digest(op04_quality.assess(docs, op04_quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op4_quality`` that SQL can express."""
+    return op04_quality.base(op04_quality.assess(table(spark, sf_dir, "documents"), None))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op2_pii`` that SQL can express."""
+    return op02_pii.base_counts(op02_pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_decontam.digest(op05_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -58,9 +68,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_pii, op3_substring, op4_quality, op5_decontam, op6_tokens, op7_bpe, op8_simhash, op9_toxicity, op10_main_text)
+    found = (op1_langid, op2_pii, op3_substring, op4_quality, op5_decontam, op6_tokens, op7_bpe, op8_simhash, op9_toxicity, op10_main_text, quality_statistics, pii_base_counts)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": op03_substring.ORACLE_SQL, "op5_decontam": op05_decontam.ORACLE_SQL}
+    return {"op3_substring": op03_substring.ORACLE_SQL, "op5_decontam": op05_decontam.ORACLE_SQL, "quality_statistics": op04_quality.BASE_SQL, "pii_base_counts": op02_pii.COUNTS_SQL}
