@@ -1,19 +1,18 @@
 """The training-data pipeline: toxicity, near-duplicates, decontamination, personal data, token ids.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; ``run`` writes each
-result as Parquet into the shared checkpoint folder and rereads it as the next stage's documents.
+result as Parquet into the shared checkpoint folder and rereads it as the next stage's documents.  A stage's result goes
+when the next one is written, the last one when the driver ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltfield.llm import op02_pii, op05_decontam, op07_bpe, op08_simhash, op09_toxicity
-from meltfield.operators.components import ensure_checkpoint_dir
+from meltfield.llm._batches import discard, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, from ``documents``."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        docs = before = out
     return docs
