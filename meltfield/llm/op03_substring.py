@@ -20,7 +20,7 @@ at one time.
 
 Defined results: null and empty texts have no words; a null doc_id counts as the largest id; rows that repeat both doc_id
 and text count as one document and get the same answer; rows that repeat a doc_id with another text are
-documents of their own, told apart and ordered by a 64-bit hash of the text; texts under ``WINDOW`` words stay whole; very long texts are hashed in bounded blocks;
+documents of their own (an id that is no whole number raises), told apart and ordered by a 64-bit hash of the text; texts under ``WINDOW`` words stay whole; very long texts are hashed in bounded blocks;
 extra columns are not read.
 """
 

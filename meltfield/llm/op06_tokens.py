@@ -21,7 +21,7 @@ Files: Parquet rows ``(part, frame, start, n_tokens, docs, payload)`` written by
 the ids before the frame within its part.  Payload: see ``pack``.
 
 Defined results: ids are 0 to ``MAX_ID`` (a vocabulary beyond raises ``ValueError``); null and empty texts are the end id alone;
-null ids sort first; rows that repeat a doc_id are ordered by a hash of the text and each keeps its place; very long texts make
+null ids sort last; rows that repeat a doc_id are ordered by a hash of the text and each keeps its place; very long texts make
 a frame of their own; an empty table gives no frames; extra columns are not read; a doc_id that is no whole number raises.
 """
 
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltfield.llm._batches import chunks, written
+from meltfield.llm._batches import chunks, table_bytes, written
 from meltfield.llm.op07_bpe import library_class
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
@@ -55,8 +55,8 @@ MAGIC = b"MFT2"
 CACHE_WORDS = 300_000
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
-#: Text bytes tokenised at once.
-PIECE = 4 << 20
+#: Text bytes tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
+PIECE, PARTITION_BYTES, HOT_ROWS = 4 << 20, 128 << 20, 10_000
 
 #: The low end has 63 bits and one for a carry; a word leaves it when the range falls below 31 bits.
 _U31, _U32 = np.uint64(31), np.uint64(32)
@@ -605,8 +605,12 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(chosen, "text") // PARTITION_BYTES)
+    order = [F.col("doc_id").asc_nulls_last()]
+    # texts are read for the bounds of the ranges only if some id has more rows than one range should hold
+    if chosen.groupBy("doc_id").count().where(F.col("count") > HOT_ROWS).limit(1).count():
+        order.append(F.xxhash64("text").asc())
+    ordered = chosen.repartitionByRange(parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
 
     def run(batches):
         part, e = TaskContext.get().partitionId(), encoder(vocabulary)

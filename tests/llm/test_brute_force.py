@@ -581,6 +581,34 @@ def test_severity_grows_and_separates(spark):
     assert op09_toxicity.train(clean, [0] * 300) is None
 
 
+def test_ordinal_fit_is_the_optimum():
+    """The loss by its definition, minimised by small plain steps from another start, is no lower than that of the fit."""
+    r = np.random.default_rng(8)
+    n, width = 80, 4
+    x = (r.random((n, width)) < 0.4) * r.random((n, width))
+    grade = np.clip((x @ [3, 2, 0, 1] + r.normal(0, 0.8, n)).astype(int), 0, 3)
+    weight = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())
+    def loss(w, cut):
+        edge = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(cut - (x @ w)[:, None])), np.zeros((n, 1))], axis=1)
+        p = edge[np.arange(n), grade] - edge[np.arange(n), grade + 1]
+        return -(weight * np.log(np.maximum(p, 1e-12))).sum() + op09_toxicity.RIDGE / 2 * (w @ w)
+    rows, cols = np.nonzero(x)
+    w, cut = op09_toxicity.fit_ordinal(rows, cols, x[rows, cols], grade, width)
+    assert (w >= 0).all() and (np.diff(cut) >= op09_toxicity.GAP - 1e-9).all()
+    best, at, step = loss(w, cut), np.array([1.0, 1, 1, 1, 0, 2, 4]), 0.5
+    def proper(z):
+        return (z[:width] >= 0).all() and (np.diff(z[width:]) >= op09_toxicity.GAP).all()
+    value = loss(at[:width], at[width:])
+    while step > 1e-5:  # moves along random directions, as long as they help
+        moved = False
+        for _ in range(60):
+            z = at + step * r.normal(size=len(at))
+            if proper(z) and (v := loss(z[:width], z[width:])) < value:
+                at, value, moved = z, v, True
+        step *= 1.0 if moved else 0.7
+    assert best <= value + 1e-3 and value < loss(np.ones(width), np.array([0.0, 2, 4]))
+
+
 # ---- 10 pages --------------------------------------------------------------------------------------------------------
 
 TEXT = "A paragraph of the story, long enough, with commas, to count as prose of its own. "

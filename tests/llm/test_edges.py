@@ -155,3 +155,29 @@ def test_substring_finds_a_repeat_between_texts_under_one_id(spark):
     pairs = texts.groupBy(F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("low")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
     got = sorted(r["n_removed"] for r in op03_substring.dedup(spark.createDataFrame([(None, t) for t in pairs], "doc_id long, text string")).collect())
     assert got == [0, 25]
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_rows_of_one_id_are_dealt_by_their_texts(key, spark, monkeypatch):
+    monkeypatch.setattr(op06_tokens, "HOT_ROWS", 20)
+    texts = [f"text {i} of one id" for i in range(60)]
+    docs = spark.createDataFrame([(key, t) for t in texts] + [(1, "first")], "doc_id long, text string").repartition(3)
+    frames = op06_tokens.write(docs, V6)
+    assert frames.select("part").distinct().count() > 1
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in op06_tokens.read(frames).collect())
+    assert len(got) == 61 and got[0][2] == 1 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_equal_totals_go_to_the_first_language(spark):
+    model = op01_langid.train(["aaa bbb", "ccc ddd"], ["x", "y"])
+    got = {r["doc_id"]: r["lang_pred"] for r in op01_langid.predict(spark.createDataFrame([(1, "aaa " * 12 + "ccc " * 12), (2, "ccc " * 12 + "aaa " * 12), (3, "zzz")], "doc_id long, text string"), model).collect()}
+    assert got == {1: "x", 2: "x", 3: "x"}
+
+
+def test_ideographs_are_words_and_marks_belong_to_them(spark):
+    model = op01_langid.train(["这是一个中文句子我们" * 5, "これはにほんごのぶんです" * 5, "the house and the garden " * 5, "tiếng việt là ngôn ngữ " * 5], ["zh", "ja", "en", "vi"])
+    text = "这是中文句子我们这是中文句子 the house and the garden the house"
+    (row,) = op01_langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [(s["lang"], text[s["start"] : s["end"]]) for s in row["spans"]] == [("zh", text[:14]), ("en", text[15:])]
+    (row,) = op01_langid.predict(spark.createDataFrame([(1, "ngôn ngữ — “tiếng việt”")], "doc_id long, text string"), model).collect()
+    assert row["lang_pred"] == "vi" and row["score"] == 1.0
