@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm._batches import chunks, table_bytes, written
-from meltfield.llm.op07_bpe import library_class
+from meltfield.llm.op07_bpe import LETTER, WHITE, classes
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
 BLOCK, FRAME, TOGETHER = 4096, 1 << 20, 1 << 22
@@ -445,36 +445,20 @@ def verify(ids: np.ndarray, sums: list[int]) -> None:
             raise ValueError(f"block {k} is damaged")
 
 
-_LETTER, _NUMBER, _WHITE, _OTHER = 1, 2, 3, 0
-
-
-def _classes() -> np.ndarray:
-    """Letter, number, white space or other, for each code point."""
-    table = np.zeros(0x110000, np.uint8)
-    for kind, found in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
-        table[library_class(found)] = kind
-    return table
-
-
-_CLASS: list[np.ndarray] = []
-
-
 def pretokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """True where a pre-token of byte-level BPE starts, for the code points of texts that begin at ``begins``.
 
     The rule in words: runs of letters, of numbers, or of other signs take one space before them; of white space, the last
     character before a run stands apart; an apostrophe that starts a run of its own takes s, t, m, d, re, ve or ll.
     """
-    if not _CLASS:
-        _CLASS.append(_classes())
     n = len(points)
-    kind = _CLASS[0].take(points)
+    kind = classes().take(points)
     new = np.zeros(n + 1, bool)
     new[begins] = True
     new[n] = True
     edge = new.copy()  # starts and the end of texts
     new[1:n] |= kind[1:] != kind[:-1]
-    white = kind == _WHITE
+    white = kind == WHITE
     # a space goes with the run behind it
     taken = np.zeros(n, bool)
     taken[1:] = ~white[1:] & (points[:-1] == 0x20) & ~edge[1:n]
@@ -483,7 +467,7 @@ def pretokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     last = np.zeros(n, bool)
     last[:-1] = white[:-1] & ~white[1:] & ~edge[1:n]
     new[:n] |= last
-    quote = np.flatnonzero((points[:-1] == 0x27) & run[: n - 1] & ~taken[:-1] & (kind[1:] == _LETTER) & ~edge[1:n]) if n else np.zeros(0, np.int64)
+    quote = np.flatnonzero((points[:-1] == 0x27) & run[: n - 1] & ~taken[:-1] & (kind[1:] == LETTER) & ~edge[1:n]) if n else np.zeros(0, np.int64)
     if len(quote):
         a = points[quote + 1]
         b = np.where((quote + 2 < n) & ~edge[np.minimum(quote + 2, n)], points[np.minimum(quote + 2, n - 1)], 0)
@@ -493,7 +477,7 @@ def pretokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
         stop = (quote + 2 + two)[hit]
         new[quote[hit] + 1] = False
         inside = stop[(stop < n) & ~edge[np.minimum(stop, n)]]
-        new[inside[kind[inside] == _LETTER]] = True
+        new[inside[kind[inside] == LETTER]] = True
     return new[:n]
 
 

@@ -2,7 +2,8 @@
 
 Every pre-token is a doubly linked list of symbols; a priority queue holds the merge rank of each
 adjacent pair, entries made stale by an earlier merge are skipped when they surface, and the lowest
-rank (leftmost on ties) is merged until no ranked pair is left.  Decoding concatenates vocabulary
+rank (leftmost on ties) is merged until no ranked pair is left.  Whole batches of texts are cut into pre-tokens by numpy; each
+distinct pre-token is merged once while it is remembered.  Decoding concatenates vocabulary
 strings; the vocabulary file names no decoder, so the strings are joined by single spaces.
 
 Defined results: a null text counts as empty; an empty text, or one of white space only, has no ids
@@ -15,11 +16,11 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from meltfield.llm._batches import map_text
 
 #: Pre-tokens kept in each worker; beyond it the older generation is forgotten.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 #: Code points that have classes: planes 0 to 3 without surrogates, and 14; the rest is unassigned or private.
@@ -44,6 +45,48 @@ def library_class(pattern: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 0
+_CLASS: list[np.ndarray] = []
+
+
+def classes() -> np.ndarray:
+    """Letter, number, white space or other, for each code point."""
+    if not _CLASS:
+        table = np.zeros(0x110000, np.uint8)
+        for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+            table[library_class(found)] = kind
+        _CLASS.append(table)
+    return _CLASS[0]
+
+
+def pretokens(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and classes of the pre-tokens, and of the white space between them, of texts that begin at ``begins``.
+
+    The rule in words: runs of letters, single numbers, runs of other signs; an apostrophe that starts such a run takes s, t, m, d,
+    re, ve or ll behind it.
+    """
+    n = len(points)
+    kind = classes().take(points)
+    new = kind == NUMBER
+    new[1:] |= kind[1:] != kind[:-1]
+    edge = np.zeros(n + 3, bool)
+    edge[begins] = edge[n:] = True
+    new |= edge[:n]
+    quote = np.flatnonzero((points == 0x27) & new)
+    quote = quote[~edge[quote + 1]]
+    if len(quote):
+        a = points[quote + 1]
+        b = np.where(edge[quote + 2], 0, points[np.minimum(quote + 2, n - 1)])
+        one = np.isin(a, list(map(ord, "stmd")))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        hit = one | two
+        stop = (quote + 2 + two)[hit]
+        new[quote[hit] + 1] = False
+        new[stop[stop < n]] = True
+    starts = np.flatnonzero(new)
+    return starts, kind[starts]
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -60,7 +103,9 @@ class Merger:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         self.vocab, self.suffix = vocab, suffix
         pairs = [m if isinstance(m, list | tuple) else m.split(" ") for m in merges]
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
+        # a pair of ids is one number, and so is an entry of the queue: its rank above the place of its left symbol
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
 
     def encode(self, symbols: str) -> list[int]:
         """Ids of one pre-token, given as characters of the byte alphabet."""
@@ -70,26 +115,24 @@ class Merger:
         n = len(ids)
         if n < 2:
             return ids
-        ranks = self.ranks
+        rank, merged = self.ranks.get, self.merged
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if (hit := ranks.get((ids[i], ids[i + 1]))) is not None:
-                queue.append((hit[0], i, ids[i], ids[i + 1], hit[1]))
+        queue = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << 32 | b)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or ids[i] is None or rank(ids[i] << 32 | ids[j]) != entry >> 32:
                 continue  # stale: one side has been merged since
-            ids[i], ids[j] = merged, None
+            ids[i], ids[j] = new, _ = merged[entry >> 32], None
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (hit := ranks.get((merged, ids[k]))) is not None:
-                    heapq.heappush(queue, (hit[0], i, merged, ids[k], hit[1]))
-            if (h := before[i]) >= 0 and (hit := ranks.get((ids[h], merged))) is not None:
-                heapq.heappush(queue, (hit[0], h, ids[h], merged, hit[1]))
+                if (r := rank(new << 32 | ids[k])) is not None:
+                    heapq.heappush(queue, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << 32 | new)) is not None:
+                heapq.heappush(queue, r << 32 | h)
         return [x for x in ids if x is not None]
 
 
@@ -125,28 +168,34 @@ class Codec:
             self.young[word] = hit
         return hit
 
-    def _odd_characters(self) -> regex.Pattern:
+    def _odd_characters(self) -> np.ndarray:
         """Characters that Python does not know, or normalises or classes in another way than the library."""
         every = "".join(map(chr, _POINTS))
         odd = {c for c in every if unicodedata.category(c) == "Cn" or self.normalizer.normalize_str(c) != (" " if c.isspace() else unicodedata.normalize("NFC", c).lower())}
         odd -= {"\u03a3"}  # the capital sigma is lowered apart
         for pattern in (r"\p{L}+", r"\p{N}+", r"\s+"):
             odd.update(map(chr, {ord(c) for m in regex.finditer(pattern, every) for c in m[0]} ^ set(library_class(pattern).tolist())))
-        runs: list[list[int]] = []
-        for p in sorted(map(ord, odd)):
-            if runs and runs[-1][1] == p - 1:
-                runs[-1][1] = p
-            else:
-                runs.append([p, p])
-        return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "\U00034000-\U000dffff\U000e1000-\U0010ffff]")
+        table = np.zeros(0x110000, bool)
+        table[[*map(ord, odd), *range(0x34000, 0xE0000), *range(0xE1000, 0x110000)]] = True
+        return table
+
+    def _is_odd(self, text: str) -> bool:
+        return not text.isascii() and bool(self.odd.take(np.frombuffer(text.encode("utf-32-le"), np.uint32)).any())
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii() and self.odd.search(text):
+        if self._is_odd(text):
             return [word for word, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return self.pattern.findall(self._lowered(text))
+
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """NFC and lower case."""
+        if text.isascii():
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # the normaliser lowers each character by itself, without a final sigma
             text = text.replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        return text.lower()
 
     def _append(self, text: str, out: list) -> None:
         get = self.young.get
@@ -170,6 +219,53 @@ class Codec:
     def encode_bytes(self, text: str) -> bytes:
         return b"".join([p[0] for p in self.pieces(text)])
 
+    def _usual(self, text: str) -> bool:
+        """Whether Python's normalisation and the classes' table are right for a text without special strings."""
+        return not self._is_odd(text) and not any(s in text for s in self.special)
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Numbers of ids, ids (little-endian uint32) and decoded texts of whole texts."""
+        usual = [self._usual(t) for t in texts]
+        n, ids, decoded = self._together([t for t, u in zip(texts, usual) if u])
+        if all(usual):
+            return n, ids, decoded
+        own = iter(zip(ids.to_pylist(), decoded.to_pylist()))
+        rows = [next(own) if u else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])) for u, parts in ((u, None if u else self.pieces(t)) for t, u in zip(texts, usual))]
+        return np.array([len(r[0]) // 4 for r in rows], np.int64), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        lowered = [self._lowered(t) for t in texts]
+        joined = "".join(lowered)
+        if not joined:
+            return np.zeros(len(texts), np.int64), pa.array([b""] * len(texts), pa.binary()), pa.array([""] * len(texts), pa.string())
+        raw = joined.encode()
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+        ends = np.cumsum(sizes)
+        starts, kind = pretokens(points, (ends - sizes)[sizes > 0])
+        at = np.append(starts, len(points))
+        if len(raw) != len(points):
+            at = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))[at]
+        every = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+        token = kind != WHITE
+        words = every.filter(pa.array(token)).dictionary_encode()
+        get = self.young.get
+        coded = [get(w) or self._piece(w) for w in map(bytes.decode, words.dictionary.to_pylist())]
+        length = np.fromiter((len(c[0]) for c in coded), np.int64, len(coded)) // 4
+        index = words.indices.to_numpy()
+        each = length[index]
+        total = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join([c[0] for c in coded]), "<u4")
+        out = flat.take(np.repeat((np.cumsum(length) - length)[index] - total[:-1], each) + np.arange(total[-1]))
+        # words of a text, and of these the ones with ids
+        cut = np.searchsorted(starts[token], ends)
+        offsets = np.concatenate([[0], total[cut]])
+        some = np.concatenate([[0], np.cumsum(each > 0)])
+        strings = pa.array([c[1] for c in coded], pa.string()).take(words.indices.filter(pa.array(each > 0)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], some[cut]]).astype(np.int32)), strings)
+        ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(out.astype("<u4").tobytes())])
+        return np.diff(offsets), ids, pc.binary_join(lists, " ")
+
     def decode(self, ids) -> str:
         return " ".join([self.strings[i] for i in ids])
 
@@ -192,12 +288,8 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     """
 
     def run(piece: pa.RecordBatch) -> dict:
-        c, ids, decoded = codec(vocabulary), [], []
-        for t in piece.column("text").to_pylist():
-            parts = c.pieces(t) if t else []
-            ids.append(b"".join([p[0] for p in parts]))
-            decoded.append(" ".join([p[1] for p in parts]))
-        return {"doc_id": piece.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+        n, ids, decoded = codec(vocabulary).batch([t or "" for t in piece.column("text").to_pylist()])
+        return {"doc_id": piece.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": ids, "decoded": decoded}
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

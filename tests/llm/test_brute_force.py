@@ -447,8 +447,8 @@ def test_characters_are_classed_as_in_the_library():
     for t, want, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False), e.encode(texts)):
         assert ids.tolist() == want.ids, t
     library, codec = Tokenizer.from_file(V7), op07_bpe.codec(V7)
-    for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(codec.encode_bytes(t), "<u4").tolist() == want.ids, t
+    for t, want, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False), codec.batch(texts)[1].to_pylist()):
+        assert np.frombuffer(codec.encode_bytes(t), "<u4").tolist() == np.frombuffer(ids, "<u4").tolist() == want.ids, t
 
 
 def test_files_keep_order_and_places(spark, monkeypatch):
@@ -472,6 +472,13 @@ def test_bpe_matches_the_library(spark):
         ids = library.encode(t, add_special_tokens=False).ids
         own = np.frombuffer(codec.encode_bytes(t), "<u4").tolist()
         assert own == ids and codec.decode(own) == library.decode(ids, skip_special_tokens=False), t
+    texts += ["'s", "a'", "'", "x''s 're'll'd", "12'34", "", "\"'s", "'sam 'veve 'l 'r", "’s"]
+    for at in range(0, len(texts), 700):  # many texts together
+        part = texts[at : at + 700]
+        n, ids, decoded = codec.batch(part)
+        for t, k, i, d in zip(part, n.tolist(), ids.to_pylist(), decoded.to_pylist()):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert (k, np.frombuffer(i, "<u4").tolist(), d) == (len(want), want, library.decode(want, skip_special_tokens=False)), t
     encoded = op07_bpe.encode(frame(spark, texts[:50]), V7)
     back = {r["doc_id"]: r["decoded"] for r in op07_bpe.decode(encoded, V7).collect()}
     assert all(back[r["doc_id"]] == r["decoded"] for r in encoded.collect())
