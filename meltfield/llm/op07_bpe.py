@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from meltfield.llm._batches import map_text
 
 #: Pre-tokens kept in each worker; beyond it the older generation is forgotten.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
+#: Text bytes cut into pre-tokens at once; their working arrays take some forty times as much.
+PIECE = 1 << 20
 
 
 #: Code points that have classes: planes 0 to 3 without surrogates, and 14; the rest is unassigned or private.
@@ -292,7 +294,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         return {"doc_id": piece.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": ids, "decoded": decoded}
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, f"doc_id {kind}, n_tokens long, ids binary, decoded string", PIECE)
 
 
 def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
