@@ -6,8 +6,10 @@ tokens of a text that has one), dotted quads, and runs of seven digits and more
 digits of a base span is cut to them.
 
 Neighbouring nodes of a document are joined by a chain potential.  All distant occurrences of one value share a hub node, and hubs
-of similar values (one edit apart, one the front or the end of the other, or the last seven digits in common) are joined, so
-evidence reaches every occurrence in a few steps, however many there are.  Loopy sum-product passes run until the messages
+of similar values (one edit apart, one the front or the end of the other, or the last seven digits in common; of eight characters
+or seven digits and more) are joined, so evidence reaches every occurrence in a few steps, however many there are.  Every two similar
+values are joined: directly, or, where three and more differ in one place alone or share their last seven digits, by a group node whose
+two edges weigh as much as one direct edge.  Loopy sum-product passes run until the messages
 settle; a node outside every base span whose marginal for a kind reaches ``MIN_MARGINAL`` becomes a span of the method.
 Base nodes are observed, so base spans always stay.
 
@@ -38,8 +40,8 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 1500
 #: Marginal of a span, greatest number of passes, change of a message at which they are settled, damping.
 MIN_MARGINAL, PASSES, SETTLED, DAMPING = 0.9, 60, 1e-4, 0.3
-#: Digits in a run that is a node; characters in a token with an ``@`` that is one; characters from which values are compared; characters of their keys; span of a chain edge.
-MIN_DIGITS, MIN_TOKEN, MIN_VALUE, KEY, NEAR = 7, 5, 8, 4, 40
+#: Digits in a run that is a node; characters in a token with an ``@`` that is one; characters from which values are compared; span of a chain edge.
+MIN_DIGITS, MIN_TOKEN, MIN_VALUE, NEAR = 7, 5, 8, 40
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,11 +156,16 @@ def value_of(token: str) -> str:
     return _NOT_DIGIT.sub("", token)
 
 
+def comparable(value: str) -> bool:
+    """Whether a value is long enough to be similar to others."""
+    return len(value) >= MIN_VALUE or (len(value) >= MIN_DIGITS and value.isdigit())
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two values are one edit apart, one the front or end of the other, or numbers that share the last seven digits."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) < MIN_VALUE and not (a.isdigit() and len(a) >= MIN_DIGITS):
+    if not (comparable(a) and comparable(b)):
         return False
     if b.startswith(a) or b.endswith(a) or (a.isdigit() and b.isdigit() and a[-MIN_DIGITS:] == b[-MIN_DIGITS:]):
         return True
@@ -201,36 +208,85 @@ def cover(spans, found) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Kinds of edges.
-CHAIN, SAME, SIMILAR = 0, 1, 2
+CHAIN, SAME, SIMILAR, GROUP = 0, 1, 2, 3
+
+#: Base of the hashes that propose values one edit apart, its inverse modulo 2**64, and factors that tell lengths and places apart.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE, _BY_LENGTH, _BY_PLACE = (np.uint64(x) for x in (pow(_BASE, -1, 1 << 64), 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
 
+def _one_edit(values: list[str]) -> tuple[set[tuple[int, int]], list[list[int]]]:
+    """Of distinct values: all pairs of which one lacks a character of the other, and all groups that differ in one place alone.
 
-def graph(found: list[tuple[int, int, str]], covered=None) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of hubs, which come behind the nodes, and edges (node, node, kind)."""
+    Hashes of the values without each of their characters propose them, in time and memory linear in the characters; the values decide.
+    """
+    length = np.array([len(v) for v in values], np.int64)
+    stop = np.cumsum(length)
+    row = np.repeat(np.arange(len(values)), length)
+    place = np.arange(stop[-1]) - (stop - length)[row]
+    power = np.cumprod(np.array([1] + [_BASE] * (int(length.max()) - 1), np.uint64))
+    term = (np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * power[place]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
+    whole = total[stop] - total[stop - length]
+    before = total[:-1] - total[(stop - length)[row]]
+    by_length = length.astype(np.uint64) * _BY_LENGTH
+
+    full = whole + by_length
+    order = np.argsort(full, kind="stable")
+    without = before + (whole[row] - before - term) * _INVERSE + by_length[row] - _BY_LENGTH
+    low, high = (np.searchsorted(full[order], without, side) for side in ("left", "right"))
+    proposed = {(v, k) for v, a, b in zip(*(x[high > low].tolist() for x in (row, low, high))) for k in range(a, b)}
+    at = order.tolist()
+    pairs = {(min(v, at[k]), max(v, at[k])) for v, k in proposed if len(values[at[k]]) + 1 == len(values[v]) and similar(values[at[k]], values[v])}
+
+    rest = whole[row] - term + by_length[row] + place.astype(np.uint64) * _BY_PLACE
+    order = np.argsort(rest, kind="stable")
+    twin = rest[order][1:] == rest[order][:-1]
+    order = order[np.append(twin, False) | np.insert(twin, 0, False)]
+    groups: dict[tuple, list[int]] = {}
+    for v, i in zip(row[order].tolist(), place[order].tolist()):
+        groups.setdefault((values[v][:i], values[v][i + 1 :]), []).append(v)
+    return pairs, [g for g in groups.values() if len(g) > 1]
+
+
+def partners(values: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """All links between similar ones of distinct values: pairs, and groups of three and more of which every two are similar."""
+    own = [h for h, v in enumerate(values) if comparable(v)]
+    if len(own) < 2:
+        return [], []
+    pairs: set[tuple[int, int]] = set()
+    for turn in (1, -1):  # in sorted order the fronts of a value stand before it; a value has fewer of them than characters
+        fronts: list[tuple[str, int]] = []
+        for v, h in sorted((values[h][::turn], h) for h in own):
+            while fronts and not v.startswith(fronts[-1][0]):
+                fronts.pop()
+            pairs.update((min(h, other), max(h, other)) for _, other in fronts)
+            fronts.append((v, h))
+    ends = {h: values[h][-MIN_DIGITS:] for h in own if values[h].isdigit()}
+    shared: dict[str, list[int]] = {}
+    for h, end in ends.items():
+        shared.setdefault(end, []).append(h)
+    edits, groups = _one_edit([values[h] for h in own])
+    pairs |= {(own[a], own[b]) for a, b in edits}
+    groups = [[own[a] for a in g] for g in groups]
+    # numbers with the same end have that link alone
+    pairs = {(a, b) for a, b in pairs if a not in ends or ends[a] != ends.get(b)}
+    groups = [g for g in groups if any(h not in ends or ends[h] != ends.get(g[0]) for h in g)] + [g for g in shared.values() if len(g) > 1]
+    pairs.update((min(g), max(g)) for g in groups if len(g) == 2)
+    return sorted(pairs), [g for g in groups if len(g) > 2]
+
+
+def graph(found: list[tuple[int, int, str]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Number of hubs and groups, which come behind the nodes, and edges (node, node, kind)."""
     n = len(found)
     edges = [(i, i + 1, CHAIN) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= NEAR]
     hub: dict[str, int] = {}
-    seen: list[bool] = []  # hubs with an observed occurrence
     for i, (_, _, token) in enumerate(found):
-        h = hub.setdefault(value_of(token), len(hub))
-        if h == len(seen):
-            seen.append(False)
-        seen[h] |= covered is not None and bool(covered[i])
-        edges.append((i, n + h, SAME))
-    # a value is held against the last value, and the last observed one, with the same front, end or last seven digits
-    latest: dict[tuple, int] = {}
-    values, joined = list(hub), set()
-    for observed in (True, False):
-        for h, v in enumerate(values):
-            keys = [("front", v[:KEY]), ("end", v[-KEY:])] + ([("digits", v[-MIN_DIGITS:])] if v.isdigit() else [])
-            for key in keys:
-                for known in (True, False):
-                    other = latest.get((known, *key))
-                    if other is not None and other != h and (pair := (min(h, other), max(h, other))) not in joined and similar(v, values[other]):
-                        joined.add(pair)
-                        edges.append((n + pair[0], n + pair[1], SIMILAR))
-                if seen[h] or not observed:
-                    latest[(seen[h], *key)] = h
-    return len(hub), edges
+        edges.append((i, n + hub.setdefault(value_of(token), len(hub)), SAME))
+    pairs, groups = partners(list(hub))
+    edges += [(n + a, n + b, SIMILAR) for a, b in pairs]
+    edges += [(n + h, n + len(hub) + g, GROUP) for g, members in enumerate(groups) for h in members]
+    return len(hub) + len(groups), edges
 
 
 def broken(kind: str, value: str) -> list[str]:
@@ -257,7 +313,7 @@ def decoy(value: str) -> str:
 
 
 class Learner:
-    """Unary weights (features x labels) and log potentials of the three kinds of edges, from documents and their base spans."""
+    """Unary weights (features x labels) and log potentials of the kinds of edges, from documents and their base spans."""
 
     def __init__(self):
         k = 1 + len(KINDS)
@@ -272,7 +328,8 @@ class Learner:
         base = base_spans(text)
         found = nodes(text, base)
         label, covered = cover(base, found)
-        hubs, edges = graph(found, covered)
+        hubs, edges = graph(found)
+        groups: dict[int, list[int]] = {}
         of = np.full(len(found) + hubs, -1)  # a hub takes the label of its first occurrence
         of[: len(found)] = label
         known = np.concatenate([covered, np.zeros(hubs, bool)])
@@ -282,8 +339,14 @@ class Learner:
                     of[j], known[j] = of[i], known[i]
                 else:
                     self.tables[SAME][of[i], of[j]] += 1
+            elif kind == GROUP:
+                groups.setdefault(j, []).append(i)
             elif known[i] == known[j]:  # a value beside a base span is not known to be none
                 self.tables[kind][of[i], of[j]] += 1
+        for members in groups.values():  # all pairs of a group, which weigh as much as one for two members
+            for observed in (True, False):
+                count = np.bincount([of[i] for i in members if known[i] == observed], minlength=1 + len(KINDS))
+                self.tables[SIMILAR] += (np.outer(count, count) - np.diag(count)) / (2 * max(count.sum() - 1, 1))
         for i in np.flatnonzero(~covered):
             self._learn(found[i], text, 0, False)
         for kind, a, b in base:
@@ -327,7 +390,13 @@ class Learner:
             """How much rarer a pair of labels is than agreement on either, so that a rare label binds as much as a common one."""
             return np.clip(np.log((t + t.T) / (2 * np.sqrt(np.outer(np.diag(t), np.diag(t))))), -5, 0)
 
-        return {"unary": w, "psi": np.stack([apart(self.tables[CHAIN]), agree(self.tables[SAME]), agree(self.tables[SIMILAR])])}
+        def half(psi):
+            """Log potential of each of two edges over a node between that make one of log potential ``psi``."""
+            value, vector = np.linalg.eigh(np.exp(psi))
+            return np.log(np.maximum((vector * np.sqrt(np.maximum(value, 0))) @ vector.T, 1e-6))
+
+        pair = agree(self.tables[SIMILAR])
+        return {"unary": w, "psi": np.stack([apart(self.tables[CHAIN]), agree(self.tables[SAME]), pair, half(pair)])}
 
 
 def train(texts: list[str]) -> dict:
@@ -380,7 +449,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> lis
     labels, covered = cover(base, found)
     if covered.all():
         return []
-    hubs, edges = graph(found, covered)
+    hubs, edges = graph(found)
     unary = np.array([_shape_in(x, text) for x in found]) @ model["unary"]
     observed = np.eye(1 + len(KINDS))[labels] * 60 - 60
     unary = np.concatenate([np.where(covered[:, None], observed, unary - unary.max(1, keepdims=True)), np.zeros((hubs, 1 + len(KINDS)))])

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -235,6 +237,42 @@ def test_evidence_reaches_every_copy(field):
     assert len(base) == 1 and len(more) == 60 and {text[a:b] for _, a, b in more} == {"555 010 4477"}
 
 
+def test_every_two_similar_values_are_linked():
+    r = random.Random(11)
+    for signs, size in (("12", 9), ("0123456789", 8), ("ab@.", 10), ("a1", 8), ("é\U0001f600@", 9)):
+        for _ in range(12):
+            front = "".join(r.choice(signs) for _ in range(5))
+            values = ["".join(r.choice(signs) for _ in range(r.randint(6, size))) for _ in range(60)]
+            values += [front + "".join(r.choice(signs) for _ in range(r.randint(1, 4))) for _ in range(40)]
+            values += [v[: r.randrange(len(v))] + r.choice(signs) + v[r.randrange(len(v)) :] for v in values]
+            values = list(dict.fromkeys(values))
+            pairs, groups = op02_pii.partners(values)
+            linked = pairs + [(min(p), max(p)) for g in groups for p in itertools.combinations(g, 2)]
+            assert len(linked) == len(set(linked))
+            assert set(linked) == {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if op02_pii.similar(values[a], values[b])}
+    started = time.perf_counter()  # nested, repetitive and many values of one end cost linear time
+    pairs, groups = op02_pii.partners(["a" * 200_000, "a" * 199_999, "a" * 199_998 + "b"] + [f"user{i}@example.com" for i in range(30_000)] + [f"{i}5550104477" for i in range(30_000)])
+    assert (0, 1) in pairs and (1, 2) in pairs and max(map(len, groups)) == 30_000 and time.perf_counter() - started < 60
+
+
+def test_two_edges_of_a_group_weigh_as_one(field):
+    unary = np.array([[0.0, 3, 0, 0, 0], [2, 0, 0, 0, 0], [0] * 5])
+    direct = op02_pii.marginals(unary, np.array([[0, 1, op02_pii.SIMILAR]]), field["psi"])
+    assert np.allclose(op02_pii.marginals(unary, np.array([[0, 2, op02_pii.GROUP], [1, 2, op02_pii.GROUP]]), field["psi"])[:2], direct[:2], atol=1e-3)
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("mail bob.smith@example.com or bob.brown@sample.com, then bob.smith.example.com again", ["bob.smith.example.com"]),
+        ("hosts 10.20.30.41, 10.20.99.41 and 10.20.77.66 up, 10.20.30.410 down", ["10.20.30.410"]),
+    ],
+)
+def test_evidence_comes_from_earlier_values_too(text, found, field):
+    base, more = op02_pii.all_spans(text, field)
+    assert base == base_by_pattern(text) and [text[a:b] for _, a, b in more] == found
+
+
 # ---- 3 repeated passages ---------------------------------------------------------------------------------------------
 
 
