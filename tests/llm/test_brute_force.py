@@ -273,6 +273,14 @@ def test_evidence_comes_from_earlier_values_too(text, found, field):
     assert base == base_by_pattern(text) and [text[a:b] for _, a, b in more] == found
 
 
+def test_redaction_reaches_partners_of_earlier_values(spark, field):
+    text = "mail bob.smith@example.com or bob.brown@sample.com, then bob.smith.example.com again"
+    red = op02_pii.redact(frame(spark, [text]), field).collect()
+    assert red[0]["text"] == "mail [EMAIL] or [EMAIL], then [EMAIL] again"
+    for a, b in (("1234567", "1@34567"), ("1234567", "12345678"), ("1234567", "1@345678")):
+        assert op02_pii.similar(a, b) == op02_pii.similar(b, a) == (b == "12345678")
+
+
 # ---- 3 repeated passages ---------------------------------------------------------------------------------------------
 
 
