@@ -56,7 +56,10 @@ CACHE_WORDS = 300_000
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
 #: Text bytes tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
-PIECE, PARTITION_BYTES, HOT_ROWS = 4 << 20, 128 << 20, 10_000
+PIECE, PARTITION_BYTES, HOT_ROWS = 2 << 20, 128 << 20, 10_000
+#: Rows of texts that go to a worker at once: both sides hold them outside the heap.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: The low end has 63 bits and one for a carry; a word leaves it when the range falls below 31 bits.
 _U31, _U32 = np.uint64(31), np.uint64(32)
@@ -321,7 +324,8 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tab
         words[at] = low >> _U31
         low = (low & _REST) << _U32
         at += lanes
-    words = words.reshape(height, lanes)
+    height = int(at.max()) // lanes  # rows in use
+    words = words[: height * lanes].reshape(height, lanes)
     for j in range(height - 1, 0, -1):
         over = words[j] >> _U32
         if over.any():
@@ -636,7 +640,37 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             yield last
 
     frames = ordered.mapInArrow(run, "part int, frame long, start long, n_tokens long, docs array<struct<doc_id:long,n_tokens:long>>, payload binary")
-    return written(frames, "tokens")
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        return written(frames, "tokens")
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def documents_of(batches, offsets: dict[int, int]):
+    """Batches of the documents of written frames, one a frame; frames are decoded together."""
+    _ENCODERS.clear()  # a worker that has written holds a vocabulary and its pre-tokens
+    waiting, size = [], 0
+
+    def flush():
+        for (part, begin, own, _), mine in zip(waiting, decode_frames([p for _, _, _, p in waiting])):
+            count = np.array([d["n_tokens"] for d in own], np.int64)
+            end = np.cumsum(count)
+            raw = mine.astype("<u4").tobytes()
+            payload = [raw[4 * a : 4 * b] for a, b in zip((end - count).tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([d["doc_id"] for d in own], pa.int64()), pa.array(offsets[part] + begin + end - count), pa.array(count), pa.array(payload, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "docs", "payload", "n_tokens"))):
+            waiting.append(row[:4])
+            size += row[4]
+            if size >= TOGETHER:
+                yield from flush()
+                waiting, size = [], 0
+    if waiting:
+        yield from flush()
 
 
 def read(frames: DataFrame) -> DataFrame:
@@ -648,29 +682,7 @@ def read(frames: DataFrame) -> DataFrame:
         total += totals[part]
 
     def run(batches):
-        waiting, size = [], 0
-
-        def flush():
-            doc, start, count, payload = [], [], [], []
-            for (part, begin, own, _), mine in zip(waiting, decode_frames([p for _, _, _, p in waiting])):
-                raw, place = mine.astype("<u4").tobytes(), 0
-                for d in own:
-                    doc.append(d["doc_id"])
-                    start.append(offsets[part] + begin + place)
-                    count.append(d["n_tokens"])
-                    payload.append(raw[4 * place : 4 * (place + d["n_tokens"])])
-                    place += d["n_tokens"]
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64()), pa.array(payload, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "docs", "payload", "n_tokens"))):
-                waiting.append(row[:4])
-                size += row[4]
-                if size >= TOGETHER:
-                    yield flush()
-                    waiting, size = [], 0
-        if waiting:
-            yield flush()
+        return documents_of(batches, offsets)
 
     return frames.select("part", "start", "docs", "payload", "n_tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

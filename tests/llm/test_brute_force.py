@@ -508,6 +508,28 @@ def test_files_keep_order_and_places(spark, monkeypatch):
         at += len(own)
 
 
+def test_documents_of_frames_leave_one_frame_at_a_time():
+    r = np.random.default_rng(3)
+    frames = [r.integers(0, 500, n).astype(np.int32) for n in (9000, 5000, 1)]
+    payloads = op06_tokens.encode_frames(frames)
+    rows = [{"part": 2, "start": b, "docs": [{"doc_id": 10 * k + j, "n_tokens": n} for j, n in enumerate(split)], "payload": p, "n_tokens": len(f)} for k, (b, f, p, split) in enumerate(zip((0, 9000, 14000), frames, payloads, ((4000, 1, 4999), (5000,), (1,))))]
+    op06_tokens.encoder(V6)
+    out = list(op06_tokens.documents_of([pa.RecordBatch.from_pylist(rows[:2]), pa.RecordBatch.from_pylist(rows[2:])], {2: 100}))
+    assert not op06_tokens._ENCODERS and [b.num_rows for b in out] == [3, 1, 1]
+    got = [d for b in out for d in b.to_pylist()]
+    assert [(d["doc_id"], d["start"], d["n_tokens"]) for d in got] == [(0, 100, 4000), (1, 4100, 1), (2, 4101, 4999), (10, 9100, 5000), (20, 14100, 1)]
+    assert b"".join(d["ids"] for d in got) == np.concatenate(frames).astype("<u4").tobytes()
+
+
+def test_writing_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [f"text {i}" for i in range(2500)]
+    got = op06_tokens.read(op06_tokens.write(frame(spark, texts), V6)).orderBy("doc_id").collect()
+    library = Tokenizer.from_file(V6)
+    assert [np.frombuffer(g["ids"], "<u4").tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # ---- 7 BPE -----------------------------------------------------------------------------------------------------------
 
 
