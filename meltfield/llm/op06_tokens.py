@@ -41,7 +41,7 @@ from meltfield.llm._batches import chunks, table_bytes, written
 from meltfield.llm.op07_bpe import LETTER, WHITE, classes
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
-BLOCK, FRAME, TOGETHER = 4096, 1 << 20, 1 << 22
+BLOCK, FRAME, TOGETHER = 4096, 1 << 20, 1 << 23
 MAX_ID = (1 << 17) - 1
 #: Places of a list of order 1; lists and predictions of order 2 that a block remembers; greatest run of hits that counts.
 WAYS, LIST_BITS, SECOND_BITS, TOP = 8, 10, 12, 7
@@ -294,6 +294,7 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tab
     by = _Lanes(sizes, frame, tables)
     lanes = len(sizes)
     steps = by.by_step(symbols)
+    del symbols
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
     height = by.top + 6  # an id takes a word at most
@@ -394,8 +395,7 @@ def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
     tables = [Frequencies.of(ids) for ids in frames]
     sizes = [block_sizes(len(ids)) for ids in frames]
     frame = np.repeat(np.arange(len(frames)), [len(s) for s in sizes])
-    symbols = np.concatenate([t.symbols(ids) for t, ids in zip(tables, frames)]) if frames else np.zeros(0, np.int32)
-    coded, at, out = encode_blocks(symbols, np.array([s for x in sizes for s in x], np.int64), frame, tables), 0, []
+    coded, at, out = encode_blocks(np.concatenate([t.symbols(ids) for t, ids in zip(tables, frames)]) if frames else np.zeros(0, np.int32), np.array([s for x in sizes for s in x], np.int64), frame, tables), 0, []
     for table, ids, s in zip(tables, frames, sizes):
         out.append(pack(ids, table, coded[at : at + len(s)]))
         at += len(s)
