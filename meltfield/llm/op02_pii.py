@@ -3,14 +3,14 @@
 Base spans come from four patterns, leftmost and non-overlapping per kind, checked by octet range, digit
 count or Luhn sum.  The field then labels whole values that the patterns may miss, its nodes: tokens with an ``@`` (and dotted
 tokens of a text that has one), dotted quads, and runs of seven digits and more with their separators.  A run that holds the
-digits of a base span is cut to them.
+digits of base spans is cut at each of them; what is left between stays a node if it has seven digits.
 
 Neighbouring nodes of a document are joined by a chain potential.  All distant occurrences of one value share a hub node, and hubs
 of similar values (one edit apart, one the front or the end of the other, or the last seven digits in common; of eight characters
 or seven digits and more) are joined, so evidence reaches every occurrence in a few steps, however many there are.  Every two similar
 values are joined: directly, or, where three and more differ in one place alone or share their last seven digits, by a group node whose
 two edges weigh as much as one direct edge.  Loopy sum-product passes run until the messages
-settle; a node outside every base span whose marginal for a kind reaches ``MIN_MARGINAL`` becomes a span of the method.
+settle, however far evidence has to go; a node outside every base span whose marginal for a kind reaches ``MIN_MARGINAL`` becomes a span of the method.
 Base nodes are observed, so base spans always stay.
 
 Training takes a bounded hash sample of at most ``TRAIN_DOCS`` whole documents that hold a digit.  What the field has to find has no label
@@ -38,7 +38,7 @@ from meltfield.llm._batches import bounded_sample, chunks, learn, map_text
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 1500
-#: Marginal of a span, greatest number of passes, change of a message at which they are settled, damping.
+#: Marginal of a span, passes over all messages before only unsettled ones are passed on, change of a message at which it is settled, damping.
 MIN_MARGINAL, PASSES, SETTLED, DAMPING = 0.9, 60, 1e-4, 0.3
 #: Digits in a run that is a node; characters in a token with an ``@`` that is one; characters from which values are compared; span of a chain edge.
 MIN_DIGITS, MIN_TOKEN, MIN_VALUE, NEAR = 7, 5, 8, 40
@@ -94,6 +94,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _EDGE = "()[]{}<>,;:!?\"'."
 _MARK = re.compile(r"[0-9@]")
 _RUN = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
+_WITHIN = re.compile(r"[0-9][\x20().-]{0,2}[0-9]")
 _QUAD = re.compile(r"(?<![0-9.])[0-9]+(?:\.[0-9]+){3}(?![0-9.])")
 _DOTTED = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_-]+)+")
 
@@ -119,10 +120,8 @@ def _at_tokens(text: str):
 
 def nodes(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int, str]]:
     """Values of the field in the order of the text: (start, end, text); no two overlap."""
-    known: dict[str, list[str]] = {}  # digits of base spans by their first seven
-    for kind, a, b in base:
-        if kind != "email" and len(digits := _NOT_DIGIT.sub("", text[a:b])) >= MIN_DIGITS and digits not in known.setdefault(digits[:MIN_DIGITS], []):
-            known[digits[:MIN_DIGITS]].append(digits)
+    known = {digits for kind, a, b in base if kind != "email" and len(digits := _NOT_DIGIT.sub("", text[a:b])) >= MIN_DIGITS}  # digits of base spans
+    heads, lengths = {v[:MIN_DIGITS] for v in known}, sorted({len(v) for v in known}, reverse=True)
     spans: list[tuple[int, int]] = []
     if "@" in text:
         spans += _at_tokens(text)
@@ -134,13 +133,18 @@ def nodes(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, i
         places = [i for i in range(m.start(), m.end()) if text[i] in "0123456789"]
         if len(places) < MIN_DIGITS:
             continue
-        a, b = m.start(), m.end()
-        if known:
-            digits = _NOT_DIGIT.sub("", m[0])
-            hits = ((i, v) for i in range(len(digits) - MIN_DIGITS + 1) for v in known.get(digits[i : i + MIN_DIGITS], ()) if len(v) < len(digits) and digits.startswith(v, i))
-            if (hit := next(hits, None)) is not None:
-                a, b = places[hit[0]], places[hit[0] + len(hit[1]) - 1] + 1
-        spans.append((a, b))
+        cuts = [0]  # where values of base spans start and end, from left to right, the longest first
+        digits = _NOT_DIGIT.sub("", m[0]) if known else ""
+        if digits not in known:
+            i = 0
+            while i <= len(digits) - MIN_DIGITS:
+                size = next((len(v) for n in lengths if (v := digits[i : i + n]) in known), 0) if digits[i : i + MIN_DIGITS] in heads else 0
+                cuts += [i, i + size] if size else []
+                i += size or 1
+        if len(cuts) == 1:
+            spans.append((m.start(), m.end()))
+        else:
+            spans += [(m.start() if first else places[i], places[j - 1] + 1) for first, i, j in zip([True] + [False] * len(cuts), cuts, [*cuts[1:], len(places)]) if j - i >= MIN_DIGITS]
     out, last = [], 0
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= last:
@@ -276,14 +280,24 @@ def partners(values: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]
     return sorted(pairs), [g for g in groups if len(g) > 2]
 
 
-def graph(found: list[tuple[int, int, str]]) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of hubs and groups, which come behind the nodes, and edges (node, node, kind)."""
+def graph(found: list[tuple[int, int, str]], text: str = "", covered=None) -> tuple[int, list[tuple[int, int, int]]]:
+    """Number of hubs and groups, which come behind the nodes, and edges (node, node, kind).
+
+    A value that stands alone has no chain edge to what was cut out of the same run, unless a base span covers it: it does not speak against a known value.
+    """
     n = len(found)
-    edges = [(i, i + 1, CHAIN) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= NEAR]
     hub: dict[str, int] = {}
-    for i, (_, _, token) in enumerate(found):
-        edges.append((i, n + hub.setdefault(value_of(token), len(hub)), SAME))
+    of = [hub.setdefault(value_of(token), len(hub)) for _, _, token in found]
     pairs, groups = partners(list(hub))
+    links = np.bincount(np.array([*of, *(h for members in (*pairs, *groups) for h in members)], np.int64), minlength=len(hub))
+
+    def apart(i):
+        if covered is None or covered[i] or covered[i + 1] or min(links[of[i]], links[of[i + 1]]) > 1:
+            return False
+        return _WITHIN.fullmatch(text, found[i][1] - 1, found[i + 1][0] + 1) is not None
+
+    edges = [(i, i + 1, CHAIN) for i in range(n - 1) if found[i + 1][0] - found[i][1] <= NEAR and not apart(i)]
+    edges += [(i, n + h, SAME) for i, h in enumerate(of)]
     edges += [(n + a, n + b, SIMILAR) for a, b in pairs]
     edges += [(n + h, n + len(hub) + g, GROUP) for g, members in enumerate(groups) for h in members]
     return len(hub) + len(groups), edges
@@ -328,7 +342,7 @@ class Learner:
         base = base_spans(text)
         found = nodes(text, base)
         label, covered = cover(base, found)
-        hubs, edges = graph(found)
+        hubs, edges = graph(found, text, covered)
         groups: dict[int, list[int]] = {}
         of = np.full(len(found) + hubs, -1)  # a hub takes the label of its first occurrence
         of[: len(found)] = label
@@ -415,24 +429,41 @@ def marginals(unary: np.ndarray, edges: np.ndarray, psi: np.ndarray) -> np.ndarr
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     strength = np.exp(psi)
+    strength = np.concatenate([strength, strength.transpose(0, 2, 1)])
+    cuts = np.concatenate([cuts, m + cuts[1:]])
     message = np.zeros((2 * m, k))
 
     def beliefs():
         return unary + np.stack([np.bincount(dst, message[:, c], n) for c in range(k)], axis=1)
 
-    for _ in range(PASSES if m else 0):
-        out = beliefs()[src] - message[back]
+    def passed(rows, belief, cuts, step):
+        """Changes of the messages ``rows``, which ``cuts`` divides by their potentials."""
+        out = belief[src[rows]] - message[back[rows]]
         out = np.exp(out - out.max(1, keepdims=True))
         new = np.empty_like(out)
         for e, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            new[a:b], new[m + a : m + b] = out[a:b] @ strength[e], out[m + a : m + b] @ strength[e].T
+            new[a:b] = out[a:b] @ strength[e]
         new = np.log(new)
         new -= new.max(1, keepdims=True)
-        new = DAMPING * message + (1 - DAMPING) * new
-        change = np.abs(new - message).max()
-        message = new
-        if change < SETTLED:
+        return step * (new - message[rows])
+
+    change = np.zeros((2 * m, k))
+    for _ in range(PASSES if m else 0):
+        change = passed(slice(None), beliefs(), cuts, 1 - DAMPING)
+        message += change
+        if np.abs(change).max() < SETTLED:
             break
+    # what has not settled is passed on alone, as far as it changes anything; a message that swings moves less and less
+    rows, belief, turns = np.arange(2 * m), beliefs(), np.zeros(2 * m, np.int64)
+    by_source = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[by_source], np.arange(n + 1))
+    while len(moved := np.unique(dst[rows[np.abs(change).max(1) >= SETTLED]])):
+        size = first[moved + 1] - first[moved]
+        rows = np.sort(by_source[np.repeat(first[moved] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        change = passed(rows, belief, np.searchsorted(rows, cuts), (1 - DAMPING) * 0.5 ** (turns[rows] // PASSES)[:, None])
+        message[rows] += change
+        np.add.at(belief, dst[rows], change)
+        turns[rows] += 1
     belief = beliefs()
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -449,7 +480,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> lis
     labels, covered = cover(base, found)
     if covered.all():
         return []
-    hubs, edges = graph(found)
+    hubs, edges = graph(found, text, covered)
     unary = np.array([_shape_in(x, text) for x in found]) @ model["unary"]
     observed = np.eye(1 + len(KINDS))[labels] * 60 - 60
     unary = np.concatenate([np.where(covered[:, None], observed, unary - unary.max(1, keepdims=True)), np.zeros((hubs, 1 + len(KINDS)))])

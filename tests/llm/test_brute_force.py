@@ -281,6 +281,57 @@ def test_redaction_reaches_partners_of_earlier_values(spark, field):
         assert op02_pii.similar(a, b) == op02_pii.similar(b, a) == (b == "12345678")
 
 
+@pytest.mark.parametrize(
+    "text, redacted",
+    [
+        ("Call +1 555 010 4477 now. Later 15550104477 15550104477 again.", "Call [PHONE] now. Later [PHONE] [PHONE] again."),
+        ("Call +1 555 010 4477 now. Later 15550104477 5550104477 again.", "Call [PHONE] now. Later [PHONE] [PHONE] again."),
+        ("pay 4111111111111111 or 4111111111111111 4111111111111111-4111111111111111 now", "pay [CARD] or [CARD] [CARD]-[CARD] now"),
+        ("pay 4111111111111111 or +1 555 010 4477 then 4111111111111111 15550104477 end", "pay [CARD] or [PHONE] then [CARD] [PHONE] end"),
+        ("pay 4111111111111111 or, if it fails, 5424180123456789 4111111111111111 now", "pay [CARD] or, if it fails, 5424180123456789 [CARD] now"),
+    ],
+)
+def test_every_value_in_a_run_is_found(spark, text, redacted, field):
+    assert op02_pii.redact(frame(spark, [text]), field).collect()[0]["text"] == redacted
+
+
+def test_runs_are_cut_at_every_known_value():
+    r = random.Random(3)
+    for _ in range(3000):
+        known = list(dict.fromkeys("".join(r.choice("12") for _ in range(r.randint(7, 10))) for _ in range(r.randint(1, 4))))
+        base, text = [], ""
+        for v in known:
+            base.append(("phone", len(text), len(text) + len(v)))
+            text += v + " ; "
+        run = "".join(r.choice([*known, "1", "2", "12"]) for _ in range(r.randint(1, 8)))
+        got = [t for _, _, t in op02_pii.nodes(text + run, base)][len(known) :]
+        want, rest, i = [], "", 0
+        while i < len(run):
+            hit = max((v for v in known if run.startswith(v, i)), key=len, default="")
+            want, rest = (want + [rest, hit], "") if hit else (want, rest + run[i])
+            i += len(hit) or 1
+        want.append(rest)
+        assert got == ([run] if run in known else [w for w in want if len(w) >= 7])
+    started = time.perf_counter()  # many known values of one front cost linear time
+    known = [f"1555010{i:05d}" for i in range(30_000, 50_000)]
+    base = [("phone", 13 * k, 13 * k + 12) for k in range(len(known))]
+    found = op02_pii.nodes(";".join(known) + ";" + "1555010" * 20_000 + "".join(known), base)
+    assert len(found) == 2 * len(known) + 1 and time.perf_counter() - started < 30
+
+
+def test_messages_settle_however_far_evidence_goes(field):
+    """A ladder of similar values, a hundred times as long as the passes over all messages: the same as with passes for all."""
+    psi, n = np.log(np.full((4, 5, 5), 0.05) + np.eye(5)), 100 * op02_pii.PASSES
+    edges = np.array([(2 * i, 2 * i + 1, op02_pii.SIMILAR) for i in range(n)] + [(2 * i + a, 2 * i + 2 + a, op02_pii.SIMILAR) for i in range(n - 1) for a in (0, 1)])
+    unary = np.zeros((2 * n, 5))
+    unary[0] = [-60, -60, -60, -60, 0]
+    assert op02_pii.marginals(unary, edges, psi)[:, 4].min() > 0.9
+    swings = np.log(np.full((4, 5, 5), 1.0) - 0.999 * np.eye(5))  # nothing settles where neighbours must differ
+    r = np.random.default_rng(4)
+    p = op02_pii.marginals(r.normal(size=(40, 5)), np.array([(a, b, op02_pii.SIMILAR) for a in range(40) for b in range(a)]), swings)
+    assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
+
+
 # ---- 3 repeated passages ---------------------------------------------------------------------------------------------
 
 
