@@ -51,12 +51,12 @@ ONE = 1 << SHARE_BITS
 MOST = ONE - ONE // LEAST
 END_ID = 0
 MAGIC = b"MFT2"
-#: Pre-tokens kept in each worker before the older generation is forgotten.
-CACHE_WORDS = 300_000
+#: Pre-tokens kept in each worker before those not met for longest are forgotten, and the greatest length of one that is kept then.
+CACHE_WORDS, LONG_WORD = 400_000, 64
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
-#: Text bytes tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
-PIECE, PARTITION_BYTES, HOT_ROWS = 2 << 20, 128 << 20, 10_000
+#: Characters tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
+PIECE, PARTITION_BYTES, HOT_ROWS = 8 << 20, 128 << 20, 10_000
 #: Rows of texts that go to a worker at once: both sides hold them outside the heap.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -64,7 +64,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The low end has 63 bits and one for a carry; a word leaves it when the range falls below 31 bits.
 _U31, _U32 = np.uint64(31), np.uint64(32)
 _LOW, _FULL = np.uint64(1 << 31), np.uint64(1 << 63)
-_REST = np.uint64((1 << 31) - 1)
+_REST, _HALF = np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
 
 #: A list's state is 4 * places in use + where the last outcome was: the front, the next two places, further back, none.
 STATES = 4 * (WAYS + 1)
@@ -165,8 +165,7 @@ class _Model:
     """
 
     def __init__(self, lanes: int):
-        self.flat = np.full((lanes << LIST_BITS) * WAYS, FREE, np.uint16)
-        self.lists = self.flat.view(np.complex128)
+        self.lists = np.full((lanes << LIST_BITS) * WAYS, FREE, np.uint16).view(np.complex128)
         self.states = np.zeros(lanes << LIST_BITS, np.uint8)
         self.shares = np.tile(_SHARES[:, 1:-1].astype(np.int16), (lanes, 1)).reshape(-1).view(np.complex128)
         self.weights = np.tile(_WEIGHTS, lanes)
@@ -174,10 +173,13 @@ class _Model:
         self.last = np.zeros(lanes, np.int32)
         self.mark = np.zeros(lanes, np.uint32)  # what the symbol before the last adds to the hash
         lane = np.arange(lanes, dtype=np.int64)
-        self.list0, self.second0, self.state0, self.weight0, self.row0 = lane << LIST_BITS, lane << SECOND_BITS, lane * STATES, lane * (TOP + 1), lane * (WAYS + 2)
+        self.list0, self.second0, self.state0, self.weight0, self.row0 = lane << LIST_BITS, lane << SECOND_BITS, lane * STATES, lane * (TOP + 1), lane * 2 * WAYS + WAYS - 1
+        self.own0 = lane * WAYS
         self.eight = np.empty((lanes, 2), np.uint64)
-        self.bound = np.zeros((lanes, WAYS + 2), np.int32)
-        self.bound[:, -1] = ONE
+        # all bounds of a lane lie from its ``row0`` on: 0, the inner ones, and ONE, where the next lane begins
+        self.bound = np.zeros((lanes + 1) * 2 * WAYS, np.int16)
+        self.bound[:: 2 * WAYS] = ONE
+        self.inner = self.bound.view(np.complex128)[1::2]
 
     def predict(self, m: int) -> None:
         """Distributions of the first ``m`` lanes: bounds of order 1's shares, order 2's place in the list and weight."""
@@ -185,11 +187,13 @@ class _Model:
         self.at1 = self.list0[:m] + (last & ((1 << LIST_BITS) - 1))
         self.hash = last.view(np.uint32) * np.uint32(0x9E3779B1)
         self.at2 = self.second0[:m] + (((self.hash ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SECOND_BITS))
-        self.list = self.lists.take(self.at1).view(np.uint16)
+        self.rows = self.lists.take(self.at1)
+        self.list = self.rows.view(np.uint16)
         self.state = self.states.take(self.at1)
         self.row_at = self.state0[:m] + self.state
-        self.row = self.shares.take(self.row_at).view(np.int16)
-        self.bound[:m, 1:-1] = self.row.reshape(m, WAYS)
+        row = self.shares.take(self.row_at)
+        self.inner[:m] = row
+        self.row = row.view(np.int16)
         self.entry = self.second.take(self.at2)
         self.guess = self.entry >> 3
         self.place2 = self.place_of(self.guess)
@@ -215,9 +219,8 @@ class _Model:
     def bounds(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mixed lower bound and share of an outcome of each lane."""
         at = self.row0[: len(place)] + place
-        row = self.bound.reshape(-1)
-        low = ((row.take(at) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 < place)
-        high = ((row.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 <= place)
+        low = ((self.bound.take(at) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 < place)
+        high = ((self.bound.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 <= place)
         return low, high - low
 
     def outcome(self, value: np.ndarray) -> np.ndarray:
@@ -239,15 +242,20 @@ class _Model:
         same = self.guess == x
         fresh = (x << 3) | 1
         self.second[self.at2] = fresh + same * (self.run - (self.run == TOP))
-        at = self.at1 * WAYS
+        at = self.own0[:m]
         takes = at + _TAKES.take(move)
-        self.flat[at + _LEAVES.take(move)] = self.flat.take(takes)
-        self.flat[takes] = np.minimum(x, FREE)
+        self.list[at + _LEAVES.take(move)] = self.list.take(takes)
+        self.list[takes] = np.minimum(x, FREE)
+        self.lists[self.at1] = self.rows
         self.states[self.at1] = _NEXT.take(move)
         self.mark[:m] = self.hash >> np.uint32(7)
         self.last[:m] = x
 
 
+#: Blocks that are turned together.
+_TILE = 16
+
+
 class _Lanes:
     """Blocks by falling size, their active number at each step, and their frames' order 0."""
 
@@ -262,9 +270,8 @@ class _Lanes:
         self.base = (np.cumsum(width) - width)[own]
         self.bits = np.array([t.bits for t in tables], np.uint64)[own]
         self.shift = self.bits + np.uint64(SHARE_BITS)
-        # by base + symbol: the part of order 0; behind a frame's symbols stands the whole, for outcomes without order 0
-        self.freq = np.concatenate([[*t.freq, 1 << t.bits] for t in tables]).astype(np.uint64)
-        self.below = np.concatenate([[*t.below, 0] for t in tables]).astype(np.uint64)
+        # by base + symbol: the part of order 0, its lower bound in the high half; behind a frame's symbols stands the whole, for outcomes without order 0
+        self.zero = np.concatenate([np.append((t.below << 32) | t.freq, 1 << t.bits) for t in tables]).astype(np.uint64)
         self.hit = self.base + width[own] - 1
         self.whole = np.uint64(1) << self.bits
         self.inverse0 = np.array([0, *np.cumsum([1 << t.bits for t in tables])])[own]
@@ -273,17 +280,22 @@ class _Lanes:
 
     def by_step(self, symbols: np.ndarray) -> np.ndarray:
         """Symbols of the blocks one after the other as (steps x lanes)."""
-        out = np.zeros((len(self.order), self.top), np.int32)
-        for k, (a, n) in enumerate(zip(self.first.tolist(), self.sizes.tolist())):
-            out[k, :n] = symbols[a : a + n]
-        return np.ascontiguousarray(out.T)
+        out = np.zeros((self.top, len(self.order)), np.int32)
+        for k in range(0, len(self.order), _TILE):
+            some = np.zeros((min(_TILE, len(self.order) - k), self.top + _TILE), np.int32)  # rows of a width that does not fall on the same cache lines
+            for row, a, n in zip(some, self.first[k : k + _TILE].tolist(), self.sizes[k : k + _TILE].tolist()):
+                row[:n] = symbols[a : a + n]
+            out[:, k : k + _TILE] = some[:, : self.top].T
+        return out
 
     def by_block(self, steps: np.ndarray) -> np.ndarray:
         """The reverse."""
-        lanes = np.ascontiguousarray(steps.T)
         out = np.zeros(int(self.sizes.sum()), np.int32)
-        for k, (a, n) in enumerate(zip(self.first.tolist(), self.sizes.tolist())):
-            out[a : a + n] = lanes[k, :n]
+        for k in range(0, len(self.order), _TILE):
+            some = np.zeros((min(_TILE, len(self.order) - k), self.top + _TILE), np.int32)
+            some[:, : self.top] = steps[:, k : k + _TILE].T
+            for row, a, n in zip(some, self.first[k : k + _TILE].tolist(), self.sizes[k : k + _TILE].tolist()):
+                out[a : a + n] = row[:n]
         return out
 
 
@@ -308,8 +320,9 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tab
             place[x >= FREE] = _NONE
         cum, freq = (a.astype(np.uint64) for a in model.bounds(place))
         zero = np.where(place == _NONE, by.base[:m] + x, by.hit[:m])
-        cum = (cum << by.bits[:m]) + by.below.take(zero) * freq
-        freq *= by.freq.take(zero)
+        part = by.zero.take(zero)
+        cum = (cum << by.bits[:m]) + (part >> _U32) * freq
+        freq *= part & _HALF
         here = at[:m]
         r = span[:m] >> by.shift[:m]
         new = low[:m] + cum * r
@@ -370,8 +383,9 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, frame: np.ndarray, tabl
         zero = inverse.take(by.inverse0[:m] + part * none)
         x = np.where(none, zero, model.list.take(by.list0[:m] + np.minimum(place, WAYS - 1)))
         zero = np.where(none, by.base[:m] + zero, by.hit[:m])
-        cum += by.below.take(zero) * freq
-        freq *= by.freq.take(zero)
+        part = by.zero.take(zero)
+        cum += (part >> _U32) * freq
+        freq *= part & _HALF
         rest = ahead[:m] - cum * r
         r *= freq
         need = r < _LOW
@@ -499,8 +513,10 @@ class Encoder:
         self.width = np.zeros(max(known.values()) + 1, np.int64)  # bytes of each id: a character of the byte alphabet each
         for string, i in known.items():
             self.width[i] = len(string)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        # known pre-tokens, the place and number of the ids of each, their ids, and the call that last met each
+        self.words = pa.array([], pa.binary())
+        self.first, self.length, self.flat, self.met = (np.zeros(0, np.int32) for _ in range(4))
+        self.calls = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
@@ -525,23 +541,35 @@ class Encoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _look_up(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each distinct pre-token."""
-        get = self.young.get
-        found = [get(w) for w in words]
-        unknown = [i for i, f in enumerate(found) if f is None]
-        if unknown:
-            ask = []
-            for i in unknown:
-                if (hit := self.old.get(words[i])) is not None:
-                    found[i] = self.young[words[i]] = hit
-                else:
-                    ask.append(i)
-            for i, ids in zip(ask, self._ask([words[i] for i in ask])):
-                found[i] = self.young[words[i]] = ids
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = {w: i for w, i in self.young.items() if len(w) <= 64}, {}
-        return found
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of pre-tokens among the known ones, which the unknown join."""
+        known = len(self.words)
+        if known > CACHE_WORDS:
+            self._forget()
+            known = len(self.words)
+        both = pa.chunked_array([self.words, words]).dictionary_encode()  # the known ones come first, in their order
+        self.words = both.chunk(both.num_chunks - 1).dictionary
+        index = both.chunk(both.num_chunks - 1).indices.to_numpy()
+        if len(self.words) > known:
+            coded = self._ask(self.words.slice(known).to_pylist())
+            length = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+            self.first = np.append(self.first, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
+            self.length = np.append(self.length, length)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(coded), np.int32))
+            self.met = np.append(self.met, np.zeros(len(coded), np.int32))
+        self.calls += 1
+        self.met[index] = self.calls
+        return index
+
+    def _forget(self) -> None:
+        """Keeps the half of the known pre-tokens that was met last."""
+        size = np.diff(np.frombuffer(self.words.buffers()[1], np.int32)[self.words.offset :][: len(self.words) + 1])
+        kept = np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2]
+        kept = np.sort(kept[size[kept] <= LONG_WORD])
+        self.words = self.words.take(pa.array(kept))
+        at = _places(self.first[kept], self.length[kept])
+        self.flat, self.length, self.met = self.flat[at], self.length[kept], self.met[kept]
+        self.first = np.cumsum(self.length, dtype=np.int32) - self.length
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -562,18 +590,19 @@ class Encoder:
         else:
             lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
             offsets = np.append(lead[starts], len(raw))
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
-        coded = self._look_up(words.dictionary.to_pylist())
-        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        index = words.indices.to_numpy()
-        each = length[index]
-        end = np.cumsum(each)
-        ids = flat.take(np.repeat((np.cumsum(length) - length)[index] - (end - each), each) + np.arange(end[-1])).astype(np.int32)
-        cuts = np.append(0, end)[np.searchsorted(starts, begins + sizes)]
+        index = self._look_up(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
+        each = self.length.take(index)
+        ids = self.flat.take(_places(self.first.take(index), each))
+        cuts = np.append(0, np.cumsum(each))[np.searchsorted(starts, begins + sizes)]
         return np.split(ids, cuts[:-1])
 
 
+def _places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs that start at ``first``, one after the other."""
+    end = np.cumsum(length, dtype=np.int32)
+    return np.repeat(first - (end - length), length) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -583,6 +612,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _gathered(pieces):
+    """Ids and texts, nulls empty, of pieces taken together up to ``PIECE`` characters; a longer piece stays whole."""
+    keys, texts, size = [], [], 0
+    for piece in pieces:
+        more = [t or "" for t in piece.column("text").to_pylist()]
+        own = sum(map(len, more))
+        if texts and size + own > PIECE:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+        keys += piece.column("doc_id").to_pylist()
+        texts += more
+        size += own
+    if texts:
+        yield keys, texts
+
+
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))
 
 
@@ -626,8 +671,8 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), _DOCS, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "frame", "start", "n_tokens", "docs", "payload"])
 
-        for piece in chunks(batches, "text", PIECE):
-            for i, ids in zip(piece.column("doc_id").to_pylist(), e.encode([t or "" for t in piece.column("text").to_pylist()])):
+        for keys, texts in _gathered(chunks(batches, "text", PIECE)):
+            for i, ids in zip(keys, e.encode(texts)):
                 members.append({"doc_id": i, "n_tokens": len(ids) + 1})
                 held += [ids, end]
                 size += len(ids) + 1

@@ -478,6 +478,30 @@ def test_token_ids_match_the_library():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_known_pretokens_are_kept_in_arrays_and_forgotten(monkeypatch):
+    """Whole batches are looked up at once; what was met last stays, however often pre-tokens are forgotten."""
+    library, e = Tokenizer.from_file(V6), op06_tokens.Encoder(V6)
+    monkeypatch.setattr(op06_tokens, "CACHE_WORDS", 300)
+    r, forgotten = random.Random(8), 0
+    for n in range(60):
+        texts = strings(30, 100 + n, PLAIN) + [" always here", "x" * 200, " ".join("".join(r.choice("abcé") for _ in range(4)) for _ in range(40)), ""]
+        before = len(e.words)
+        for t, ids in zip(texts, e.encode(texts)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+        forgotten += len(e.words) < before
+        assert len(set(e.words.to_pylist())) == len(e.words) == len(e.first) == len(e.length) == len(e.met) and e.length.sum() == len(e.flat)
+        assert b" always" in e.words.to_pylist()
+    assert forgotten > 5
+
+
+def test_pieces_are_gathered_whole(monkeypatch):
+    monkeypatch.setattr(op06_tokens, "PIECE", 10)
+    texts = ["abc", None, "", "defghij", "k", "l" * 40, "m", "é" * 9, "no"]
+    pieces = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    got = list(op06_tokens._gathered(iter(pieces)))
+    assert [(k, "".join(t)) for k, t in got] == [([0, 1, 2, 3], "abcdefghij"), ([4], "k"), ([5], "l" * 40), ([6, 7], "m" + "é" * 9), ([8], "no")]
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(1)
     cases = [r.integers(0, op06_tokens.MAX_ID + 1, 400), np.zeros(20_000, np.int64), r.integers(0, 5, 9000), np.full(1, op06_tokens.MAX_ID), r.zipf(1.3, 30_000) % 50_000, np.tile(r.integers(0, 999, 700), 12), np.arange(70_000) % 69_000]
