@@ -56,7 +56,7 @@ CACHE_WORDS, LONG_WORD = 400_000, 64
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
 #: Characters tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
-PIECE, PARTITION_BYTES, HOT_ROWS = 8 << 20, 128 << 20, 10_000
+PIECE, PARTITION_BYTES, HOT_ROWS = 4 << 20, 128 << 20, 10_000
 #: Rows of texts that go to a worker at once: both sides hold them outside the heap.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -221,13 +221,13 @@ class _Model:
         at = self.row0[: len(place)] + place
         low = ((self.bound.take(at) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 < place)
         high = ((self.bound.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 <= place)
-        return low, high - low
+        return low.astype(np.uint64), (high - low).astype(np.uint64)
 
     def outcome(self, value: np.ndarray) -> np.ndarray:
         """The outcome whose mixed share holds ``value``."""
-        low, share = self.bounds(self.place2)
-        high = low + share
-        behind = value >= high
+        at = self.row0[: len(value)] + self.place2
+        low = (self.bound.take(at) * self.rest) >> SHARE_BITS
+        behind = value >= ((self.bound.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight
         # without order 2's part, the greatest bound of order 1 that a place may start at
         alone = (((value - self.weight * behind) << SHARE_BITS) | (ONE - 1)).view(np.uint32) // self.rest.view(np.uint32)
         place = np.bitwise_count((self.row.view(np.uint16) <= self.eightfold(alone)).view(np.uint64)).astype(np.int64)
@@ -266,17 +266,15 @@ class _Lanes:
         self.top = int(self.sizes[0])
         self.active = np.searchsorted(-self.sizes, -np.arange(self.top), side="left").tolist()
         own = frame[self.order]
-        width = np.array([len(t.ids) + 1 for t in tables])
+        width = np.array([len(t.ids) for t in tables])
         self.base = (np.cumsum(width) - width)[own]
         self.bits = np.array([t.bits for t in tables], np.uint64)[own]
         self.shift = self.bits + np.uint64(SHARE_BITS)
-        # by base + symbol: the part of order 0, its lower bound in the high half; behind a frame's symbols stands the whole, for outcomes without order 0
-        self.zero = np.concatenate([np.append((t.below << 32) | t.freq, 1 << t.bits) for t in tables]).astype(np.uint64)
-        self.hit = self.base + width[own] - 1
+        # by base + symbol: the part of order 0, its lower bound in the high half
+        self.zero = np.concatenate([(t.below << 32) | t.freq for t in tables]).astype(np.uint64)
         self.whole = np.uint64(1) << self.bits
         self.inverse0 = np.array([0, *np.cumsum([1 << t.bits for t in tables])])[own]
         self.wide = int(width.max()) > FREE
-        self.list0 = np.arange(len(sizes), dtype=np.int64) * WAYS
 
     def by_step(self, symbols: np.ndarray) -> np.ndarray:
         """Symbols of the blocks one after the other as (steps x lanes)."""
@@ -318,21 +316,27 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tab
         place = model.place_of(x)
         if by.wide:
             place[x >= FREE] = _NONE
-        cum, freq = (a.astype(np.uint64) for a in model.bounds(place))
-        zero = np.where(place == _NONE, by.base[:m] + x, by.hit[:m])
-        part = by.zero.take(zero)
-        cum = (cum << by.bits[:m]) + (part >> _U32) * freq
-        freq *= part & _HALF
-        here = at[:m]
+        cum, freq = model.bounds(place)
         r = span[:m] >> by.shift[:m]
-        new = low[:m] + cum * r
-        r *= freq
-        words[here] = new >> _U31
-        need = r < _LOW
-        # a word that has left takes its carry with it
-        low[:m] = np.where(need, (new & _REST) << _U32, new)
-        span[:m] = r << (need * _U32)
-        here += need * lanes
+        bits = by.bits[:m]
+        cum <<= bits
+        share = freq << bits
+        none = np.flatnonzero(place == _NONE)  # these go on to order 0
+        part, own = by.zero.take(by.base.take(none) + x.take(none)), freq.take(none)
+        cum[none] += (part >> _U32) * own
+        share[none] = (part & _HALF) * own
+        new = low[:m]
+        cum *= r
+        new += cum
+        r *= share
+        span[:m] = r
+        need = np.flatnonzero(r < _LOW)
+        # a word that leaves takes its carry with it
+        here, some = at.take(need), new.take(need)
+        words[here] = some >> _U31
+        low[need] = (some & _REST) << _U32
+        span[need] = r.take(need) << _U32
+        at[need] = here + lanes
         model.update(m, x, place)
     for _ in range(2):  # the rest of the low end
         words[at] = low >> _U31
@@ -362,11 +366,11 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, frame: np.ndarray, tabl
     steps = np.zeros((by.top, lanes), np.int32)
     length = np.array([len(coded[i]) // 4 for i in by.order.tolist()], np.int64)
     start = np.cumsum(length) - length
-    words = np.frombuffer(b"".join([coded[i] for i in by.order.tolist()]) + b"\0" * 16, "<u4").astype(np.uint64)
+    words = np.frombuffer(b"".join([coded[i] for i in by.order.tolist()]) + b"\0" * 16, "<u4")
     model = _Model(lanes)
     # the code less the low end has 63 bits: all of a word and all but the last bit of the next, which waits in ``spare``
-    second = words.take(start + 1)
-    ahead, spare = (words.take(start) << _U31) | (second >> np.uint64(1)), second & np.uint64(1)
+    second = words.take(start + 1).astype(np.uint64)
+    ahead, spare = (words.take(start).astype(np.uint64) << _U31) | (second >> np.uint64(1)), second & np.uint64(1)
     at, span = start + 2, np.full(lanes, _FULL, np.uint64)
     limit = (np.uint64(1) << by.shift) - np.uint64(1)
     for t, m in enumerate(by.active):
@@ -375,26 +379,30 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, frame: np.ndarray, tabl
         r = span[:m] >> by.shift[:m]
         value = np.minimum(ahead[:m] // r, limit[:m])
         place = model.outcome((value >> bits).astype(np.int32))
-        cum, freq = (a.astype(np.uint64) for a in model.bounds(place))
+        cum, freq = model.bounds(place)
         cum <<= bits
-        none = place == _NONE
-        # of lanes without a hit: the part of order 0 that holds the value
-        part = np.minimum((value - cum) // freq, by.whole[:m] - np.uint64(1)).astype(np.int64)
-        zero = inverse.take(by.inverse0[:m] + part * none)
-        x = np.where(none, zero, model.list.take(by.list0[:m] + np.minimum(place, WAYS - 1)))
-        zero = np.where(none, by.base[:m] + zero, by.hit[:m])
-        part = by.zero.take(zero)
-        cum += (part >> _U32) * freq
-        freq *= part & _HALF
-        rest = ahead[:m] - cum * r
-        r *= freq
-        need = r < _LOW
-        here = at[:m]
-        word = words.take(np.minimum(here, len(words) - 1))
-        ahead[:m] = np.where(need, (rest << _U32) | (spare[:m] << _U31) | (word >> np.uint64(1)), rest)
-        np.copyto(spare[:m], word & np.uint64(1), where=need)
-        span[:m] = r << (need * _U32)
-        here += need
+        share = freq << bits
+        x = model.list.take(model.own0[:m] + np.minimum(place, WAYS - 1)).astype(np.int32)
+        none = np.flatnonzero(place == _NONE)  # of these the part of order 0 that holds the value
+        own, begin = freq.take(none), cum.take(none)
+        part = np.minimum((value.take(none) - begin) // own, by.whole.take(none) - np.uint64(1)).astype(np.int64)
+        zero = inverse.take(by.inverse0.take(none) + part)
+        x[none] = zero
+        part = by.zero.take(by.base.take(none) + zero)
+        cum[none] = begin + (part >> _U32) * own
+        share[none] = (part & _HALF) * own
+        cum *= r
+        rest = ahead[:m]
+        rest -= cum
+        r *= share
+        span[:m] = r
+        need = np.flatnonzero(r < _LOW)
+        here = at.take(need)
+        word = words.take(np.minimum(here, len(words) - 1)).astype(np.uint64)
+        ahead[need] = (rest.take(need) << _U32) | (spare.take(need) << _U31) | (word >> np.uint64(1))
+        spare[need] = word & np.uint64(1)
+        span[need] = r.take(need) << _U32
+        at[need] = here + 1
         steps[t, :m] = x
         model.update(m, x, place)
     return by.by_block(steps)
@@ -590,6 +598,8 @@ class Encoder:
         else:
             lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
             offsets = np.append(lead[starts], len(raw))
+            del lead
+        del joined, points
         index = self._look_up(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
         each = self.length.take(index)
         ids = self.flat.take(_places(self.first.take(index), each))
@@ -662,6 +672,7 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             nonlocal frame, start
             if not waiting:
                 return None
+            pa.default_memory_pool().release_unused()
             rows = []
             for (own, ids), payload in zip(waiting, encode_frames([ids for _, ids in waiting])):
                 rows.append((part, frame, start, len(ids), own, payload))
