@@ -27,6 +27,8 @@ a frame of their own; an empty table gives no frames; extra columns are not read
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import zlib
 from array import array
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltfield.llm._batches import chunks, table_bytes, written
+from meltfield.llm._words import mix
 from meltfield.llm.op07_bpe import LETTER, WHITE, classes
 
 #: Ids in a block, ids from which a frame is closed, ids coded together.
@@ -51,8 +54,10 @@ ONE = 1 << SHARE_BITS
 MOST = ONE - ONE // LEAST
 END_ID = 0
 MAGIC = b"MFT2"
-#: Pre-tokens kept in each worker before those not met for longest are forgotten, and the greatest length of one that is kept then.
-CACHE_WORDS, LONG_WORD = 400_000, 64
+#: Pre-tokens kept in each worker before those met in the fewest calls are forgotten, and the greatest length of one that is kept then.
+CACHE_WORDS, LONG_WORD = 800_000, 64
+#: Characters split, and pre-tokens joined, at once: their arrays stay in the processor's cache.
+SPLIT, SPLIT_WORDS = 1 << 16, 1 << 15
 #: Unknown pre-tokens in one call of the library.
 JOINED = 500
 #: Characters tokenised at once; input bytes for which there is a partition; rows of one id from which they are dealt by their texts.
@@ -521,9 +526,10 @@ class Encoder:
         self.width = np.zeros(max(known.values()) + 1, np.int64)  # bytes of each id: a character of the byte alphabet each
         for string, i in known.items():
             self.width[i] = len(string)
-        # known pre-tokens, the place and number of the ids of each, their ids, and the call that last met each
-        self.words = pa.array([], pa.binary())
-        self.first, self.length, self.flat, self.met = (np.zeros(0, np.int32) for _ in range(4))
+        # known pre-tokens, their hashes, the place and number of the ids of each, their ids, the call that last met each, and in how many it was met
+        self.words, self.keys = pa.array([], pa.binary()), np.zeros(0, np.uint64)
+        self.first, self.length, self.flat, self.met, self.often = (np.zeros(0, np.int32) for _ in range(5))
+        self.slots = np.zeros(0, np.int32)  # an open hash table of the places of the known, -1 if free
         self.calls = 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -549,35 +555,90 @@ class Encoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _look_up(self, words: pa.Array) -> np.ndarray:
-        """Places of pre-tokens among the known ones, which the unknown join."""
-        known = len(self.words)
-        if known > CACHE_WORDS:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of hashes among the known ones, -1 if not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._slot(keys)
+        index = self.slots.take(at)
+        left = np.flatnonzero((index >= 0) & (self.keys.take(index, mode="clip") != keys))
+        while len(left):
+            at[left] = next_ = (at[left] + 1) & (len(self.slots) - 1)
+            index[left] = found = self.slots.take(next_)
+            left = left[(found >= 0) & (self.keys.take(found, mode="clip") != keys.take(left))]
+        return index
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _enter(self, begin: int) -> None:
+        """Puts the known from place ``begin`` on into the table, which is kept less than half full."""
+        if 2 * len(self.keys) >= len(self.slots):
+            self.slots = np.zeros(1 << max(12, (4 * len(self.keys)).bit_length()), np.int32)
+            begin = 0
+        if not begin:
+            self.slots.fill(-1)
+        place = np.arange(begin, len(self.keys), dtype=np.int32)
+        at = self._slot(self.keys[begin:])
+        while len(place):
+            free = self.slots.take(at) < 0
+            self.slots[at[free]] = place[free]
+            left = self.slots.take(at) != place
+            place, at = place[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _look_up(self, words: pa.Array, keys: np.ndarray) -> np.ndarray | None:
+        """Places of pre-tokens among the known ones, which the unknown join; nothing if two of them share a hash."""
+        if len(self.words) > CACHE_WORDS:
             self._forget()
-            known = len(self.words)
-        both = pa.chunked_array([self.words, words]).dictionary_encode()  # the known ones come first, in their order
-        self.words = both.chunk(both.num_chunks - 1).dictionary
-        index = both.chunk(both.num_chunks - 1).indices.to_numpy()
-        if len(self.words) > known:
-            coded = self._ask(self.words.slice(known).to_pylist())
+        known = len(self.words)
+        index = self._find(keys)
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            fresh, first, place = np.unique(keys.take(unknown), return_index=True, return_inverse=True)
+            index[unknown] = known + place
+            own = words.take(pa.array(unknown.take(first)))
+            ends, letters = _bytes(own)
+            ends, letters = ends.tolist(), letters.tobytes()
+            coded = self._ask([letters[a:b] for a, b in zip(ends, ends[1:])])
             length = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+            self.words, self.keys = pa.concat_arrays([self.words, own]), np.append(self.keys, fresh)
             self.first = np.append(self.first, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
             self.length = np.append(self.length, length)
             self.flat = np.append(self.flat, np.frombuffer(b"".join(coded), np.int32))
-            self.met = np.append(self.met, np.zeros(len(coded), np.int32))
+            self.met, self.often = (np.append(x, np.zeros(len(coded), np.int32)) for x in (self.met, self.often))
+            self._enter(known)
         self.calls += 1
-        self.met[index] = self.calls
-        return index
+        now = np.zeros(len(self.words), bool)
+        now[index] = True
+        self.met[now] = self.calls
+        self.often += now
+        return index if self._same(words, index) else None
+
+    def _same(self, words: pa.Array, index: np.ndarray) -> bool:
+        """Whether each pre-token has the bytes of its place; hashes of up to ``SURE`` bytes tell that."""
+        offsets, raw = _bytes(words)
+        known, letters = _bytes(self.words)
+        own, size = np.diff(offsets), np.diff(known)
+        for k in range(0, len(index), SPLIT_WORDS):
+            some, each = index[k : k + SPLIT_WORDS], own[k : k + SPLIT_WORDS]
+            if not np.array_equal(size.take(some), each):
+                return False
+            long = np.flatnonzero(each > SURE)
+            each = each.take(long)
+            if not np.array_equal(letters.take(_places(known.take(some.take(long)), each)), raw.take(_places(offsets.take(k + long), each))):
+                return False
+        return True
 
     def _forget(self) -> None:
-        """Keeps the half of the known pre-tokens that was met last."""
-        size = np.diff(np.frombuffer(self.words.buffers()[1], np.int32)[self.words.offset :][: len(self.words) + 1])
-        kept = np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2]
+        """Keeps the half of the known pre-tokens that was met in most calls, the older of which count half, and of equal ones those met last."""
+        size = np.diff(_bytes(self.words)[0])
+        kept = np.lexsort((-self.met, -self.often))[: CACHE_WORDS // 2]
         kept = np.sort(kept[size[kept] <= LONG_WORD])
-        self.words = self.words.take(pa.array(kept))
+        self.words, self.keys = self.words.take(pa.array(kept)), self.keys[kept]
         at = _places(self.first[kept], self.length[kept])
-        self.flat, self.length, self.met = self.flat[at], self.length[kept], self.met[kept]
+        self.flat, self.length, self.met, self.often = self.flat[at], self.length[kept], self.met[kept], (self.often[kept] + 1) >> 1
         self.first = np.cumsum(self.length, dtype=np.int32) - self.length
+        self._enter(0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -585,26 +646,63 @@ class Encoder:
         if not all(plain):
             own = iter(self.encode([t for t, p in zip(texts, plain) if p]))
             return [next(own) if p else self._ids(t) for t, p in zip(texts, plain)]
-        joined = "".join(texts)
-        if not joined:
+        if not any(texts):
             return [np.zeros(0, np.int32)] * len(texts)
-        raw = joined.encode()
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begins = np.cumsum(sizes) - sizes
-        starts = np.flatnonzero(pretokens(points, begins[sizes > 0]))
-        if len(raw) == len(points):
-            offsets = np.append(starts, len(raw))
-        else:
-            lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            offsets = np.append(lead[starts], len(raw))
-            del lead
-        del joined, points
-        index = self._look_up(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
-        each = self.length.take(index)
-        ids = self.flat.take(_places(self.first.take(index), each))
-        cuts = np.append(0, np.cumsum(each))[np.searchsorted(starts, begins + sizes)]
-        return np.split(ids, cuts[:-1])
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SPLIT)) + 1
+        raw, size, keys, count = zip(*(_split(texts[a:b], sizes[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)])))
+        raw, offsets = b"".join(raw), np.append(np.int32(0), np.cumsum(np.concatenate(size), dtype=np.int32))
+        index = self._look_up(pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), np.concatenate(keys))
+        if index is None:
+            return [self._ids(t) for t in texts]
+        parts, each = [], self.length.take(index)
+        for k in range(0, len(index), SPLIT_WORDS):
+            parts.append(self.flat.take(_places(self.first.take(index[k : k + SPLIT_WORDS]), each[k : k + SPLIT_WORDS])))
+        cuts = np.append(0, np.cumsum(each))[np.cumsum(np.concatenate(count))]
+        return np.split(np.concatenate(parts), cuts[:-1])
+
+
+def _split(texts: list[str], sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, the bytes and the hash of each pre-token, and how many pre-tokens each text has."""
+    joined = "".join(texts)
+    raw = joined.encode()
+    begins = np.cumsum(sizes) - sizes
+    new = pretokens(np.frombuffer(joined.encode("utf-32-le"), np.uint32), begins[sizes > 0])
+    starts = np.flatnonzero(new)
+    count = np.diff(np.searchsorted(starts, np.append(begins, len(joined))))
+    if len(raw) > len(joined):
+        lead = np.zeros(len(raw), bool)
+        lead[(np.frombuffer(raw, np.uint8) & 0xC0) != 0x80] = new
+        starts = np.flatnonzero(lead)
+    size = np.diff(starts, append=len(raw))
+    return raw, size, word_keys(raw, starts, size), count
+
+
+#: Words of so many bytes have hashes of their own.
+SURE = 7
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_keys(raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its eight-byte parts; of words of more than 256 bytes one by one."""
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer=raw + bytes(8), strides=(1,))  # the eight bytes from each byte on
+    out = mix((eight[starts] & _FIRST.take(np.minimum(size, 8))) ^ (size.astype(np.uint64) << np.uint64(56)))
+    long = np.flatnonzero(size > 256)
+    active, k = np.flatnonzero((size > 8) & (size <= 256)), 8
+    while len(active):
+        left = size[active] - k
+        out[active] = mix((out[active] ^ (eight[starts[active] + k] & _FIRST.take(np.minimum(left, 8)))) * np.uint64(0xD6E8FEB86659FD93))
+        active, k = active[left > 8], k + 8
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + size[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary array."""
+    data = words.buffers()[2]
+    return np.frombuffer(words.buffers()[1] or bytes(4), np.int32)[words.offset :][: len(words) + 1], np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
 def _places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -656,6 +754,7 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     ordered = chosen.repartitionByRange(parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
 
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads of the library take CPU from the others
         part, e = TaskContext.get().partitionId(), encoder(vocabulary)
         end = np.array([END_ID], np.int32)
         frame = start = 0

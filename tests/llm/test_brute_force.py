@@ -494,6 +494,43 @@ def test_known_pretokens_are_kept_in_arrays_and_forgotten(monkeypatch):
     assert forgotten > 5
 
 
+def test_common_pretokens_are_given_to_the_library_once(monkeypatch):
+    """Those met in many calls stay, though a call brings more new ones than are kept."""
+    library, e = Tokenizer.from_file(V6), op06_tokens.Encoder(V6)
+    monkeypatch.setattr(op06_tokens, "CACHE_WORDS", 300)
+    asked, ask = [], e._ask
+    monkeypatch.setattr(e, "_ask", lambda words: asked.extend(words) or ask(words))
+    common, r = "".join(f" common{chr(97 + i)}é" for i in range(26)), random.Random(4)
+    for _ in range(12):
+        for text in (common, common, "".join(f" {''.join(r.choice('abcdefghij') for _ in range(9))}" for _ in range(400))):
+            assert e.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(w for w in asked if w.startswith(b" common")) == sorted(f" common{chr(97 + i)}é".encode() for i in range(26))
+
+
+def test_pretokens_of_one_hash_are_told_apart(monkeypatch):
+    library, texts = Tokenizer.from_file(V6), strings(50, 77, PLAIN) + ["unequal words, unequaX words", "x" * 300 + " " + "x" * 299 + "y", "\0 a\0 a"]
+    own = op06_tokens.word_keys
+    for keys in (own, lambda *x: np.where(x[2] > op06_tokens.SURE, np.uint64(7), own(*x)), lambda *x: own(*x) >> np.uint64(62) * (x[2] > op06_tokens.SURE)):
+        monkeypatch.setattr(op06_tokens, "word_keys", keys)
+        e = op06_tokens.Encoder(V6)
+        for _ in range(2):
+            for t, ids in zip(texts, e.encode(texts)):
+                assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    every = [bytes(x) for n in (1, 2) for x in itertools.product(range(0, 256, 5), repeat=n)] + [b"\0" * n for n in range(3, 8)]
+    size = np.fromiter(map(len, every), np.int64)
+    monkeypatch.undo()
+    assert len(np.unique(op06_tokens.word_keys(b"".join(every), np.cumsum(size) - size, size))) == len(every)
+
+
+def test_pretokens_of_blocks_of_texts(monkeypatch):
+    library, texts = Tokenizer.from_file(V6), strings(400, 31, PLAIN) + ["", "", "é" * 40, "", "a b"]
+    for split, words in ((1, 1), (7, 3), (50, 1000)):
+        monkeypatch.setattr(op06_tokens, "SPLIT", split)
+        monkeypatch.setattr(op06_tokens, "SPLIT_WORDS", words)
+        for t, ids in zip(texts, op06_tokens.Encoder(V6).encode(texts)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_pieces_are_gathered_whole(monkeypatch):
     monkeypatch.setattr(op06_tokens, "PIECE", 10)
     texts = ["abc", None, "", "defghij", "k", "l" * 40, "m", "é" * 9, "no"]
