@@ -166,16 +166,17 @@ FREE = 0xFFFF
 class _Model:
     """Orders 1 and 2 of many independent blocks, coded in step.
 
-    A list and the inner bounds of its shares are rows of eight 16-bit numbers; rows are moved as one 16-byte value each.
+    A list and the inner bounds of its shares are rows of eight 16-bit numbers; rows are moved as one 16-byte value each.  What
+    is taken from the tables becomes 64-bit numbers, and conditions become masks of all bits or none, as numpy is slow on mixed types.
     """
 
     def __init__(self, lanes: int):
         self.lists = np.full((lanes << LIST_BITS) * WAYS, FREE, np.uint16).view(np.complex128)
         self.states = np.zeros(lanes << LIST_BITS, np.uint8)
         self.shares = np.tile(_SHARES[:, 1:-1].astype(np.int16), (lanes, 1)).reshape(-1).view(np.complex128)
-        self.weights = np.tile(_WEIGHTS, lanes)
+        self.weights = np.tile(_WEIGHTS.astype(np.int64), lanes)
         self.second = np.full(lanes << SECOND_BITS, FREE - 1 << 3, np.int32)  # symbol * 8 + run of hits
-        self.last = np.zeros(lanes, np.int32)
+        self.last = np.zeros(lanes, np.int64)
         self.mark = np.zeros(lanes, np.uint32)  # what the symbol before the last adds to the hash
         lane = np.arange(lanes, dtype=np.int64)
         self.list0, self.second0, self.state0, self.weight0, self.row0 = lane << LIST_BITS, lane << SECOND_BITS, lane * STATES, lane * (TOP + 1), lane * 2 * WAYS + WAYS - 1
@@ -190,28 +191,28 @@ class _Model:
         """Distributions of the first ``m`` lanes: bounds of order 1's shares, order 2's place in the list and weight."""
         last = self.last[:m]
         self.at1 = self.list0[:m] + (last & ((1 << LIST_BITS) - 1))
-        self.hash = last.view(np.uint32) * np.uint32(0x9E3779B1)
-        self.at2 = self.second0[:m] + (((self.hash ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SECOND_BITS))
+        self.hash = last.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.at2 = self.second0[:m] + (((self.hash ^ self.mark[:m]) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SECOND_BITS)).astype(np.int64)
         self.rows = self.lists.take(self.at1)
         self.list = self.rows.view(np.uint16)
-        self.state = self.states.take(self.at1)
+        self.state = self.states.take(self.at1).astype(np.int64)
         self.row_at = self.state0[:m] + self.state
         row = self.shares.take(self.row_at)
         self.inner[:m] = row
         self.row = row.view(np.int16)
-        self.entry = self.second.take(self.at2)
-        self.guess = self.entry >> 3
+        entry = self.second.take(self.at2).astype(np.int64)
+        self.guess = entry >> 3
         self.place2 = self.place_of(self.guess)
-        self.run = self.entry & TOP
-        self.guessed = self.place2 < _NONE
-        self.weight_at = self.weight0[:m] + self.run * self.guessed
+        self.run = entry & TOP
+        self.guessed = (self.place2 - _NONE) >> 63
+        self.weight_at = self.weight0[:m] + (self.run & self.guessed)
         self.weight = self.weights.take(self.weight_at)
         self.rest = ONE - self.weight
 
     def eightfold(self, x: np.ndarray) -> np.ndarray:
         """The low 16 bits of each number, eight times."""
         out = self.eight[: len(x)]
-        four = x.astype(np.uint16) * _FOURFOLD
+        four = (x & 0xFFFF).astype(np.uint64) * _FOURFOLD
         out[:, 0] = four
         out[:, 1] = four
         return out.reshape(-1).view(np.uint16)
@@ -224,36 +225,37 @@ class _Model:
     def bounds(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mixed lower bound and share of an outcome of each lane."""
         at = self.row0[: len(place)] + place
-        low = ((self.bound.take(at) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 < place)
-        high = ((self.bound.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight * (self.place2 <= place)
-        return low.astype(np.uint64), (high - low).astype(np.uint64)
+        before = self.place2 - place
+        low = ((self.bound.take(at).astype(np.int64) * self.rest) >> SHARE_BITS) + (self.weight & (before >> 63))
+        high = ((self.bound.take(at + 1).astype(np.int64) * self.rest) >> SHARE_BITS) + (self.weight & ((before - 1) >> 63))
+        return low.view(np.uint64), (high - low).view(np.uint64)
 
     def outcome(self, value: np.ndarray) -> np.ndarray:
         """The outcome whose mixed share holds ``value``."""
         at = self.row0[: len(value)] + self.place2
-        low = (self.bound.take(at) * self.rest) >> SHARE_BITS
-        behind = value >= ((self.bound.take(at + 1) * self.rest) >> SHARE_BITS) + self.weight
+        low = (self.bound.take(at).astype(np.int64) * self.rest) >> SHARE_BITS
+        high = ((self.bound.take(at + 1).astype(np.int64) * self.rest) >> SHARE_BITS) + self.weight
+        own = ((low - 1 - value) & (value - high)) >> 63  # order 2's place
         # without order 2's part, the greatest bound of order 1 that a place may start at
-        alone = (((value - self.weight * behind) << SHARE_BITS) | (ONE - 1)).view(np.uint32) // self.rest.view(np.uint32)
+        alone = (((value - (self.weight & ~((value - high) >> 63))) << SHARE_BITS) | (ONE - 1)).astype(np.uint32) // self.rest.astype(np.uint32)
         place = np.bitwise_count((self.row.view(np.uint16) <= self.eightfold(alone)).view(np.uint64)).astype(np.int64)
-        return np.where(behind | (value < low), place, self.place2)
+        return place ^ ((place ^ self.place2) & own)
 
     def update(self, m: int, x: np.ndarray, place: np.ndarray) -> None:
         """Learns that ``x`` came, at ``place`` of the list."""
-        move = self.state * np.int64(WAYS + 1) + place
+        move = self.state * (WAYS + 1) + place
         self.shares[self.row_at] = (self.row + ((_TARGET.take(place).view(np.int16) - self.row) >> LEARN)).view(np.complex128)
-        right = (self.place2 == place) & self.guessed
-        self.weights[self.weight_at] = self.weight + ((right * np.int32(MOST) - self.weight) >> WEIGH)
-        same = self.guess == x
-        fresh = (x << 3) | 1
-        self.second[self.at2] = fresh + same * (self.run - (self.run == TOP))
+        right = (((self.place2 ^ place) - 1) >> 63) & self.guessed
+        self.weights[self.weight_at] = self.weight + (((right & MOST) - self.weight) >> WEIGH)
+        same = ((self.guess ^ x) - 1) >> 63
+        self.second[self.at2] = (((x << 3) | 1) + (same & np.minimum(self.run, TOP - 1))).astype(np.int32)
         at = self.own0[:m]
         takes = at + _TAKES.take(move)
         self.list[at + _LEAVES.take(move)] = self.list.take(takes)
-        self.list[takes] = np.minimum(x, FREE)
+        self.list[takes] = np.minimum(x, FREE).astype(np.uint16)
         self.lists[self.at1] = self.rows
         self.states[self.at1] = _NEXT.take(move)
-        self.mark[:m] = self.hash >> np.uint32(7)
+        np.right_shift(self.hash, np.uint32(7), out=self.mark[:m])
         self.last[:m] = x
 
 
@@ -316,7 +318,7 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, frame: np.ndarray, tab
     words = np.zeros(height * lanes, np.uint64)  # a word holds its carry until the end
     at = np.arange(lanes, dtype=np.int64)
     for t, m in enumerate(by.active):
-        x = steps[t, :m]
+        x = steps[t, :m].astype(np.int64)
         model.predict(m)
         place = model.place_of(x)
         if by.wide:
@@ -383,15 +385,15 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, frame: np.ndarray, tabl
         bits = by.bits[:m]
         r = span[:m] >> by.shift[:m]
         value = np.minimum(ahead[:m] // r, limit[:m])
-        place = model.outcome((value >> bits).astype(np.int32))
+        place = model.outcome((value >> bits).view(np.int64))
         cum, freq = model.bounds(place)
         cum <<= bits
         share = freq << bits
-        x = model.list.take(model.own0[:m] + np.minimum(place, WAYS - 1)).astype(np.int32)
+        x = model.list.take(model.own0[:m] + np.minimum(place, WAYS - 1)).astype(np.int64)
         none = np.flatnonzero(place == _NONE)  # of these the part of order 0 that holds the value
         own, begin = freq.take(none), cum.take(none)
-        part = np.minimum((value.take(none) - begin) // own, by.whole.take(none) - np.uint64(1)).astype(np.int64)
-        zero = inverse.take(by.inverse0.take(none) + part)
+        part = np.minimum((value.take(none) - begin) // own, by.whole.take(none) - np.uint64(1)).view(np.int64)
+        zero = inverse.take(by.inverse0.take(none) + part).astype(np.int64)
         x[none] = zero
         part = by.zero.take(by.base.take(none) + zero)
         cum[none] = begin + (part >> _U32) * own
@@ -805,27 +807,33 @@ def write(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
 
 def documents_of(batches, offsets: dict[int, int]):
-    """Batches of the documents of written frames, one a frame; frames are decoded together."""
+    """Batches of the documents of written frames, one a frame; frames are decoded together.
+
+    A step over few blocks takes as long as one over many, so the last frames join those before unless they are half as many.
+    """
     _ENCODERS.clear()  # a worker that has written holds a vocabulary and its pre-tokens
-    waiting, size = [], 0
 
-    def flush():
-        for (part, begin, own, _), mine in zip(waiting, decode_frames([p for _, _, _, p in waiting])):
+    def documents(frames):
+        for (part, begin, own, _, _), mine in zip(frames, decode_frames([f[3] for f in frames])):
             count = np.array([d["n_tokens"] for d in own], np.int64)
             end = np.cumsum(count)
             raw = mine.astype("<u4").tobytes()
             payload = [raw[4 * a : 4 * b] for a, b in zip((end - count).tolist(), end.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([d["doc_id"] for d in own], pa.int64()), pa.array(offsets[part] + begin + end - count), pa.array(count), pa.array(payload, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
+    waiting, size = [], 0
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "docs", "payload", "n_tokens"))):
-            waiting.append(row[:4])
+            waiting.append(row)
             size += row[4]
-            if size >= TOGETHER:
-                yield from flush()
-                waiting, size = [], 0
+            if size >= TOGETHER + TOGETHER // 2:
+                k = int(np.searchsorted(np.cumsum([f[4] for f in waiting]), TOGETHER)) + 1
+                first, waiting = waiting[:k], waiting[k:]
+                size = sum(f[4] for f in waiting)
+                yield from documents(first)
+                del first
     if waiting:
-        yield from flush()
+        yield from documents(waiting)
 
 
 def read(frames: DataFrame) -> DataFrame:

@@ -633,6 +633,20 @@ def test_documents_of_frames_leave_one_frame_at_a_time():
     assert b"".join(d["ids"] for d in got) == np.concatenate(frames).astype("<u4").tobytes()
 
 
+def test_the_last_frames_are_decoded_with_those_before(monkeypatch):
+    """Frames leave in order, all of them, and a rest of less than half a group is no group of its own."""
+    calls, decode = [], op06_tokens.decode_frames
+    monkeypatch.setattr(op06_tokens, "TOGETHER", 1000)
+    monkeypatch.setattr(op06_tokens, "decode_frames", lambda payloads: calls.append(len(payloads)) or decode(payloads))
+    for sizes, want in (([100] * 13, [13]), ([100] * 14, [14]), ([100] * 15, [10, 5]), ([100] * 27, [10, 10, 7]), ([100, 5000, 100, 3000, 100], [2, 2, 1]), ([9], [1]), ([], [])):
+        frames = [np.random.default_rng(n).integers(0, 50, n).astype(np.int32) for n in sizes]
+        rows = [{"part": 0, "start": 0, "docs": [{"doc_id": k, "n_tokens": len(f)}], "payload": p, "n_tokens": len(f)} for k, (f, p) in enumerate(zip(frames, op06_tokens.encode_frames(frames)))]
+        calls.clear()
+        got = [d for b in op06_tokens.documents_of([pa.RecordBatch.from_pylist([r]) for r in rows], {0: 0}) for d in b.to_pylist()]
+        assert calls == want and [d["doc_id"] for d in got] == list(range(len(frames)))
+        assert [d["ids"] for d in got] == [f.astype("<u4").tobytes() for f in frames]
+
+
 def test_writing_leaves_the_session_as_it_was(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     texts = [f"text {i}" for i in range(2500)]
